@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaops.llm import mixing, sharding
+from mediaops.llm import language, mixing, quality, sharding, toxicity
 from mediaops.llm.common import prepare
 
 
@@ -13,7 +13,10 @@ def _query(f):
 QUERIES = {
     name: _query(f)
     for name, f in {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_language_id": language.op3_language_id,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_quality_scores": quality.op7_quality_scores,
         "op8_shard_documents": sharding.op8_shard_documents,
     }.items()
 }
