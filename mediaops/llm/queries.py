@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaops.llm import language, mixing, quality, sharding, toxicity
+from mediaops.llm import language, mixing, packing, quality, sharding, toxicity
 from mediaops.llm.common import prepare
 
 
@@ -18,6 +18,7 @@ QUERIES = {
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_quality_scores": quality.op7_quality_scores,
         "op8_shard_documents": sharding.op8_shard_documents,
+        "op9_pack_documents": packing.op9_pack_documents,
     }.items()
 }
 
