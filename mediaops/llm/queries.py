@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaops.llm import language, mixing, packing, quality, sharding, toxicity
+from mediaops.llm import language, minhash, mixing, packing, quality, sharding, toxicity
 from mediaops.llm.common import prepare
 
 
@@ -13,6 +13,7 @@ def _query(f):
 QUERIES = {
     name: _query(f)
     for name, f in {
+        "op1_near_duplicates": minhash.op1_near_duplicates,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_language_id": language.op3_language_id,
         "op6_mix_sources": mixing.op6_mix_sources,
