@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaops.llm.mixing import uniform
+from mediaops.llm.common import stored
 
 #: Shards are dealt to the tree in turn: shard s stands in region s % REGIONS, and there in rack
 #: (s // REGIONS) % RACKS, so one more shard grows one rack of one region.
@@ -21,64 +21,72 @@ def tree(n_shards: int, weights: dict[int, float] | None = None) -> list[tuple[i
     return [(s % REGIONS, (s // REGIONS) % RACKS, s, float((weights or {}).get(s, 1.0))) for s in range(n_shards)]
 
 
-def _least(nodes: Column, level: str) -> Column:
-    """The child whose draw is least; a node's draw is the least of its leaves' draws."""
-    children = F.array_distinct(F.transform(nodes, lambda x: x[level]))
-    draws = F.transform(children, lambda c: F.struct(F.array_min(F.transform(F.filter(nodes, lambda x: x[level] == c), lambda x: x["draw"])).alias("draw"), c.alias("child")))
-    return F.array_min(draws)["child"]
+def leaf_draw(key: Column, shard: int, weight: float, seed: str) -> Column:
+    """-ln(u) / weight with u hashed from (seed, key, shard): an exponential time of rate weight."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, F.lit(shard)), 11).cast("double") + 0.5) / F.lit(2.0**53)
+    return -F.log(u) / F.lit(weight)
 
 
-def shard_of(key: Column, leaves: list[tuple[int, int, int, float]], seed: str = "shard-1") -> Column:
-    """Shard of a key: descend region, rack and shard levels, at each to the child with the least
-    draw. A leaf draws -ln(u) / weight with u hashed from (seed, key, shard) - an exponential
-    time with the leaf's weight as rate - and an inner node the least of its leaves' times, which
-    is exponential with the summed weight. So nodes win in proportion to their weights, and a
-    changed weight changes draws only on the path above it: rows move only into a subtree that
-    grew or out of one that shrank.
+def descend(leaves: list[tuple[int, int, int, float]], draws: Column) -> Column:
+    """The shard reached from the root by taking at each level the child with the least draw.
+
+    ``draws`` holds a draw for each of ``leaves``, which stand in tree order. The draw of an inner
+    node is the least of its leaves' draws, itself an exponential time with the summed weight as
+    rate. So nodes win in proportion to their weights, and a changed weight changes draws only on
+    the path above it: rows move only into a subtree that grew or out of one that shrank.
     """
-    table = F.array(*[F.struct(F.lit(r).alias("region"), F.lit(k).alias("rack"), F.lit(s).alias("shard"), F.lit(w).alias("weight")) for r, k, s, w in leaves if w > 0])
-    u = lambda s: uniform(F.lit(seed), key, s.cast("string")) + F.lit(2.0**-53)
-    draws = F.transform(table, lambda x: F.struct(x["region"].alias("region"), x["rack"].alias("rack"), x["shard"].alias("shard"), (-F.log(u(x["shard"])) / x["weight"]).alias("draw")))
-    in_region = F.transform(F.array(draws), lambda d: F.filter(d, lambda x: x["region"] == _least(d, "region")))
-    in_rack = F.transform(in_region, lambda d: F.filter(d, lambda x: x["rack"] == _least(d, "rack")))
-    return F.transform(in_rack, lambda d: _least(d, "shard"))[0]
+    spans: dict[int, dict[int, list[int]]] = {}  # region, rack: places of its leaves
+    for i, (region, rack, _, _) in enumerate(leaves):
+        spans.setdefault(region, {}).setdefault(rack, []).append(i)
+    span = lambda at: F.struct(F.lit(at[0] + 1).alias("start"), F.lit(len(at)).alias("n"))
+    least = lambda x: F.struct(F.array_min(F.slice(draws, x["start"], x["n"])).alias("draw"), x["start"].alias("start"), x["n"].alias("n"), x["racks"].alias("racks"))
+    regions = F.array(*[F.struct(span([i for at in racks.values() for i in at])["start"].alias("start"), F.lit(sum(map(len, racks.values()))).alias("n"), F.array(*map(span, racks.values())).alias("racks")) for racks in spans.values()])
+    region = F.array_min(F.transform(regions, least))
+    rack = F.array_min(F.transform(region["racks"], lambda x: F.struct(F.array_min(F.slice(draws, x["start"], x["n"])).alias("draw"), x["start"].alias("start"), x["n"].alias("n"))))
+    shards = F.array(*[F.lit(leaf[2]) for leaf in leaves])
+    return F.transform(F.array(rack), lambda k: F.element_at(shards, (k["start"] - 1 + F.array_position(F.slice(draws, k["start"], k["n"]), k["draw"])).cast("int")))[0]
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, float] | None = None, seed: str = "shard-1") -> DataFrame:
     """Every document's shard and its slot there, and the shard it would take if there was one more.
 
-    Adds to ``docs`` the columns size (UTF-8 bytes of text plus 16), text_crc32 (unsigned), law
-    ('key': doc_id and the tree alone decide), shard, slot (gapless from 0 in each shard) and
-    grown_shard (the shard in the tree with one more leaf of weight 1; only the new shard gains
-    rows). Input columns of these names are replaced.
+    Returns the columns of ``docs`` without the text, and size (UTF-8 bytes of text plus 16),
+    text_crc32 (unsigned), law ('key': doc_id and the tree alone decide), shard, slot (gapless
+    from 0 in each shard) and grown_shard (the shard in the tree with one more leaf of weight 1;
+    only the new shard gains rows). Input columns of these names are replaced.
 
     Slots number the rows of a shard by (bucket of the hashed id, doc_id): counts per (shard,
     bucket) are cumulated, then rows are numbered inside each bucket, so a task sorts one bucket
-    of one shard, never a shard. Text is hashed where it is read and not shuffled unless the
-    caller keeps the column.
+    of one shard, never a shard. Texts are hashed where they are read and never shuffled.
 
     Nulls: a null text has size 16 and crc32 0, a null doc_id hashes as the empty id. Rows with
     equal doc_id share a shard and get slots of their own, in no fixed order among identical
     rows. An empty table gives no rows.
     """
     docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    names = [c for c in docs.columns if c != "text"]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    leaves = tree(n_shards, weights)
-    grown = [*leaves, tree(n_shards + 1)[-1]]
+    grown = sorted([*tree(n_shards, weights), tree(n_shards + 1)[-1]])
+    leaves = [leaf for leaf in grown if leaf[3] > 0]  # tree order
+    new = next(i for i, leaf in enumerate(leaves) if leaf[2] == n_shards)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    placed = docs.select(
-        "*", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
-        shard_of(key, leaves, seed).alias("shard"), shard_of(key, grown, seed).alias("grown_shard"),
+    drawn = docs.select(
+        *names, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
+        F.array(*[leaf_draw(key, s, w, seed) for _, _, s, w in leaves]).alias("_draws"),
         F.pmod(F.crc32(F.concat(F.lit("slot:"), key).cast("binary")), F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"),
     )
+    old = F.concat(F.slice("_draws", 1, new), F.slice("_draws", new + 2, len(leaves)))
+    drawn = drawn.withColumn("_old", old)
+    shards = {"shard": descend(leaves[:new] + leaves[new + 1 :], F.col("_old")), "grown_shard": descend(leaves, F.col("_draws"))}
+    placed = stored(drawn.withColumns(shards).drop("_draws", "_old"), "shards")
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")))
     slot = (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot")
-    return ranked.join(offsets, ["shard", "_bucket"]).select(*docs.columns, "size", "text_crc32", "law", "shard", slot, "grown_shard")
+    return ranked.join(offsets, ["shard", "_bucket"]).select(*names, "size", "text_crc32", "law", "shard", slot, "grown_shard")
 
 
 def op8_shard_documents(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard_documents(docs).drop("text")
+    return shard_documents(docs)
