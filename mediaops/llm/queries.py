@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaops.llm import language, minhash, mixing, packing, quality, sharding, toxicity
+from mediaops.llm import language, minhash, mixing, packing, quality, sharding, substrings, toxicity
 from mediaops.llm.common import prepare
 
 
@@ -20,6 +20,7 @@ QUERIES = {
         "op7_quality_scores": quality.op7_quality_scores,
         "op8_shard_documents": sharding.op8_shard_documents,
         "op9_pack_documents": packing.op9_pack_documents,
+        "op10_substring_dedup": substrings.op10_substring_dedup,
     }.items()
 }
 
