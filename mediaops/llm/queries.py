@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaops.llm import language, minhash, mixing, packing, quality, sharding, substrings, topk, toxicity
+from mediaops.llm import language, minhash, mixing, neighbours, packing, quality, sharding, substrings, topk, toxicity
 from mediaops.llm.common import prepare
 
 
@@ -16,6 +16,7 @@ QUERIES = {
         "op1_near_duplicates": minhash.op1_near_duplicates,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_language_id": language.op3_language_id,
+        "op4_near_vectors": neighbours.op4_near_vectors,
         "op5_exact_top_k": topk.op5_exact_top_k,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_quality_scores": quality.op7_quality_scores,
