@@ -24,12 +24,16 @@ def _or_empty(n: Column, *choices: str) -> Column:
     return out.otherwise("")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_paths(ev: DataFrame) -> DataFrame:
     """Events with k, f and their asset path."""
     k = F.col("event_id") % 720
     f = (k * 31) % 97
     path = F.concat(F.lit("data/d"), (k % 7).cast("string"), F.lit("/f"), f.cast("string"), _pick(EXTENSIONS, f % 12))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", k.alias("k"), f.alias("f"), path.alias("path"))
+    return ev.select("event_id", "ts", "user_id", "event_type", k.alias("k"), f.alias("f"), path.alias("path"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_paths(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def query_text() -> Column:

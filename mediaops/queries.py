@@ -13,11 +13,15 @@ from mediaops.functions import geometry as G
 from mediaops.functions import keys as K
 from mediaops.functions import parsing as P
 from mediaops.operators import cache as C
+from mediaops.operators import pixels as I
 from mediaops.operators import replay as R
 from mediaops.operators import requests as Q
 from mediaops.operators import signing as S
 from mediaops.plans import routing as J
-from mediaops.session import cut
+from mediaops.session import cut, shared_path
+from mediaops.sources.logs import parse_access_log
+from mediaops.sources.sinks import write_cache_index, write_variants
+from mediaops.streaming import streams as T
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -416,3 +420,132 @@ SELECT req_id, cache_key, CASE WHEN previous IS NOT NULL AND coalesce(date_trunc
 @query(REPLAY_SQL)
 def win2_replay_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.replay_cache(keyed_requests(spark, sf_dir), X.changes(spark, sf_dir)).select("req_id", "cache_key", "result")
+
+
+# --- sources and sinks ---------------------------------------------------------------------------------
+
+
+LOG_SQL = O.REQUESTS + """ SELECT req_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, 'GET' AS method, '/' || path || '?' || query AS target, CAST([200, 404, 500][req_id % 3 + 1] AS INTEGER) AS status,
+  req_id * 13 % 5000 AS bytes, CASE WHEN req_id % 4 <> 0 THEN 'https://example.com/' || (req_id % 10) END AS referer, 'agent/' || (req_id % 5) AS agent FROM requests"""
+
+
+@query(LOG_SQL)
+def src5_parse_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_access_log(X.log_lines(spark, sf_dir)).drop("value", "version")
+
+
+@query(O.PLANNED + O.VARIANTS + " SELECT cache_key, path, output_format, length FROM variants WHERE output_format IS NOT NULL")
+def src6_write_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "variants-sink")
+    write_variants(variants(spark, sf_dir).filter("output_format is not null"), path)
+    return spark.read.parquet(path).select("cache_key", "path", "output_format", "length")
+
+
+@query(O.PLANNED + O.VARIANTS + " SELECT cache_key, path, regexp_extract(cache_key, '([^/]*)\\.[^./]*$', 1) AS stem, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS written FROM variants")
+def src7_write_cache_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "index-sink")
+    write_cache_index(variants(spark, sf_dir), path)
+    return spark.read.parquet(path).select("cache_key", "path", "stem", _stamp(F.col("written_at")).alias("written"))
+
+
+# --- images -----------------------------------------------------------------------------------------------
+
+
+IMAGES_SQL = "WITH im AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(greatest(least(floor((CAST(x AS DOUBLE) + 1.0) * 127.5), 255), 0) AS INTEGER)) AS px FROM embeddings)"
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.from_arrays(X.image_arrays(spark, sf_dir).select("image_id", "height", "width", "channels", "px"))
+
+
+def _shown(images: DataFrame) -> DataFrame:
+    return images.select("image_id", "height", "width", I.to_text(F.col("data")).alias("px"))
+
+
+@query(IMAGES_SQL + " SELECT image_id, 8 AS height, 2 AS width, array_to_string(list_transform(range(0, 64), lambda i: px[((1 - (i // 4) % 2) * 8 + i // 8) * 4 + i % 4 + 1]), ',') AS px FROM im")
+def img2_rotate_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(I.rotate_images(_images(spark, sf_dir), 90))
+
+
+@query(IMAGES_SQL + " SELECT image_id, 2 AS height, 8 AS width, array_to_string(list_transform(range(0, 64), lambda i: px[(i // 32) * 32 + (7 - (i // 4) % 8) * 4 + i % 4 + 1]), ',') AS px FROM im")
+def img1_apply_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(I.apply_orientation(_images(spark, sf_dir).withColumn("orientation", F.lit(2))))
+
+
+@query(
+    IMAGES_SQL + " SELECT image_id, 1 AS height, 4 AS width, array_to_string(list_transform(range(0, 16), lambda i: CAST(floor((px[(i // 4) * 8 + i % 4 + 1] + px[(i // 4) * 8 + 4 + i % 4 + 1] + px[32 + (i // 4) * 8 + i % 4 + 1] + px[36 + (i // 4) * 8 + i % 4 + 1]) / 4.0 + 0.5) AS INTEGER)), ',') AS px FROM im"
+)
+def img3_resize_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(I.resize_cover(_images(spark, sf_dir), 4, 1))
+
+
+_AF, _AB = "(px[(i // 4) * 4 + 4] / 255.0::DOUBLE)", "(128 / 255.0::DOUBLE)"
+_A = f"({_AF} + {_AB} * (1 - {_AF}))"
+
+
+@query(
+    IMAGES_SQL + f" SELECT image_id, 2 AS height, 8 AS width, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN i % 4 = 3 THEN CAST(floor({_A} * 255 + 0.5) AS INTEGER) ELSE "
+    f"CAST(floor((px[i + 1] * {_AF} + [56, 34, 12][i % 4 + 1] * {_AB} * (1 - {_AF})) / {_A} + 0.5) AS INTEGER) END), ',') AS px FROM im"
+)
+def img4_composite_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bg = F.struct(F.lit(12).alias("r"), F.lit(34).alias("g"), F.lit(56).alias("b"), F.lit(128).alias("a"))
+    return _shown(I.composite_background(_images(spark, sf_dir), bg))
+
+
+@query(
+    IMAGES_SQL + " SELECT image_id, 2 AS height, 8 AS width, array_to_string(list_transform(range(0, 48), lambda i: CAST(floor(px[(i // 3) * 4 + i % 3 + 1] * (px[(i // 3) * 4 + 4] / 255.0::DOUBLE) + 0.5) AS INTEGER)), ',') AS px FROM im"
+)
+def img5_flatten_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(I.flatten_alpha(_images(spark, sf_dir)))
+
+
+@query(
+    IMAGES_SQL + " SELECT CAST(image_id AS VARCHAR) || '/turned' AS cache_key, 'img' || (image_id) AS path, 4 AS height, 1 AS width, array_to_string(list_transform(range(0, 16), lambda i: CAST(floor((px[(i // 4) * 8 + i % 4 + 1] + px[(i // 4) * 8 + 4 + i % 4 + 1] + px[32 + (i // 4) * 8 + i % 4 + 1] "
+    "+ px[36 + (i // 4) * 8 + i % 4 + 1]) / 4.0 + 0.5) AS INTEGER)), ',') AS px FROM im"
+)
+def img6_render_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _images(spark, sf_dir).withColumn("path", F.concat(F.lit("img"), F.col("image_id").cast("string")))
+    none = F.lit(None).cast("struct<r:int,g:int,b:int,a:int>")
+    plan = images.select(F.concat(F.col("image_id").cast("string"), F.lit("/turned")).alias("cache_key"), "path", F.lit("png").alias("output_format"), F.struct(F.lit(4).alias("w"), F.lit(1).alias("h")).alias("resize"), F.lit(90).alias("rotate"), none.alias("composite"))
+    return I.render_variants(plan, images).select("cache_key", "path", "height", "width", I.to_text(F.col("data")).alias("px"))
+
+
+# --- streams ------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, at_once: int = 2) -> DataFrame:
+    """The events as files that arrive in a folder, some in each batch."""
+    events, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), shared_path(spark, "events")
+    events.repartitionByRange(4, "event_id").write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
+
+
+def _drained(df: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives for the data there is, as a table."""
+    spark = df.sparkSession
+    out = shared_path(spark, name)
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query(O.ROUTED + ROUTE_SELECT)
+def str1_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = X.as_requests(X.with_paths(_event_stream(spark, sf_dir)))
+    out = shared_path(spark, "routed-stream")
+    T.stream_route(requests, X.assets(spark, sf_dir), variants(spark, sf_dir), EngineConfig(), out, shared_path(spark, "routed-checkpoint"), documents_cache(spark, sf_dir), once=True).awaitTermination()
+    return spark.read.parquet(out).select("req_id", "path", "outcome", "status", "error", "output_format")
+
+
+@query(O.REQUESTS + " SELECT DISTINCT path || '?' || query AS cache_key FROM requests")
+def str2_stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = X.as_requests(X.with_paths(_event_stream(spark, sf_dir)))
+    keyed = requests.select("ts", F.concat_ws("?", "path", "query").alias("cache_key"))
+    return _drained(T.stream_first_requests(keyed, EngineConfig(retention="3650 days")), "first").select("cache_key")
+
+
+@query(REPLAY_SQL.replace("cache_key ORDER BY", "path || query ORDER BY").replace("SELECT req_id, cache_key, changed_at", "SELECT req_id, path || '?' || query AS cache_key, changed_at"))
+def str3_stream_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = X.with_paths(_event_stream(spark, sf_dir, 4))  # one batch: files do not arrive in the order of events
+    change = F.col("event_type") == "purchase"
+    rows = ev.select("path", "ts", F.when(~change, F.col("event_id")).alias("req_id"), F.when(~change, F.concat_ws("?", F.col("path"), X.query_text())).alias("cache_key"))
+    return _drained(T.stream_cache_replay(rows, "3650 days"), "replay")
