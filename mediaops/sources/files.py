@@ -91,8 +91,7 @@ def exif_orientation(tiff: bytes) -> int | None:
     return None
 
 
-@F.pandas_udf("struct<width long, height long, orientation int>")
-def _jpeg(content: pd.Series) -> pd.DataFrame:
+def _jpeg_headers(content: pd.Series) -> pd.DataFrame:
     rows = [(jpeg_header(c) if c is not None else None) or (None, None, None) for c in content]
     return pd.DataFrame(rows, columns=["width", "height", "orientation"]).astype({"width": "Int64", "height": "Int64", "orientation": "Int32"})
 
@@ -103,6 +102,7 @@ def probe_assets(assets: DataFrame) -> DataFrame:
     PNG, GIF and BMP headers are read by expressions; for JPEG files a Python worker walks the
     markers, and gets no other content. Other types have null sizes."""
     with_workers(assets.sparkSession)
+    _jpeg = F.pandas_udf(_jpeg_headers, "struct<width long, height long, orientation int>")
     c = F.col("content")
     head = F.hex(F.substring(c, 1, 8))
     kind = F.when(head == "89504E470D0A1A0A", "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("47494638"), "gif").when(head.startswith("424D"), "bmp")
