@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SENTENCE_CUT, FORCED_CUT = 1, 5
 #: Where no sentence ends for so many tokens, a cut is offered anyway.
 FORCED_EVERY = 16
-#: Tokens planned at once; what the last, open sequence holds is carried on.
+#: Tokens planned at once; what follows the last cut is carried on.
 BLOCK_TOKENS = 1 << 18
 #: Between pieces of one task's sequence ids.
 TASK_IDS = 1 << 40
@@ -53,8 +53,9 @@ def vocabulary(json_path: str, ranks_path: str | None, pattern: str | None) -> V
     return Vocabulary(json_path, ranks_path, pattern)
 
 
-def plan_cuts(places: list[int], penalties: list[int], length: int) -> list[int]:
-    """Cut points of least total cost from places[0] to places[-1].
+def plan_cuts(places: list[int], penalties: list[int], length: int, open_end: bool = False) -> list[int]:
+    """Cut points of least total cost from places[0] to places[-1]; with ``open_end`` to that place
+    among the last ``length`` tokens which costs least, for more tokens will follow.
 
     ``places`` rise by at most ``length`` from one to the next. A sequence from a to b costs its
     padding length - (b - a) plus the penalty of b. With g(a) = cost(a) + a the cost at b is
@@ -64,6 +65,7 @@ def plan_cuts(places: list[int], penalties: list[int], length: int) -> list[int]
     n = len(places)
     parent = [0] * n
     queue, values, head = [0], [places[0]], 0
+    least, end, late = None, n - 1, places[-1] - length
     for j in range(1, n):
         b = places[j]
         while places[queue[head]] < b - length:
@@ -75,7 +77,9 @@ def plan_cuts(places: list[int], penalties: list[int], length: int) -> list[int]
             queue.pop()
         queue.append(j)
         values.append(g)
-    cuts, j = [], n - 1
+        if open_end and b > late and (least is None or g - b <= least):
+            least, end = g - b, j
+    cuts, j = [], end
     while j:
         cuts.append(places[j])
         j = parent[j]
@@ -116,10 +120,7 @@ class Packer:
             return None
         ids = np.concatenate(self.ids)
         bounds = np.concatenate([[0], np.cumsum([n - out for _, n, out in self.docs])])
-        cuts = plan_cuts(*cut_places(ids, bounds[1:], self.ends), self.length)
-        if not last and len(cuts) > 2:
-            cuts.pop()  # the open sequence goes on with the next documents
-        cuts = np.array(cuts)
+        cuts = np.array(plan_cuts(*cut_places(ids, bounds[1:], self.ends), self.length, open_end=not last))
         until = cuts[-1]
         starts = np.unique(np.concatenate([cuts[:-1], bounds[:-1][bounds[:-1] < until]]))
         stops = np.append(starts[1:], until)
@@ -153,7 +154,7 @@ def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: st
     Each task packs the documents of its partition in their order: they are tokenised (a document
     is its ids, then ``end_id``) and cut into sequences at document or sentence ends by a dynamic
     program that minimises padding plus cut penalties. A task plans BLOCK_TOKENS at a time and
-    carries its open sequence on, so only one sequence of a task is short. No row is shuffled;
+    carries the rest on, so that a task pads one sequence more than it must, at most. No row is shuffled;
     a lost task is packed again with the same ids, for its partition and number are the same.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset for each piece.
