@@ -19,7 +19,7 @@ from mediaops.llm.words import Words, grams, pieces
 #: Anchors are phrases of so many words: the least hash among the phrases of a window.
 PHRASE = 5
 #: Patterns of one automaton, and segments streamed through one copy of it.
-SHARD_PATTERNS, SALT_SEGMENTS = 50_000, 200_000
+SHARD_PATTERNS, SALT_SEGMENTS = 25_000, 200_000
 
 
 @dataclass
@@ -139,8 +139,9 @@ def passages(candidates: DataFrame, shards: int, size: int, first: bool) -> Data
 
 
 class PhraseAutomaton:
-    """An Aho-Corasick automaton over words: each word known to the patterns is one character, so a
-    match is a match of whole words."""
+    """An Aho-Corasick automaton over words: each word known to the patterns is three characters,
+    one from each of three alphabets, so a match is a match of whole words and no state has more
+    than 64 ways on."""
 
     def __init__(self, size: int):
         import ahocorasick
@@ -149,12 +150,15 @@ class PhraseAutomaton:
         self.letters: dict[str, str] = {}
         self.size = size
 
-    def _letter(self, word: str) -> str:
-        n = len(self.letters) + 2
-        return self.letters.setdefault(word, chr(n if n < 0xD800 else n + 0x800))
+    def _letters(self, word: str) -> str:
+        known = self.letters.get(word)
+        if known is None:
+            n = len(self.letters)
+            known = self.letters[word] = chr(64 + n % 64) + chr(128 + n // 64 % 64) + chr(192 + n // 4096)
+        return known
 
     def add(self, pattern: str, first: int) -> None:
-        self.machine.add_word("".join(map(self._letter, pattern.split(" "))), first)
+        self.machine.add_word("".join(map(self._letters, pattern.split(" "))), first)
 
     def compile(self) -> None:
         self.machine.make_automaton()
@@ -163,9 +167,10 @@ class PhraseAutomaton:
         """Word spans (from, to) of the text covered by patterns whose first document is smaller."""
         get = self.letters.get
         out: list[tuple[int, int]] = []
-        for last, first in self.machine.iter("".join([get(w, "\x01") for w in text.split(" ")])):
+        for last, first in self.machine.iter("".join([get(w, "!!!") for w in text.split(" ")])):
             if first < doc_id:
-                a, b = last + 1 - self.size, last + 1
+                b = last // 3 + 1
+                a = b - self.size
                 if out and a <= out[-1][1]:
                     out[-1] = (out[-1][0], b)
                 else:
