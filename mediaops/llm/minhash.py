@@ -212,3 +212,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+
+
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i:i + 2], ' ')))) END AS g FROM w
+), reps AS (
+  SELECT g, min(doc_id) AS rep, len(g) AS n FROM sets WHERE len(g) > 0 GROUP BY g
+), s AS (SELECT rep, n, unnest(g) AS x FROM reps
+), pairs AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS n, b.n AS m, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * common >= 85 * (n + m - common) UNION ALL SELECT b, a FROM pairs WHERE 100 * common >= 85 * (n + m - common)
+), reach AS (
+  SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least_of AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sets s LEFT JOIN reps r ON s.g = r.g LEFT JOIN least_of l ON r.rep = l.rep
+"""

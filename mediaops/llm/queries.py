@@ -26,4 +26,10 @@ QUERIES = {
     }.items()
 }
 
-ORACLE_SQL = {"op5_exact_top_k": topk.OP5_SQL, "op6_mix_sources": mixing.OP6_SQL}
+ORACLE_SQL = {
+    "op1_near_duplicates": minhash.OP1_SQL,
+    "op4_near_vectors": neighbours.OP4_SQL,
+    "op5_exact_top_k": topk.OP5_SQL,
+    "op6_mix_sources": mixing.OP6_SQL,
+    "op10_substring_dedup": substrings.OP10_SQL,
+}

@@ -320,3 +320,16 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     removed = F.when(F.col("_copy"), F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).cast("long")
     sha = F.when(F.col("_copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha", F.lower(F.hex("sha"))))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+firsts AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
+covered AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS pos FROM win JOIN firsts USING (g) WHERE f < doc_id),
+kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS txt, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w) x LEFT JOIN covered c ON x.doc_id = c.doc_id AND x.pos = c.pos WHERE c.pos IS NULL GROUP BY x.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
