@@ -23,8 +23,8 @@ SOURCE_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as bad go; those without an id stay. It learns
-    from the labels outside the held-out fold. Rows that share a doc_id stay or go by their own
-    texts; a row with a null doc_id has no score and stays."""
+    from the labels outside the held-out fold. Rows that share a doc_id go together, if one of them
+    is bad; rows with a null doc_id stay. Null and empty texts are scored as empty texts."""
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold("doc_id", 3) != 1)
     bad = quality_scores(docs, labels).filter("predicted = 0").select("doc_id").distinct()
@@ -46,12 +46,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated so that sources take their target shares, and shuffled globally."""
+    """Documents are repeated so that sources take their target shares, and shuffled globally. A null
+    source is a source of its own; repeated rows draw alike."""
     return mix_sources(docs, SOURCE_WEIGHTS).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens; null and empty texts are the end
+    id alone."""
     prepare(spark)
     return pack_documents(docs)
 

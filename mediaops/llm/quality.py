@@ -26,9 +26,11 @@ _CLASS[0xC0:] = 7
 
 STATISTICS = (
     "log_words", "mean_word", "word_spread", "longest_word", "upper", "digits", "stops", "marks", "non_ascii", "newlines",
-    "line_length", "word_variety", "pair_variety", "short_words", "marked_words", "upper_words",
+    "line_length", "word_variety", "pair_variety", "short_words", "marked_words", "upper_words", "stutter",
 )
 D = len(STATISTICS)
+#: Characters and words added to the counts that shares are taken of.
+PAD = (20, 5)
 
 
 def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -39,7 +41,8 @@ def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(documents, D) transformed statistics of whole texts: logarithms of counts and lengths,
-    square roots of shares. An empty text has zeros but for the varieties, which are 1."""
+    square roots of shares. Shares are taken of PAD more characters or words than there are, so a
+    few words say little. An empty text has zeros but for the varieties, which are 1."""
     n = len(offsets) - 1
     doc = np.repeat(np.arange(n), np.diff(offsets))
     kinds = np.bincount(doc * 10 + _CLASS[data], minlength=10 * n).reshape(n, 10).astype(float)
@@ -62,16 +65,19 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     upper = ((uppers[w.end] - uppers[w.start]) * 2 > length) & (length > 1) if len(length) else length
     h = w.hashes(lower=True)
     pair = grams(h, 2)
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[w.first[:-1][words > 0]] = False
     variety, pairs = np.ones(n), np.ones(n)
     for i in range(n):
         a, b = w.first[i], w.first[i + 1]
         if b - a > 1:
             variety[i] = np.log1p(len(np.unique(h[a:b]))) / np.log1p(b - a)
             pairs[i] = np.log1p(len(np.unique(pair[a : b - 1]))) / np.log1p(b - a - 1)
-    share = lambda x, of: np.sqrt(x / of)
+    share = lambda x, of, pad=PAD[0]: np.sqrt(x / (of + pad))
     return np.column_stack([
-        np.log1p(words), np.log1p(mean), np.log1p(spread), np.log1p(longest), share(kinds[:, 1], seen), share(kinds[:, 2], seen), share(kinds[:, 5], seen), share(kinds[:, 6], seen), share(kinds[:, 7], seen), share(kinds[:, 4], np.maximum(chars, 1)),
-        np.log1p(words / (kinds[:, 4] + 1)), variety, pairs, share(_per_doc(length < 3, w.first), some), share(_per_doc(marked, w.first), some), share(_per_doc(upper, w.first), some),
+        np.log1p(words), np.log1p(mean), np.log1p(spread), np.log1p(longest), share(kinds[:, 1], seen), share(kinds[:, 2], seen), share(kinds[:, 5], seen), share(kinds[:, 6], seen), share(kinds[:, 7], seen), share(kinds[:, 4], chars),
+        np.log1p(words / (kinds[:, 4] + 1)), variety, pairs, *[share(_per_doc(x, w.first), words, PAD[1]) for x in (length < 3, marked, upper, again)],
     ])
 
 
@@ -103,7 +109,8 @@ class Discriminant:
     @classmethod
     def fit(cls, n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float, ridge: float, temper: float) -> Discriminant:
         """From each class's row count, sum and sum of outer products. The class covariance is
-        shrunk by ``shrink`` to the pooled one, and by ``ridge`` to the pooled variances."""
+        shrunk to the pooled one, by ``shrink`` or by more for few rows, and by ``ridge`` to the
+        pooled variances."""
         if (n == 0).any():  # one class, or none, was seen
             return cls(np.zeros((2, D)), np.zeros((2, D, D)), np.zeros(2), temper, int(np.argmax(n)))
         mean = sums / n[:, None]
@@ -112,7 +119,8 @@ class Discriminant:
         variances = np.diag(np.maximum(np.diag(pooled), 1e-6))
         whiten, constant = [], []
         for c in range(2):
-            own = shrink * pooled + (1 - shrink) * scatter[c] / max(n[c] - 1, 1)
+            w = max(shrink, D / (n[c] + D))  # few rows say little about D x D covariances
+            own = w * pooled + (1 - w) * scatter[c] / max(n[c] - 1, 1)
             root = np.linalg.cholesky((1 - ridge) * own + ridge * variances)
             whiten.append(np.linalg.inv(root))
             constant.append(np.log(n[c] / n.sum()) - np.log(np.diag(root)).sum())
