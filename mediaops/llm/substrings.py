@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import stored
+from mediaops.llm.common import bucketed, stored
 from mediaops.llm.grouped import stream_groups
 from mediaops.llm.words import Words, grams, pieces
 
@@ -109,8 +109,9 @@ def window_prints(candidates: DataFrame, size: int) -> DataFrame:
 def passages(candidates: DataFrame, shards: int, size: int, first: bool) -> DataFrame:
     """Rows (shard, kind, doc_id, start, text) with text as words joined by one space.
 
-    ``first``: each confirmed window of its first document, a pattern (kind 0). Otherwise the
-    stretches of consecutive candidate windows with one anchor, to be searched (kind 1)."""
+    Both are stretches of consecutive windows with one anchor. ``first``: of the windows confirmed
+    under their first document, whose windows are the patterns (kind 0). Otherwise of all
+    candidate windows, to be searched (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,12 +119,8 @@ def passages(candidates: DataFrame, shards: int, size: int, first: bool) -> Data
                 v = windows(data, offsets, size)
                 keep = np.flatnonzero(_listed(part.column(2), v.doc, v.print if first else v.anchor))
                 doc, at, anchor = v.doc[keep], v.at[keep], v.anchor[keep]
-                if first and len(keep):  # a window that its first document repeats is one pattern
-                    _, once = np.unique(np.stack([doc, v.print[keep]]), axis=1, return_index=True)
-                    doc, at, anchor = doc[once], at[once], anchor[once]
                 new = np.ones(len(doc), bool)
-                if not first:
-                    new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
                 head = np.flatnonzero(new)
                 tail = np.append(head[1:], len(doc))[: len(head)] - 1
                 raw = data.tobytes()
@@ -157,8 +154,11 @@ class PhraseAutomaton:
             known = self.letters[word] = chr(64 + n % 64) + chr(128 + n // 64 % 64) + chr(192 + n // 4096)
         return known
 
-    def add(self, pattern: str, first: int) -> None:
-        self.machine.add_word("".join(map(self._letters, pattern.split(" "))), first)
+    def add(self, stretch: str, first: int) -> None:
+        """Every window of the stretch is a pattern; ``first`` is its first document."""
+        letters = "".join(map(self._letters, stretch.split(" ")))
+        for i in range(0, len(letters) - 3 * self.size + 1, 3):
+            self.machine.add_word(letters[i : i + 3 * self.size], first)
 
     def compile(self) -> None:
         self.machine.make_automaton()
@@ -252,7 +252,7 @@ def find_repeats(docs: DataFrame, size: int = 13) -> Repeats:
     reps = stored(long.groupBy("sha").agg(F.min("doc_id").alias("rep")), "sequence-reps")
     copies = stored(long.select("doc_id", "sha").join(reps, "sha").filter("doc_id > rep").select("doc_id").distinct(), "sequence-copies")
     anchors = recurring_anchors(long, reps)
-    candidates = stored(rows.join(anchors, "doc_id"), "repeat-candidates")
+    candidates = bucketed(rows.join(anchors, "doc_id"), "repeat-candidates", "doc_id")
     prints = window_prints(candidates, size).groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id < last")
     confirmed = stored(prints.groupBy("doc_id").agg(F.collect_list("print").alias("prints")), "confirmed")
     n = confirmed.agg(F.sum(F.size("prints"))).first()[0] or 0
