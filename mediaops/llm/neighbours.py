@@ -20,8 +20,10 @@ from mediaops.llm.words import mix
 K, TREES, LEAF, FROM_LEAF, UPDATES = 8, 12, 128, 4, 3
 #: Vectors compared at once.
 BLOCK = 512
-#: Vectors that the audit compares with all others, and the recall it asks for.
-PROBES, MIN_RECALL = 256, 0.95
+#: The audit compares hashed probes with all vectors: so many in its first round, at most so many in
+#: one round, until so many of them hold a true link. Above the share of all vectors it gives up
+#: (small tables are probed whole). The recall it asks for.
+PROBES, ROUND, LINKED, SHARE, MIN_RECALL = 256, 4096, 300, 1 / 8, 0.95
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -121,13 +123,10 @@ def counted(members: DataFrame, threshold: float) -> DataFrame:
     return stream_groups(rows, ["grp", "lo", "hi"], work, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(vectors: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """Recall of (id, links) on PROBES vectors drawn by hash, against all vectors. Vectors with
-    links are rare, so half of the probes are drawn among those that have some."""
-    pick = lambda df, n: df.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(n).select("id")
-    ids = pick(vectors, PROBES // 2).union(pick(linked.filter("links > 0"), PROBES // 2)).distinct()
-    rows = ids.join(vectors, "id").join(linked, "id", "left").select("id", "v", F.coalesce("links", F.lit(0)).alias("links")).collect()
-    shared = vectors.sparkSession.sparkContext.broadcast([(r.id, np.array(r.v, float) / np.linalg.norm(r.v)) for r in rows])
+def true_links(vectors: DataFrame, probes: list[tuple[int, np.ndarray]], threshold: float) -> dict[int, int]:
+    """id -> summed ``m`` of the other vectors at or above the threshold, for a bounded list of
+    (id, unit vector), each compared with all vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(shared.value), np.int64)
@@ -145,9 +144,33 @@ def audit(vectors: DataFrame, linked: DataFrame, threshold: float) -> float:
                     n[at] += (hit * batch.column(2).to_numpy()[own]).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in shared.value], pa.int64()), pa.array(n)], ["id", "n"])
 
-    true = {r.id: r.n for r in vectors.select("id", "v", "m").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    total = sum(true.values())
-    return min(1.0, sum(r.links for r in rows) / total) if total else 1.0
+    return {r.id: r.n for r in vectors.select("id", "v", "m").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+
+
+def audit(vectors: DataFrame, linked: DataFrame, n: int, threshold: float) -> float | None:
+    """Recall of (id, links) on vectors drawn by hash, whatever was found for them, each compared
+    with all ``n`` vectors. Probes are drawn in growing rounds until LINKED of them hold a true link
+    and only these count: the lesser of their links found in all and the mean share found of each.
+    None (unknown) where SHARE of a large table holds too few. A table probed whole is known: it
+    may hold no link at all (1.0)."""
+    u = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    most, drawn, size = (n if n <= ROUND else max(ROUND, int(n * SHARE))), 0, PROBES
+    found, true = [], []
+    while drawn < most and len(true) < LINKED:
+        size = min(size, most - drawn)
+        part = vectors.filter((u >= drawn / n) & (u < (drawn + size) / n))
+        rows = part.join(linked, "id", "left").select("id", "v", F.coalesce("links", F.lit(0)).alias("links")).collect()
+        links = true_links(vectors, [(r.id, np.array(r.v, float) / np.linalg.norm(r.v)) for r in rows], threshold) if rows else {}
+        held = [r for r in rows if links.get(r.id)]
+        found += [min(r.links, links[r.id]) for r in held]
+        true += [links[r.id] for r in held]
+        drawn, size = drawn + size, min(2 * size, ROUND)
+    if len(true) < LINKED and drawn < n:
+        return None
+    if not true:
+        return 1.0
+    found, true = np.array(found, float), np.array(true, float)
+    return float(min(found.sum() / true.sum(), (found / true).mean()))
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "embedding", max_rounds: int = 4, max_graphs: int = 3) -> DataFrame:
@@ -159,8 +182,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "e
     meet one another, and each keeps its K nearest, until the edges at the threshold are stable.
     Where lists may be saturated (a component's links outnumber K) they are enlarged: all members
     of a component meet block by block, so links inside it are complete. An audit compares hashed
-    probes with all vectors; under MIN_RECALL another graph is started and merged, at most
-    ``max_graphs`` in all. ``recall`` is the last audit's figure.
+    probes with all vectors; unknown or under MIN_RECALL, another graph is started and merged, at
+    most ``max_graphs`` in all. ``recall`` is the last audit's figure, null where it is unknown.
 
     Nulls: vectors that are null, empty, zero or hold null or non-finite components have no links
     and are kept; a null vec_id likewise. Vectors of different lengths never link. Rows that repeat
@@ -188,15 +211,15 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "e
         sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
         members = parts.join(sizes, "component").join(vectors, "id").select(F.col("component").alias("grp"), "n", "id", "m", "v")
         linked = stored(vectors.select("id", "m").join(counted(members, threshold), "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links")), "vector-links")
-        recall = audit(vectors, linked.join(vectors.select("id", "m"), "id").select("id", (F.col("links") - F.col("m") + 1).alias("links")), threshold)
-        if recall >= MIN_RECALL:
+        recall = audit(vectors, linked.join(vectors.select("id", "m"), "id").select("id", (F.col("links") - F.col("m") + 1).alias("links")), n, threshold)
+        if recall is not None and recall >= MIN_RECALL:
             break
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     of_class = vectors.select("v", "id").join(linked, "id").join(parts, "id", "left").select("v", "links", F.coalesce("component", "id").alias("component"))
     out = rows.join(of_class, "v", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
 def op4_near_vectors(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,28 @@ def test_near_vectors(spark, vectors, tmp_path):
     assert got[None].n_links == 0 and got[None].kept and got[0].recall >= 0.95
 
 
+def planted(n, pairs, seed, offset=0.0):
+    """Random directions around an offset, the first ``2 * pairs`` rows in isolated pairs of cosine above 0.9."""
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(n, 32)) + offset
+    v[1 : 2 * pairs : 2] = v[0 : 2 * pairs : 2] + r.normal(size=(pairs, 32)) * 0.3
+    return v
+
+
+def nodes(spark, v):
+    prepare(spark)
+    return spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "id long, v array<double>, m long").cache()
+
+
+def test_audit_sees_links_that_were_not_found(spark):
+    vectors = nodes(spark, planted(9000, 450, 1))
+    linked = spark.createDataFrame([(i, int(i < 450)) for i in range(9000)], "id long, links long")
+    assert abs(neighbours.audit(vectors, linked, 9000, 0.9) - 0.5) < 0.12
+    none = vectors.filter("id >= 900 or id % 2 = 0")
+    assert neighbours.audit(none, linked, none.count(), 0.9) is None
+    assert neighbours.audit(none.filter("id < 2000"), linked, none.filter("id < 2000").count(), 0.9) == 1.0
+
+
 def test_near_vectors_empty(spark, tmp_path):
     assert neighbours.op4_near_vectors(spark, frame(spark, [], tmp_path, "e")).collect() == []
     rows = neighbours.op4_near_vectors(spark, frame(spark, [(1, None), (2, [0.0])], tmp_path, "z")).collect()
