@@ -20,6 +20,9 @@ from mediaops.llm.words import mix
 K, TREES, LEAF, FROM_LEAF, UPDATES = 8, 12, 128, 4, 3
 #: Vectors compared at once.
 BLOCK = 512
+#: Hyperplanes drawn at once to part a group that is too large; vectors of one direction do not
+#: differ by more along any of them.
+PLANES, SAME = 6, 1e-9
 #: The audit compares hashed probes with all vectors: so many in its first round, at most so many in
 #: one round, until so many of them hold a true link. Above the share of all vectors it gives up
 #: (small tables are probed whole). The recall it asks for.
@@ -33,29 +36,97 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def leaves(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(leaf, id): the cell of each vector under ``bits`` random hyperplanes, for TREES draws."""
+def directions(seed: list[int], d: int, bits: int) -> np.ndarray:
+    return np.random.default_rng([*seed, d]).normal(size=(d, bits))
+
+
+def by_length(v: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(d, places, unit vectors) for the vectors of each length of a batch."""
+    length = np.diff(v.offsets.to_numpy())
+    for d in np.unique(length).tolist():
+        own = np.flatnonzero(length == d)
+        yield d, own, matrix(pa.chunked_array([v.take(pa.array(own))]))
+
+
+def means(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Length -> mean of the unit vectors of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
         for batch in batches:
-            ids, v = batch.column(0).to_numpy(), batch.column(1)
-            length = np.diff(v.offsets.to_numpy())
-            for d in np.unique(length).tolist():
-                own = np.flatnonzero(length == d)
-                x = v.take(pa.array(own)).flatten().to_numpy().astype(float).reshape(len(own), d)
-                for t in range(TREES):
-                    planes = np.random.default_rng([seed, t, d]).normal(size=(d, bits))
-                    cell = ((x @ planes > 0) << np.arange(bits)).sum(1).astype(np.uint64)
-                    leaf = mix(cell * np.uint64(1 << 20) + np.uint64((d % 1024) * 1024 + t)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(ids[own])], ["leaf", "id"])
+            for d, own, x in by_length(batch.column(0)):
+                n, s = total.get(d, (0, 0.0))
+                total[d] = (n + len(own), s + x.sum(0))
+        for d, (n, s) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64()))], ["d", "n", "s"])
+
+    out: dict[int, list] = {}
+    for r in vectors.select("v").mapInArrow(run, "d long, n long, s array<double>").toLocalIterator():
+        n, s = out.get(r.d, (0, 0.0))
+        out[r.d] = (n + r.n, s + np.array(r.s))
+    return {d: s / n for d, (n, s) in out.items()}
 
-    return vectors.select("id", "v").mapInArrow(run, "leaf long, id long")
 
+def leaves(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(leaf, tree, id): the cell of each vector under ``bits`` random hyperplanes through the mean
+    of all vectors, for TREES draws."""
+    centre = vectors.sparkSession.sparkContext.broadcast(means(vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for d, own, x in by_length(batch.column(1)):
+                x = x - centre.value[d]
+                for t in range(TREES):
+                    cell = ((x @ directions([seed, t], d, bits) > 0) << np.arange(bits)).sum(1).astype(np.uint64)
+                    leaf = mix(mix(cell) + np.uint64(d * TREES + t)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(len(own), t, np.int32)), pa.array(ids[own])], ["leaf", "tree", "id"])
+
+    return vectors.select("id", "v").mapInArrow(run, "leaf long, tree int, id long")
+
+
+def parted(members: DataFrame, vectors: DataFrame, block: int, fill: int, seed: int) -> DataFrame:
+    """(grp, id) of (grp, tree, id) with no group above ``block``: a larger one is parted by random
+    hyperplanes through its own mean into cells of about ``fill`` rows, again and again until all
+    fit. Only vectors of one direction cannot be parted (no spread along any draw); these are
+    dealt by hash, each block with the group's least id, to which all of them are equal."""
+    done, turn = [], 0
+    while True:
+        sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
+        done.append(members.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= block)).select("grp"), "grp").select("grp", "id"))
+        large = sizes.filter(F.col("n") > block)
+        if not large.limit(1).count():
+            break
 
-def dealt(members: DataFrame, key: str, block: int) -> DataFrame:
-    """Rows with the block of their group: a large group is dealt into blocks by hashed id."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-    return members.join(sizes, key).withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block))).cast("int")).drop("n")
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tree, p = batch.column(1).to_numpy(), np.zeros((batch.num_rows, PLANES))
+                for d, own, x in by_length(batch.column(4)):
+                    for t in np.unique(tree[own]).tolist():
+                        at = tree[own] == t
+                        p[own[at]] = x[at] @ directions([seed, t, 1 + turn], d, PLANES)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(p[:, j]) for j in range(PLANES)]], ["grp", "tree", "id", "n", *[f"p{j}" for j in range(PLANES)]])
+
+        names = [f"p{j}" for j in range(PLANES)]
+        rows = members.join(large, "grp").join(vectors.select("id", "v"), "id").select("grp", "tree", "id", "n", "v")
+        sides = stored(rows.mapInArrow(run, "grp long, tree int, id long, n long, " + ", ".join(f"{p} double" for p in names)), "sides")
+        spread = F.greatest(*[F.max(p) - F.min(p) for p in names])
+        own = sides.groupBy("grp").agg(*[F.avg(p).alias(f"mean_{p}") for p in names], spread.alias("spread"), F.min("id").alias("pivot"))
+        sides = sides.join(own, "grp")
+        blocks = F.ceil(F.col("n") / F.lit(block - 1)).cast("int")
+        equal = sides.filter(F.col("spread") <= SAME)
+        equal = equal.filter("id <> pivot").withColumn("blk", F.pmod(F.xxhash64("id"), blocks)).unionByName(equal.filter("id = pivot").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))))
+        done.append(stored(equal.select(F.xxhash64("grp", "blk").alias("grp"), "id"), "equal-parts"))
+        cell = F.lit(0)
+        for j, p in enumerate(names):
+            used = F.col("n") > F.lit(fill * 2**j)
+            cell = cell + F.when(used & (F.col(p) > F.col(f"mean_{p}")), 2**j).otherwise(0)
+        members = stored(sides.filter(F.col("spread") > SAME).select(F.xxhash64("grp", cell).alias("grp"), "tree", "id"), "parts")
+        turn += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -86,20 +157,21 @@ def meetings(groups: DataFrame, keys: list[str], take: int) -> DataFrame:
 
 def first_graph(vectors: DataFrame, n: int, seed: int) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
-    cells = dealt(stored(leaves(vectors, bits, seed), "leaves"), "leaf", 2 * LEAF)
+    cells = parted(stored(leaves(vectors, bits, seed).withColumnRenamed("leaf", "grp"), "leaves"), vectors, 2 * LEAF, LEAF, seed)
     rows = cells.join(vectors.select("id", "v"), "id").withColumn("floor", F.lit(-2.0))
-    return best(meetings(rows.select("leaf", "blk", "id", "v", "floor"), ["leaf", "blk"], FROM_LEAF), K)
+    return best(meetings(rows.select("grp", "id", "v", "floor"), ["grp"], FROM_LEAF), K)
 
 
-def descend(graph: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One round: the neighbours and reverse neighbours of every vector meet each other. A vector
-    that very many have as neighbour holds several meetings of at most BLOCK."""
+def descend(graph: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
+    """One round: the neighbours and reverse neighbours of every vector meet each other. Where very
+    many have a vector as neighbour they are parted, like with like, into meetings of at most BLOCK."""
     floors = graph.groupBy("id").agg(F.count("*").alias("k"), F.min("s").alias("s")).select("id", F.when(F.col("k") >= K, F.col("s")).otherwise(-2.0).alias("floor"))
     known = vectors.select("id", "v").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     out = graph.select(F.col("id").alias("host"), F.col("nb").alias("id"))
     guests = out.union(graph.select(F.col("nb").alias("host"), "id")).union(graph.select(F.col("id").alias("host"), "id")).distinct()
-    rows = dealt(guests, "host", BLOCK).join(known, "id")
-    news = meetings(rows.select("host", "blk", "id", "v", "floor"), ["host", "blk"], UPDATES)
+    guests = stored(guests.select(F.col("host").alias("grp"), F.lit(0).alias("tree"), "id"), "guests")
+    rows = parted(guests, vectors, BLOCK, BLOCK // 2, seed).join(known, "id")
+    news = meetings(rows.select("grp", "id", "v", "floor"), ["grp"], UPDATES)
     return stored(best(graph.select("id", "nb", "s").union(news), K), "graph")
 
 
@@ -200,8 +272,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "e
         start = first_graph(vectors, n, g)
         graph = stored(start if graph is None else best(graph.union(start), K), "graph")
         edges = graph.filter(F.col("s") >= threshold).count()
-        for _ in range(max_rounds):
-            graph = descend(graph, vectors)
+        for turn in range(max_rounds):
+            graph = descend(graph, vectors, 1000 * (g + 1) + turn)
             now = graph.filter(F.col("s") >= threshold).count()
             if now - edges <= 0.001 * now:
                 break

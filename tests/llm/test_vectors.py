@@ -67,6 +67,21 @@ def test_audit_sees_links_that_were_not_found(spark):
     assert neighbours.audit(none.filter("id < 2000"), linked, none.filter("id < 2000").count(), 0.9) == 1.0
 
 
+def test_first_graph_of_vectors_in_a_cone(spark):
+    """A third of the rows in one cone, far from the origin: cells of planes through it hold them all."""
+    v = planted(6000, 300, 2)
+    v[:2000] += 4.0
+    v[:600:2] = v[:600:2] / np.linalg.norm(v[:600:2], axis=1, keepdims=True)
+    r = np.random.default_rng(8)
+    v[1:600:2] = v[:600:2] + r.normal(size=(300, 32)) * 0.005
+    v[5000:] = np.outer(1 + np.arange(1000), v[5000])  # one direction, which no plane parts
+    vectors = nodes(spark, v)
+    groups = neighbours.parted(neighbours.leaves(vectors, 5, 0).withColumnRenamed("leaf", "grp"), vectors, 64, 32, 0)
+    assert groups.groupBy("grp").count().agg({"count": "max"}).first()[0] <= 64 + 20
+    found = {tuple(sorted((r.id, r.nb))) for r in neighbours.first_graph(vectors, 6000, 0).collect()}
+    assert sum((i, i + 1) in found for i in range(0, 600, 2)) >= 290
+
+
 def test_near_vectors_empty(spark, tmp_path):
     assert neighbours.op4_near_vectors(spark, frame(spark, [], tmp_path, "e")).collect() == []
     rows = neighbours.op4_near_vectors(spark, frame(spark, [(1, None), (2, [0.0])], tmp_path, "z")).collect()
