@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import components, stored
-from mediaops.llm.grouped import stream_groups
+from mediaops.llm.grouped import spanning_edges, stream_groups
 from mediaops.llm.topk import clean
 from mediaops.llm.words import mix
 
 #: Neighbours kept for each vector; trees of the first graph, the size of their leaves and the
 #: neighbours taken from each; updates a vector takes from one meeting.
 K, TREES, LEAF, FROM_LEAF, UPDATES = 8, 12, 128, 4, 3
-#: Vectors compared at once.
-BLOCK = 512
+#: Vectors compared at once, and in the exact pass.
+BLOCK, EXACT_BLOCK = 512, 1024
+#: The descent ends when a round changes a smaller share of the lists' entries.
+CHANGED = 0.001
 #: Hyperplanes drawn at once to part a group that is too large; vectors of one direction do not
 #: differ by more along any of them.
 PLANES, SAME = 6, 1e-9
@@ -130,9 +132,11 @@ def parted(members: DataFrame, vectors: DataFrame, block: int, fill: int, seed:
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
-    """The neighbour graph (id, nb, s): the ``k`` greatest s of each id, ties to the smaller nb."""
-    ranked = pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "nb"))), 1, k).alias("x"))
-    return ranked.select("id", F.explode("x").alias("x")).select("id", F.col("x.nb").alias("nb"), (-F.col("x.d")).alias("s"))
+    """The neighbour graph (id, nb, s, fresh): the ``k`` greatest s of each id, ties to the smaller
+    nb. ``fresh`` is 1 only where all rows of the pair are."""
+    once = pairs.groupBy("id", "nb").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    ranked = once.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "nb", "fresh"))), 1, k).alias("x"))
+    return ranked.select("id", F.explode("x").alias("x")).select("id", F.col("x.nb").alias("nb"), (-F.col("x.d")).alias("s"), F.col("x.fresh").alias("fresh"))
 
 
 def meetings(groups: DataFrame, keys: list[str], take: int) -> DataFrame:
@@ -159,7 +163,7 @@ def first_graph(vectors: DataFrame, n: int, seed: int) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
     cells = parted(stored(leaves(vectors, bits, seed).withColumnRenamed("leaf", "grp"), "leaves"), vectors, 2 * LEAF, LEAF, seed)
     rows = cells.join(vectors.select("id", "v"), "id").withColumn("floor", F.lit(-2.0))
-    return best(meetings(rows.select("grp", "id", "v", "floor"), ["grp"], FROM_LEAF), K)
+    return best(meetings(rows.select("grp", "id", "v", "floor"), ["grp"], FROM_LEAF).withColumn("fresh", F.lit(1)), K)
 
 
 def descend(graph: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
@@ -167,32 +171,63 @@ def descend(graph: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
     many have a vector as neighbour they are parted, like with like, into meetings of at most BLOCK."""
     floors = graph.groupBy("id").agg(F.count("*").alias("k"), F.min("s").alias("s")).select("id", F.when(F.col("k") >= K, F.col("s")).otherwise(-2.0).alias("floor"))
     known = vectors.select("id", "v").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    out = graph.select(F.col("id").alias("host"), F.col("nb").alias("id"))
-    guests = out.union(graph.select(F.col("nb").alias("host"), "id")).union(graph.select(F.col("id").alias("host"), "id")).distinct()
-    guests = stored(guests.select(F.col("host").alias("grp"), F.lit(0).alias("tree"), "id"), "guests")
-    rows = parted(guests, vectors, BLOCK, BLOCK // 2, seed).join(known, "id")
+    out = graph.select(F.col("id").alias("host"), F.col("nb").alias("id"), "fresh")
+    guests = out.union(graph.select(F.col("nb").alias("host"), "id", "fresh")).union(graph.select(F.col("id").alias("host"), "id", F.lit(0))).groupBy("host", "id").agg(F.max("fresh").alias("fresh"))
+    guests = stored(guests.select(F.col("host").alias("grp"), F.lit(0).alias("tree"), "id", "fresh"), "guests")
+    changed = guests.filter("fresh = 1").select("grp").distinct()
+    rows = parted(guests.drop("fresh").join(changed, "grp"), vectors, BLOCK, BLOCK // 2, seed).join(known, "id")
     news = meetings(rows.select("grp", "id", "v", "floor"), ["grp"], UPDATES)
-    return stored(best(graph.select("id", "nb", "s").union(news), K), "graph")
+    known_pairs = graph.select("id", "nb", "s", F.lit(0).alias("fresh"))
+    return stored(best(known_pairs.union(news.withColumn("fresh", F.lit(1))), K), "graph")
+
+
+def crossed(members: DataFrame, block: int) -> DataFrame:
+    """Rows (grp, n, ...) with the blocks ``lo`` and ``hi`` that they meet in: every two blocks of a
+    group, ``i`` being their own."""
+    spread = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    rows = members.withColumn("i", F.pmod(F.xxhash64("id"), spread).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), spread - 1)))
+    return rows.select("grp", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "id", "m", "v")
+
+
+def linked_here(t: pa.Table, threshold: float) -> np.ndarray:
+    """Which rows of one meeting of ``crossed`` are linked; a pair of one block only where it meets itself."""
+    ids, side, x = t["id"].to_numpy(), t["i"].to_numpy(), matrix(t["v"])
+    linked = x @ x.T >= threshold
+    linked &= ids[:, None] != ids[None, :]
+    if t["lo"][0].as_py() != t["hi"][0].as_py():
+        linked &= side[:, None] != side[None, :]
+    return linked
 
 
 def counted(members: DataFrame, threshold: float) -> DataFrame:
     """(id, links): summed ``m`` of the other rows of the same group at or above the threshold.
     Every two blocks of a group meet, so that no list is too short: here saturated lists grow to
     hold their whole component."""
-    spread = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = members.withColumn("i", F.pmod(F.xxhash64("id"), spread).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), spread - 1)))
-    rows = rows.select("grp", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "id", "m", "v")
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        linked = linked_here(t, threshold)
+        return pa.RecordBatch.from_arrays([t["id"].combine_chunks(), pa.array((linked * t["m"].to_numpy()).sum(1))], ["id", "links"])
+
+    return stream_groups(crossed(members, BLOCK), ["grp", "lo", "hi"], work, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def exact(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, links) as ``counted`` and the edges (a, b) that span all components: all vectors of a
+    length meet, block by block. The time grows with the square of the table."""
+    rows = vectors.withColumn("grp", F.size("v"))
+    rows = rows.join(rows.groupBy("grp").agg(F.count("*").alias("n")), "grp")
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        ids, m, side = t["id"].to_numpy(), t["m"].to_numpy(), t["i"].to_numpy()
-        x = matrix(t["v"])
-        linked = x @ x.T >= threshold
-        linked &= ids[:, None] != ids[None, :]
-        if t["lo"][0].as_py() != t["hi"][0].as_py():
-            linked &= side[:, None] != side[None, :]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array((linked * m).sum(1))], ["id", "links"])
+        linked = linked_here(t, threshold)
+        ids, links = t["id"].to_numpy(), (linked * t["m"].to_numpy()).sum(1)
+        a, b = spanning_edges(ids, linked)
+        own = ids[links > 0]
+        if not len(own):
+            return None
+        links = np.concatenate([links[links > 0], np.zeros(len(a), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, np.array(b, np.int64)])), pa.array(links), pa.array([*own.tolist(), *a], pa.int64())], ["id", "links", "nb"])
 
-    return stream_groups(rows, ["grp", "lo", "hi"], work, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    met = stored(stream_groups(crossed(rows, EXACT_BLOCK), ["grp", "lo", "hi"], work, "id long, links long, nb long"), "met")
+    return met.groupBy("id").agg(F.sum("links").alias("links")), met.filter("id <> nb").select(F.col("nb").alias("a"), F.col("id").alias("b"))
 
 
 def true_links(vectors: DataFrame, probes: list[tuple[int, np.ndarray]], threshold: float) -> dict[int, int]:
@@ -245,17 +280,20 @@ def audit(vectors: DataFrame, linked: DataFrame, n: int, threshold: float) -> fl
     return float(min(found.sum() / true.sum(), (found / true).mean()))
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "embedding", max_rounds: int = 4, max_graphs: int = 3) -> DataFrame:
+def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "embedding", max_graphs: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept and recall for every vector.
 
     Vectors are linked if their cosine, in double precision, is at least ``threshold`` and the
     search has brought them together. Equal vectors are one node of a neighbour graph. The graph
     starts from the cells of random hyperplanes and is refined in rounds: neighbours of a vector
-    meet one another, and each keeps its K nearest, until the edges at the threshold are stable.
+    meet one another, and each keeps its K nearest, until a round changes less than CHANGED of the
+    list entries.
     Where lists may be saturated (a component's links outnumber K) they are enlarged: all members
     of a component meet block by block, so links inside it are complete. An audit compares hashed
-    probes with all vectors; unknown or under MIN_RECALL, another graph is started and merged, at
-    most ``max_graphs`` in all. ``recall`` is the last audit's figure, null where it is unknown.
+    probes with all vectors; under MIN_RECALL another graph is started and merged, at most
+    ``max_graphs`` in all. Where the recall stays under it, or links are so rare that it is unknown,
+    an exact pass over all pairs of vectors gives the result instead. ``recall`` is the last audit's
+    figure, 1.0 after the exact pass.
 
     Nulls: vectors that are null, empty, zero or hold null or non-finite components have no links
     and are kept; a null vec_id likewise. Vectors of different lengths never link. Rows that repeat
@@ -267,28 +305,28 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "e
     rows = stored(rows, "vectors")
     vectors = stored(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")).select("id", "v", "m"), "distinct-vectors")
     n = vectors.count()
-    graph, linked, parts, recall = None, None, None, 1.0
+    linked, parts, recall, graph = None, None, None, None
     for g in range(max_graphs if n else 0):
         start = first_graph(vectors, n, g)
         graph = stored(start if graph is None else best(graph.union(start), K), "graph")
-        edges = graph.filter(F.col("s") >= threshold).count()
-        for turn in range(max_rounds):
+        turn = 0
+        while graph.filter("fresh = 1").count() > CHANGED * n * K:
             graph = descend(graph, vectors, 1000 * (g + 1) + turn)
-            now = graph.filter(F.col("s") >= threshold).count()
-            if now - edges <= 0.001 * now:
-                break
-            edges = now
+            turn += 1
         found = graph.filter(F.col("s") >= threshold).select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"))
         parts = stored(components(found), "vector-parts")
         sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
         members = parts.join(sizes, "component").join(vectors, "id").select(F.col("component").alias("grp"), "n", "id", "m", "v")
-        linked = stored(vectors.select("id", "m").join(counted(members, threshold), "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links")), "vector-links")
-        recall = audit(vectors, linked.join(vectors.select("id", "m"), "id").select("id", (F.col("links") - F.col("m") + 1).alias("links")), n, threshold)
-        if recall is not None and recall >= MIN_RECALL:
+        linked = stored(counted(members, threshold), "vector-links")
+        recall = audit(vectors, linked, n, threshold)
+        if recall is None or recall >= MIN_RECALL:
             break
+    if n and (recall is None or recall < MIN_RECALL):
+        linked, found = exact(vectors, threshold)
+        linked, parts, recall = stored(linked, "vector-links"), stored(components(found), "vector-parts"), 1.0
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
-    of_class = vectors.select("v", "id").join(linked, "id").join(parts, "id", "left").select("v", "links", F.coalesce("component", "id").alias("component"))
+    of_class = vectors.join(linked, "id", "left").join(parts, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     out = rows.join(of_class, "v", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))

@@ -82,6 +82,20 @@ def test_first_graph_of_vectors_in_a_cone(spark):
     assert sum((i, i + 1) in found for i in range(0, 600, 2)) >= 290
 
 
+def test_links_that_no_list_can_hold(spark, tmp_path):
+    """Two tight groups, all near to each other: lists of the nearest hold members of their own only."""
+    r = np.random.default_rng(4)
+    v = r.normal(size=(600, 16))
+    for i in range(0, 300, 30):
+        side = r.normal(size=16) * 0.12
+        v[i : i + 30] = v[i] + np.where(np.arange(30) < 15, 1, -1)[:, None] * side + r.normal(size=(30, 16)) * 0.01
+    got = neighbours.op4_near_vectors(spark, frame(spark, [(i, x.tolist()) for i, x in enumerate(v)], tmp_path, "t")).collect()
+    x = v.astype("float32").astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(((x @ x.T >= 0.9).sum(1) - 1).tolist()))
+    assert {r.component_id for r in got if r.vec_id < 300} == set(range(0, 300, 30)) and got[0].recall == 1.0
+
+
 def test_near_vectors_empty(spark, tmp_path):
     assert neighbours.op4_near_vectors(spark, frame(spark, [], tmp_path, "e")).collect() == []
     rows = neighbours.op4_near_vectors(spark, frame(spark, [(1, None), (2, [0.0])], tmp_path, "z")).collect()
