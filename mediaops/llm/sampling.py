@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labels are learned, the most frequent ones.
-MAX_LABELS = 256
-
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: str = "sample-1") -> DataFrame:
-    """About ``per_label`` rows (all, where there are fewer) of each of the MAX_LABELS most frequent
-    labels: a row stays if the hash of its id falls under per_label / rows with its label. Only
-    counts per label reach the driver, and no row is shuffled."""
-    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MAX_LABELS).collect()
-    if not counts:
-        return rows.filter(F.lit(False))
+    """About ``per_label`` rows (all, where there are fewer) of every label: a row stays if the hash
+    of its id falls under per_label / rows with its label. Counts per label are joined to the rows."""
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / 2.0**52
-    rate = F.lit(0.0)
-    for value, n in counts:
-        rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(rate)
-    return rows.filter(u < rate)
+    rate = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("_n"))
+    return rows.join(F.broadcast(counts), label).filter(u < rate).select(*rows.columns)

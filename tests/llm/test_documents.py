@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mediaops.llm import language, minhash, mixing, packing, quality, sharding, substrings, toxicity, words
 from mediaops.llm.common import components, prepare
 from mediaops.llm.grouped import link_within_groups
+from mediaops.llm.sampling import bounded_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id long, size string, score string, copy string, spans string"
 
@@ -282,6 +283,12 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict_language(table(spark, rows[:3]), None).collect()} == {"und"}
 
 
+def test_sample_keeps_every_label(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "if(id >= 2990, null, if(id >= 1000, 'big', concat('l', id % 400))) as lang")
+    got = {r.lang: r["count"] for r in bounded_sample(rows, "lang", 200).groupBy("lang").count().collect()}
+    assert len(got) == 401 and all(got[f"l{i}"] == 2 + (i < 200) for i in range(400)) and 140 < got["big"] < 260
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
