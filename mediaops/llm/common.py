@@ -13,45 +13,58 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches of long texts small."""
+    """Let Python workers import this package."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", REPO)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a folder
-    of this machine in local mode and one beside the warehouse on a cluster."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only in local mode, where one
+    machine is all there is, an unset folder is made in its temporary space."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if spark.sparkContext.master.startswith("local"):
-            os.makedirs("/tmp/checkpoints", exist_ok=True)
-            folder = "file://" + tempfile.mkdtemp(prefix="llm-", dir="/tmp/checkpoints")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        folder = "file://" + tempfile.mkdtemp(prefix="llm-", dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Paths of the tables that were written and not dropped yet.
+_written: dict[str, None] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives the
     loss of any executor, and gives Spark the true size for its join choices."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    _written[path] = None
+    return out
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like stored, but dealt into buckets by ``key``: later joins and groupings by the key read the
-    rows where they are instead of shuffling them again. The table's files stand in the shared
-    folder; its entry lasts as long as the session's catalog."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").bucketBy(buckets, key).saveAsTable(table)
-    return spark.table(table)
+def written() -> set[str]:
+    """Paths of the stored tables that still stand."""
+    return set(_written)
+
+
+def dropped(spark: SparkSession, paths: set[str]) -> None:
+    """Remove stored tables by path, through Hadoop's file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _written.pop(path, None)
+
+
+def release(*tables: DataFrame) -> None:
+    """Drop tables of ``stored`` that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        dropped(df.sparkSession, {df._stored_at})
 
 
 def fold(column: str | Column, folds: int) -> Column:
@@ -64,36 +77,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (id, component) for every id that has an
     edge, component being the smallest id reachable.
 
-    Each round alternates the two "star" steps of Kiveris et al.: every node links its larger
-    neighbours, then its smaller ones, to the least neighbour. Rows never exceed the edges, and
-    the stars need about log(n) rounds. An empty edge table gives no rows.
+    Each round every node steps to the neighbour with the least hash (or stays; in the first round
+    the least id counts, where most edges lead), nodes that meet become one, and the edges between
+    those that are left go on: they shrink by a factor in each round, stars at once. A hub's rows meet small stored tables,
+    so Spark may broadcast these or split the hub's rows. An empty edge table gives no rows.
     """
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-
-    def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a > b
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").filter("b <> m").select(F.col("m").alias("a"), "b")
-        return moved.union(least.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-
-    def signature(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
     e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = stored(e, "edges")
-    seen = signature(e)
-    if seen[0]:
-        for _ in range(max_rounds):
-            e = stored(small(large(e)), "stars")
-            now = signature(e)
-            if now == seen:
-                break
-            seen = now
-        else:
+    steps: list[DataFrame] = []
+    while e.limit(1).count():
+        if len(steps) == max_rounds:
             raise RuntimeError("components did not settle")
-    return e.select(F.col("b").alias("id"), F.col("a").alias("component")).union(
-        e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
-    )
+        draw = lambda c: F.xxhash64(c, F.lit(len(steps))) if steps else F.col(c)
+        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = both.groupBy("a").agg(F.min_by("b", draw("b")).alias("b"))
+        step = stored(best.select(F.col("a").alias("id"), F.when(draw("b") < draw("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "steps")
+        moved = e.join(step.select(F.col("id").alias("a"), F.col("to").alias("p")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("q")), "b")
+        gone = e
+        e = stored(moved.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
+        release(gone)
+        steps.append(step)
+    if not steps:
+        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    ends = steps[0]
+    for step in steps[1:]:
+        later = step.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        ends = ends.join(later, "to", "left").select("id", F.coalesce("then", "to").alias("to"))
+    ends = stored(ends, "ends")
+    least = stored(ends.groupBy("to").agg(F.min("id").alias("component")), "least-ids")
+    return ends.join(least, "to").select("id", "component")

@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import components, stored
+from mediaops.llm.common import components, release, stored
 
 
 def stream_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -70,47 +70,67 @@ def spanning_edges(ids: np.ndarray, linked: np.ndarray) -> tuple[list[int], list
     return a, b
 
 
-def link_within_groups(members: DataFrame, payload: list[str], compare: Callable[[pa.Table, np.ndarray], np.ndarray], block: int) -> DataFrame:
-    """Edges (a, b) that connect what ``compare`` links inside each group, for all pairs of a group.
+def blocks_of(n: Column, size: Column, block: int, block_bytes: int) -> Column:
+    """Into how many blocks a group of ``n`` rows and ``size`` bytes is dealt."""
+    return F.greatest(F.ceil(n / F.lit(block)), F.ceil(size / F.lit(block_bytes)), F.lit(1)).cast("int")
 
-    ``members``: grp, id, n (rows of the group), pivot (its least id) and the payload. A group is
-    dealt into ceil(n / block) blocks by hashed id. First each block is compared within itself and
-    with the group's pivot, which already joins groups of close copies in time linear in their
-    size. Only groups of several blocks that are still in several parts go on: there every two
-    blocks are compared, skipping pairs already joined. compare(rows, wanted) gets the rows and a
-    boolean matrix of the pairs asked for, and returns the matrix of those that are linked. Each
-    call gives spanning edges only, never more than the rows it read.
+
+def link_within_groups(members: DataFrame, payload: list[str], comparer: Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """Edges (a, b) that connect what is alike inside each group, for all pairs of a group.
+
+    ``members``: grp, id, pivot (the group's least id), blocks (into how many the group is dealt,
+    by hashed id) and the payload. First the rows of each block are compared with the group's
+    pivot, then those that it has not joined with all of their block: groups of close copies take
+    time linear in their size. Only groups of several blocks that are still in several parts go
+    on: there every two blocks are compared, skipping pairs already joined, so a row is copied
+    once for each block of its group.
+
+    comparer(rows) gives a function from a boolean matrix of the pairs asked for to the matrix of
+    those that are alike. Each call gives spanning edges only, never more than the rows it read.
     """
-    spread = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    members = members.withColumn("i", F.pmod(F.xxhash64("id"), spread).cast("int"))
-    pivots = members.filter("id = pivot").withColumn("i", F.explode(F.sequence(F.lit(0), spread - 1)))
+    blocks = F.col("blocks")
+    members = members.withColumn("i", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    pivots = members.filter("id = pivot").withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
     own = members.filter("id <> pivot").unionByName(pivots)
 
     def within(rows: pa.Table) -> pa.RecordBatch | None:
         ids = rows["id"].to_numpy()
         if len(ids) < 2:
             return None
-        return edges(ids, compare(rows, ~np.eye(len(ids), dtype=bool)))
+        compare, first = comparer(rows), np.zeros((len(ids), len(ids)), bool)
+        at = ids == rows["pivot"].to_numpy()
+        first[np.flatnonzero(at)[:1]] = True
+        linked = compare(first & ~np.eye(len(ids), dtype=bool))
+        linked |= linked.T
+        joined = linked[np.flatnonzero(at)[:1]].any(0) | at
+        rest = ~(joined[:, None] & joined[None, :]) & ~first & ~first.T & ~np.eye(len(ids), dtype=bool)
+        if rest.any():
+            linked |= compare(rest)
+        return edges(ids, linked)
 
     def edges(ids: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
         a, b = spanning_edges(ids, linked | linked.T)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
-    found = stored(stream_groups(own.select("grp", "i", "id", *payload), ["grp", "i"], within, "a long, b long"), "links")
-    large = members.filter(F.col("n") > block)
+    found = stored(stream_groups(own.select("grp", "i", "id", "pivot", *payload), ["grp", "i"], within, "a long, b long"), "links")
+    large = members.filter("blocks > 1")
     if not large.limit(1).count():
         return found
     parts = components(found)
-    large = large.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    open_groups = large.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("grp")
-    other = F.explode(F.sequence(F.lit(0), spread - 1)).alias("k")
+    large = stored(large.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")), "large-groups")
+    open_groups = stored(large.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("grp"), "open-groups")
+    if not open_groups.limit(1).count():
+        release(large, open_groups)
+        return found
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("k")
     pairs = large.join(open_groups, "grp").select("grp", "id", "i", "part", *payload, other).filter("k <> i")
     pairs = pairs.select("grp", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "id", "part", *payload)
 
     def across(rows: pa.Table) -> pa.RecordBatch | None:
         part, side, ids = rows["part"].to_numpy(), rows["i"].to_numpy(), rows["id"].to_numpy()
         wanted = (part[:, None] != part[None, :]) & (side[:, None] < side[None, :])
-        return edges(ids, compare(rows, wanted)) if wanted.any() else None
+        return edges(ids, comparer(rows)(wanted)) if wanted.any() else None
 
-    more = stream_groups(pairs, ["grp", "lo", "hi"], across, "a long, b long")
-    return found.union(stored(more, "links"))
+    more = stored(stream_groups(pairs, ["grp", "lo", "hi"], across, "a long, b long"), "links")
+    release(large, open_groups)
+    return found.union(more)

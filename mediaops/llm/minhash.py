@@ -9,34 +9,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import components, stored
-from mediaops.llm.grouped import link_within_groups
-from mediaops.llm.words import Words, grams, mix, pieces
+from mediaops.llm.common import components, release, stored
+from mediaops.llm.grouped import blocks_of, link_within_groups
+from mediaops.llm.words import Words, grams, mix, pieces, utf8
 
 #: SetSketch: M registers floor(1 - log_B of the least of exponential draws of rate A), cut to 0..255.
 M, B, A = 256, 1.2, 20.0
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, M, dtype=np.uint64)
-#: Documents compared at once.
-BLOCK = 256
+#: Sketches and texts compared at once, and the bytes of these texts.
+BLOCK, TEXT_BLOCK, TEXT_BYTES = 1024, 512, 16 << 20
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the k-word shingles of each document; a document of fewer words
-    has its whole sequence as one, a document without words has none."""
+def shingle_prints(data: np.ndarray, offsets: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The two lanes of the 128-bit prints of each document's distinct k-word shingles, sorted; a
+    document of fewer words has its whole sequence as one, a document without words has none."""
     w = Words(data, offsets)
-    h = w.hashes(lower=True)
-    g = grams(h, k)
+    h = w.prints(lower=True)
+    g = [grams(x, k) for x in h]
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(g[a : b - k + 1]))
+            one, at = np.unique(g[0][a : b - k + 1], return_index=True)
+            out.append((one, g[1][a : b - k + 1][at]))
+        elif b > a:
+            out.append(tuple(mix(grams(x[a:b], b - a) + np.uint64(b - a)) for x in h))
         else:
-            out.append(mix(grams(h[a:b], b - a) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     return out
 
 
+def shingle_sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    """The same sets, exact: sorted numbers that stand for equal shingles and for no others among
+    these texts. Words and shingles are compared as they are, nothing is hashed away."""
+    data, offsets = utf8(texts)
+    w = Words(data, offsets)
+    word = w.numbers(lower=True)
+    n = len(offsets) - 1
+    doc = np.repeat(np.arange(n), np.diff(w.first))
+    at = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :]) if len(doc) >= k else np.zeros(0, np.int64)
+    base = int(word.max()) + 1 if len(word) else 1
+    x = word[at]
+    for j in range(1, k):
+        x = np.unique(x * base + word[at + j], return_inverse=True)[1]
+    short: dict[tuple, int] = {}
+    few = [i for i, m in enumerate(np.diff(w.first).tolist()) if 0 < m < k]
+    extra = [len(at) + short.setdefault(tuple(word[w.first[i] : w.first[i + 1]].tolist()), len(short)) for i in few]
+    doc, x = np.concatenate([doc[at], np.array(few, np.int64)]), np.concatenate([x, np.array(extra, np.int64)])
+    span = len(at) + len(short) + 1
+    both = np.unique(doc * span + x)
+    return np.split(both % span, np.searchsorted(both, np.arange(1, n) * span))
+
+
 def registers(shingles: np.ndarray) -> np.ndarray:
     """The M registers of a set: minima of exponential draws, which merge by maximum of registers,
     on a scale of powers of B and cut to a byte."""
@@ -62,11 +87,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch):
-                sets = shingle_sets(data, offsets, k)
-                one = [int(mix(s).sum(dtype=np.uint64)) for s in sets]
-                two = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets]
+                sets = shingle_prints(data, offsets, k)
+                one, two = ([int(mix(s[lane]).sum(dtype=np.uint64)) for s in sets] for lane in range(2))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    [part.column(0), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array([registers(s[0]).tobytes() if len(s[0]) else None for s in sets], pa.binary())],
                     ["doc_id", "n_shingles", "fp1", "fp2", "sketch"],
                 )
 
@@ -153,16 +177,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     in lower case, words between white space) is at least ``percent`` / 100; component_id is the
     least doc_id reachable by links and kept tells whether it is the document's own.
 
-    Equal sets are met first, by print, so a group of copies goes on as one document. Sketches
-    are cut into bands; documents alike in a band and by joint likelihood (four standard errors
-    under the threshold) form clusters, inside which full sets are compared block by block. A
-    pair at the threshold shares no band with a chance under 10^-4, is estimated too low with a
-    chance of about 3 x 10^-5, and is linked by nothing but its full sets.
+    Equal sets are met first, by a print of 128 bits, so a group of copies goes on as one document.
+    Sketches are cut into bands; documents alike in a band and by joint likelihood (four standard
+    errors under the threshold) form clusters, inside which full sets are compared block by block,
+    word by word. A pair at the threshold shares no band with a chance under 10^-4, is estimated
+    too low with a chance of about 3 x 10^-5, and is linked by nothing but its full sets.
 
     Nulls: a null, empty or blank text has no shingles and links with nothing; a null doc_id
     links with nothing, has a null component and is kept. Repeated rows are answered each; rows
-    that share a doc_id are one document. Other columns are not read. An empty table gives no
-    rows. No cap is set on groups, bands or partners.
+    that share a doc_id are one document, linked by any of its texts. Other columns are not read.
+    An empty table gives no rows. No cap is set on groups, bands or partners.
     """
     threshold = percent / 100
     n_bands, rows = bands(threshold)
@@ -175,42 +199,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     keys = stored(band_keys(sketches, n_bands, rows), "band-keys")
     met = keys.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print")).filter("n > 1")
-    met = met.groupBy("n", "pivot", "print").agg(F.min("grp").alias("grp"))  # bands with the same documents count once
-    members = stored(keys.join(met.select("grp", "n", "pivot"), "grp").join(sketches, "id"), "band-members")
+    met = stored(met.groupBy("n", "pivot", "print").agg(F.min("grp").alias("grp")), "bands-met")  # bands with the same documents count once
+    dealt = met.select("grp", "pivot", blocks_of(F.col("n"), F.lit(0), BLOCK, 1).alias("blocks"))
+    members = stored(keys.join(dealt, "grp").join(sketches, "id"), "band-members")
+    release(keys, met)
 
-    def alike(rows: pa.Table, wanted: np.ndarray) -> np.ndarray:
+    def alike(rows: pa.Table):
         s = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, M).astype(np.int16)
-        return likely_similar(s, rows["n_shingles"].to_numpy().astype(float), np.triu(wanted | wanted.T, 1), least, threshold)
-
-    clusters = stored(components(link_within_groups(members, ["n_shingles", "sketch"], alike, BLOCK)), "clusters")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in pieces(batch):
-                sets = shingle_sets(data, offsets, k)
-                bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(bounds, flat)], ["id", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(clusters.select("id"), "id")
-    full = texts.mapInArrow(sets_of, "id long, shingles array<long>")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    in_cluster = clusters.join(sizes, "component").select("id", F.col("component").alias("grp"), "n", F.col("component").alias("pivot"))
-    full = stored(full.join(in_cluster, "id"), "full-sets")
-
-    def same(rows: pa.Table, wanted: np.ndarray) -> np.ndarray:
-        sets = [v.values.to_numpy().view(np.uint64) for v in rows["shingles"].combine_chunks()]
-        return exactly_similar(sets, np.triu(wanted | wanted.T, 1), percent, 100)
-
-    found = components(link_within_groups(full, ["shingles"], same, BLOCK))
+        n = rows["n_shingles"].to_numpy().astype(float)
+        return lambda wanted: likely_similar(s, n, np.triu(wanted | wanted.T, 1), least, threshold)
+
+    clusters = stored(components(link_within_groups(members, ["n_shingles", "sketch"], alike)), "clusters")
+    release(members)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(clusters, "id")
+    texts = stored(texts.withColumnRenamed("component", "grp"), "cluster-texts")
+    sizes = stored(texts.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")), "cluster-sizes")
+    dealt = sizes.select("grp", F.col("grp").alias("pivot"), blocks_of(F.col("n"), F.col("size"), TEXT_BLOCK, TEXT_BYTES).alias("blocks"))
+
+    def same(rows: pa.Table):
+        sets = shingle_sets(rows["text"], k)
+        return lambda wanted: exactly_similar(sets, np.triu(wanted | wanted.T, 1), percent, 100)
+
+    links = link_within_groups(texts.join(dealt, "grp"), ["text"], same)
+    twice = stored(real.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared-ids")
+    if twice.limit(1).count():  # rows that share a doc_id are linked through it
+        theirs = stored(real.join(twice, "doc_id").join(reps, ["fp1", "fp2"]).select("doc_id", "rep").distinct(), "shared-sets")
+        first = theirs.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        links = links.union(theirs.join(first, "doc_id").select("a", F.col("rep").alias("b")))
+    found = stored(components(links), "set-links")
+    release(texts, sizes, clusters, sketches)
     of_set = stored(reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component")), "set-components")
-    out = base.drop("sketch").join(of_set, ["fp1", "fp2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))).otherwise(F.col("doc_id"))
-    out = out.withColumn("component_id", component)
+    none = base.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = real.join(of_set, ["fp1", "fp2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(none)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates (nulls and ties: see there) over all documents, 3-word shingles at 85 %."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
 

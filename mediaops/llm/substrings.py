@@ -1,5 +1,5 @@
 """Repeated passages: confirm recurring windows, compile Aho-Corasick automata shard by shard, and
-stream the documents' matching stretches through them."""
+stream all documents through them, each by the stretches that hold a recurring phrase."""
 
 from __future__ import annotations
 
@@ -12,40 +12,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import bucketed, stored
+from mediaops.llm.common import release, stored
 from mediaops.llm.grouped import stream_groups
-from mediaops.llm.words import Words, grams, pieces
+from mediaops.llm.words import Words, grams, mix, pieces
 
 #: Anchors are phrases of so many words: the least hash among the phrases of a window.
 PHRASE = 5
-#: Patterns of one automaton, and segments streamed through one copy of it.
-SHARD_PATTERNS, SALT_SEGMENTS = 25_000, 200_000
+#: Patterns of one automaton, segments streamed through one copy of it, and anchors with more patterns
+#: than an automaton takes that are told to the tasks (8 bytes each).
+SHARD_PATTERNS, SALT_SEGMENTS, MAX_HOT = 25_000, 30_000, 1_000_000
 
 
 @dataclass
 class Windows:
-    """All windows of a run of documents: ``at`` their first words (places in the run), ``doc``
-    the documents, ``anchor`` the hash of the window's least phrase, ``print`` the window's own."""
+    """All windows of a run of documents: ``at`` their first words (places in the run), ``doc`` the
+    documents, ``anchor`` the hash of the window's least phrase, ``second`` that of the least one
+    apart from it, and the two lanes of the window's 128-bit ``print``."""
 
     words: Words
     at: np.ndarray
     doc: np.ndarray
     anchor: np.ndarray
-    print: np.ndarray
+    second: np.ndarray
+    print: tuple[np.ndarray, np.ndarray]
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> Windows:
     """Two equal windows have equal anchors and prints wherever they stand."""
     w = Words(data, offsets)
-    h = w.hashes()
+    h = w.prints()
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
-    if len(h) < size:
+    if len(doc) < size:
         none = np.zeros(0, np.int64)
-        return Windows(w, none, none, none, none)
-    at = np.flatnonzero(doc[: len(h) - size + 1] == doc[size - 1 :])
-    phrases = grams(h, min(PHRASE, size))
-    least = np.lib.stride_tricks.sliding_window_view(phrases, size - min(PHRASE, size) + 1).min(1)
-    return Windows(w, at, doc[at], least[at].view(np.int64), grams(h, size)[at].view(np.int64))
+        return Windows(w, none, none, none, none, (none, none))
+    at = np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :])
+    span = min(PHRASE, size)
+    least = _sliding_least(grams(h[0], span), size - span + 1)[at]
+    second = _sliding_least(mix(grams(h[1], span)), size - span + 1)[at]
+    one, two = (grams(x, size)[at].view(np.int64) for x in h)
+    return Windows(w, at, doc[at], least.view(np.int64), second.view(np.int64), (one, two))
+
+
+def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of every ``n`` consecutive entries, by doubling."""
+    done, reach = x, 1
+    while reach < n:
+        step = min(reach, n - reach)
+        done = np.minimum(done[: len(done) - step], done[step:])
+        reach += step
+    return done
 
 
 def _lists(rows: int, row: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -64,21 +79,36 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
                 doc, anchor = v.doc[order], v.anchor[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-                raw = data.tobytes()
-                sha = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(v.words.first)), pa.array(sha, pa.binary()), _lists(part.num_rows, doc[new], anchor[new])], ["doc_id", "n_words", "sha", "anchors"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(v.words.first)), pa.array(word_digests(data, offsets), pa.binary()), _lists(part.num_rows, doc[new], anchor[new])], ["doc_id", "n_words", "sha", "anchors"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, sha binary, anchors array<long>")
 
 
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """SHA-256 of each text's words joined by one space."""
+    raw = data.tobytes()
+    return [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_sha``, the digest of the text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in pieces(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(word_digests(data, offsets), pa.binary())], [*part.schema.names, "_sha"])
+
+    return docs.mapInArrow(run, docs.withColumn("_sha", F.lit(b"")).schema)
+
+
 def recurring_anchors(base: DataFrame, reps: DataFrame) -> DataFrame:
-    """doc_id and the list of its anchors that stand in another document too, over ``reps``: the
+    """doc_id, sha and the list of the anchors that stand in another document too, over ``reps``: the
     first document of each word sequence. Anchors are counted over all documents with partial
     sums, and joined back with a key that Spark may split; then once more among ``reps``."""
-    every = base.select("doc_id", F.explode("anchors").alias("anchor"))
+    every = base.select("doc_id", "sha", F.explode("anchors").alias("anchor"))
     shared = lambda df: df.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    near = stored(every.join(shared(every), "anchor").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "anchors")
-    return near.join(shared(near), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    near = stored(every.join(shared(every), "anchor").join(reps.select(F.col("rep").alias("doc_id"), "sha"), ["doc_id", "sha"], "left_semi"), "anchors")
+    return near.join(shared(near), "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("anchors"))
 
 
 def _listed(rows: pa.Array, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -93,32 +123,38 @@ def _listed(rows: pa.Array, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def window_prints(candidates: DataFrame, size: int) -> DataFrame:
-    """(print, doc_id): the distinct windows of each candidate that hold one of its anchors."""
+    """(p1, p2, anchor, doc_id, sha): the windows of each candidate that hold one of its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch):
                 v = windows(data, offsets, size)
-                keep = _listed(part.column(2), v.doc, v.anchor)
-                ids = part.column(0).to_numpy()[v.doc[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(v.print[keep]), pa.array(ids)], ["print", "doc_id"])
+                keep = _listed(part.column(3), v.doc, v.anchor)
+                rows = pa.array(v.doc[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(v.print[0][keep]), pa.array(v.print[1][keep]), pa.array(v.anchor[keep]), part.column(0).take(rows)], ["p1", "p2", "anchor", "doc_id"])
 
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "print long, doc_id long")
+    return candidates.select("doc_id", "sha", "text", "anchors").mapInArrow(run, "p1 long, p2 long, anchor long, doc_id long")
 
 
-def passages(candidates: DataFrame, shards: int, size: int, first: bool) -> DataFrame:
-    """Rows (shard, kind, doc_id, start, text) with text as words joined by one space.
+def passages(candidates: DataFrame, shards: int, size: int, first: bool, hot: np.ndarray) -> DataFrame:
+    """Rows (shard, kind, doc_id, sha, start, text) with text as words joined by one space.
 
-    Both are stretches of consecutive windows with one anchor. ``first``: of the windows confirmed
-    under their first document, whose windows are the patterns (kind 0). Otherwise of all
-    candidate windows, to be searched (kind 1)."""
+    Both are stretches of consecutive windows with one anchor, and for the anchors in ``hot`` with
+    one second phrase too. ``first``: of the windows confirmed under their first document, whose
+    windows are the patterns (kind 0). Otherwise of all candidate windows, to be searched (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch):
                 v = windows(data, offsets, size)
-                keep = np.flatnonzero(_listed(part.column(2), v.doc, v.print if first else v.anchor))
+                if first:
+                    keep = np.flatnonzero(_listed(part.column(3), v.doc, v.print[0]) & _listed(part.column(4), v.doc, v.print[1]))
+                else:
+                    keep = np.flatnonzero(_listed(part.column(3), v.doc, v.anchor))
                 doc, at, anchor = v.doc[keep], v.at[keep], v.anchor[keep]
+                if len(hot):
+                    split = np.isin(anchor, hot)
+                    anchor = np.where(split, mix(anchor.view(np.uint64) ^ v.second[keep].view(np.uint64)).view(np.int64), anchor)
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
                 head = np.flatnonzero(new)
@@ -126,13 +162,13 @@ def passages(candidates: DataFrame, shards: int, size: int, first: bool) -> Data
                 raw = data.tobytes()
                 start, end = v.words.start[at[head]], v.words.end[at[tail] + size - 1]
                 text = [b" ".join(raw[a:b].split()).decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                doc_first = v.words.first[doc[head]]
+                rows = pa.array(doc[head])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((anchor[head].view(np.uint64) % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(head), 0 if first else 1, np.int32)), pa.array(part.column(0).to_numpy()[doc[head]]), pa.array(at[head] - doc_first), pa.array(text, pa.string())],
-                    ["shard", "kind", "doc_id", "start", "text"],
+                    [pa.array((anchor[head].view(np.uint64) % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(head), 0 if first else 1, np.int32)), part.column(0).take(rows), part.column(1).take(rows), pa.array(at[head] - v.words.first[doc[head]]), pa.array(text, pa.string())],
+                    ["shard", "kind", "doc_id", "sha", "start", "text"],
                 )
 
-    return candidates.mapInArrow(run, "shard int, kind int, doc_id long, start long, text string")
+    return candidates.mapInArrow(run, "shard int, kind int, doc_id long, sha binary, start long, text string")
 
 
 class PhraseAutomaton:
@@ -179,14 +215,14 @@ class PhraseAutomaton:
 
 
 def located(patterns: DataFrame, segments: DataFrame, size: int) -> DataFrame:
-    """(doc_id, a, b): word spans of the segments that patterns of smaller documents cover. Each
+    """(doc_id, sha, a, b): word spans of the segments that patterns of smaller documents cover. Each
     shard's automaton is compiled where its segments are streamed; a shard with many segments is
     dealt over salts, each with its own copy of the automaton."""
     counts = stored(segments.groupBy("shard").agg(F.count("*").alias("n")), "segment-counts")
     salts = counts.select("shard", F.ceil(F.col("n") / SALT_SEGMENTS).cast("int").alias("salts"))
     left = patterns.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     right = segments.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
-    names = ["shard", "salt", "kind", "doc_id", "start", "text"]
+    names = ["shard", "salt", "kind", "doc_id", "sha", "start", "text"]
 
     def search(rows: pa.Table) -> pa.RecordBatch | None:
         kind = rows["kind"].to_numpy()
@@ -199,14 +235,15 @@ def located(patterns: DataFrame, segments: DataFrame, size: int) -> DataFrame:
             machine.add(texts[i], ids[i])
         machine.compile()
         start = rows["start"].to_numpy()
-        found = [(ids[i], int(start[i]) + a, int(start[i]) + b) for i in np.flatnonzero(~is_pattern).tolist() for a, b in machine.spans(texts[i], ids[i])]
+        found = [(i, int(start[i]) + a, int(start[i]) + b) for i in np.flatnonzero(~is_pattern).tolist() for a, b in machine.spans(texts[i], ids[i])]
         if not found:
             return None
-        d, a, b = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "a", "b"])
+        i, a, b = zip(*found, strict=True)
+        own = rows.take(pa.array(i)).combine_chunks()
+        return pa.RecordBatch.from_arrays([own["doc_id"].combine_chunks(), own["sha"].combine_chunks(), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "sha", "a", "b"])
 
     both = left.select(*names).unionByName(right.select(*names))
-    return stream_groups(both, ["shard", "salt"], search, "doc_id long, a long, b long")
+    return stream_groups(both, ["shard", "salt"], search, "doc_id long, sha binary, a long, b long")
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -222,9 +259,9 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 @dataclass
 class Repeats:
-    """What repeats: ``base`` doc_id, n_words and sha of every row; ``copies`` ids of documents
-    whose whole word sequence stands in a smaller one; ``spans`` doc_id and the word spans
-    covered by windows of smaller documents; ``candidates`` the texts that spans refer to."""
+    """What repeats, by doc_id and sha (of the words): ``base`` with n_words for every row; ``copies``
+    whose whole word sequence stands in a smaller document; ``spans`` with the word spans covered
+    by windows of smaller documents; ``candidates`` with the texts that spans refer to."""
 
     base: DataFrame
     copies: DataFrame
@@ -239,29 +276,38 @@ def find_repeats(docs: DataFrame, size: int = 13) -> Repeats:
     Of equal word sequences only the first document goes on; the others repeat as a whole. Each
     window has an anchor, its least-hashed phrase of PHRASE words; equal windows share it, so
     anchors that stand in one document only are done with. Windows with recurring anchors are
-    confirmed over the corpus, the confirmed ones become patterns under their first document,
-    and each anchor's stretches are streamed through the automaton of the anchor's shard.
+    confirmed over the corpus by prints of 128 bits, the confirmed ones become patterns under
+    their first document, and each anchor's stretches, of all documents, are streamed through the
+    automaton of the anchor's shard; anchors with very many patterns are dealt on by a second
+    phrase. What holds no recurring anchor holds no pattern, and is not streamed.
 
     Nulls: a null or empty text has no words; rows with a null doc_id repeat nothing and are not
-    repeated. Rows that share a doc_id are one document. Documents shorter than ``size`` words
-    have no window. Other columns are not read; an empty table gives empty tables.
+    repeated. Rows that share a doc_id are judged each by its own words, and repeat nothing of one
+    another. Documents shorter than ``size`` words have no window. Other columns are not read; an
+    empty table gives empty tables.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = stored(anchored(rows, size), "repeat-base")
     long = base.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     reps = stored(long.groupBy("sha").agg(F.min("doc_id").alias("rep")), "sequence-reps")
-    copies = stored(long.select("doc_id", "sha").join(reps, "sha").filter("doc_id > rep").select("doc_id").distinct(), "sequence-copies")
-    anchors = recurring_anchors(long, reps)
-    candidates = bucketed(rows.join(anchors, "doc_id"), "repeat-candidates", "doc_id")
-    prints = window_prints(candidates, size).groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id < last")
-    confirmed = stored(prints.groupBy("doc_id").agg(F.collect_list("print").alias("prints")), "confirmed")
-    n = confirmed.agg(F.sum(F.size("prints"))).first()[0] or 0
+    copies = stored(long.select("doc_id", "sha").join(reps, "sha").filter("doc_id > rep").select("doc_id", "sha").distinct(), "sequence-copies")
+    anchors = stored(recurring_anchors(long, reps), "recurring-anchors")
+    candidates = rows.join(anchors.select("doc_id").distinct(), "doc_id", "left_semi")
+    candidates = stored(with_digest(candidates).withColumnRenamed("_sha", "sha").join(anchors, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]), "repeat-candidates")
+    prints = window_prints(candidates, size).groupBy("p1", "p2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor")).filter("doc_id < last")
+    prints = stored(prints.select("doc_id", "anchor", "p1", "p2"), "confirmed")
+    n = prints.count()
+    often = prints.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_PATTERNS)
+    hot = np.sort(np.array([r.anchor for r in often.orderBy(F.desc("n")).limit(MAX_HOT).select("anchor").collect()], np.int64))
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_PATTERNS))
-    patterns = passages(candidates.drop("anchors").join(confirmed, "doc_id").select("doc_id", "text", "prints"), shards, size, True)
-    segments = stored(passages(candidates.select("doc_id", "text", "anchors"), shards, size, False), "segments")
+    confirmed = prints.groupBy("doc_id").agg(F.sort_array(F.collect_list("p1")).alias("p1"), F.sort_array(F.collect_list("p2")).alias("p2"))
+    texts = candidates.drop("anchors").join(confirmed, "doc_id").select("doc_id", "sha", "text", "p1", "p2")
+    patterns = passages(texts, shards, size, True, hot)
+    segments = stored(passages(candidates.select("doc_id", "sha", "text", "anchors"), shards, size, False, hot), "segments")
     found = located(patterns, segments, size)
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return Repeats(base, copies, stored(spans, "repeat-spans"), candidates)
+    spans = stored(found.groupBy("doc_id", "sha").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "repeat-spans")
+    release(segments, prints, anchors, reps)
+    return Repeats(base, copies, spans, candidates)
 
 
 def kept_parts(text: str, spans: list) -> tuple[list[bytes], int]:
@@ -288,38 +334,47 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """
     found = find_repeats(docs, size)
     names = docs.columns
-    rest = docs.join(found.copies.withColumnRenamed("doc_id", "_copy"), F.col("doc_id") == F.col("_copy"), "left_anti")
-    joined = rest.join(found.spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    touched = found.copies.select(F.col("doc_id").alias("_id"), "sha", F.lit(True).alias("_copy"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("_spans"))
+    touched = stored(touched.unionByName(found.spans.select(F.col("doc_id").alias("_id"), "sha", F.lit(False).alias("_copy"), F.col("spans").alias("_spans"))), "touched")
+    by_id = F.col("doc_id") == F.col("_id")
+    clean = docs.join(touched.select("_id").distinct(), by_id, "left_anti")
+    # only rows whose id lost something are told apart by their words
+    mine = with_digest(docs.join(touched.select("_id").distinct(), by_id, "left_semi"))
+    of = touched.withColumnRenamed("sha", "_of")
+    mine = mine.join(of, by_id & (F.col("_sha") == F.col("_of")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b" ".join(kept_parts(t, [(s["a"], s["b"]) for s in sp])[0]).decode() for t, sp in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+            texts = [b" ".join(kept_parts(t, [(s["a"], s["b"]) for s in sp])[0]).decode() if sp else t for t, sp in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in [*names, "_cut"]], [*names, "_cut"])
 
-    touched = joined.filter("_spans is not null and text is not null").mapInArrow(run, docs.schema)
-    touched = touched.filter(F.length("text") > 0)
+    left = mine.filter("not coalesce(_copy, false)").withColumn("_cut", F.col("_spans").isNotNull())
+    cut = left.select(*names, "_spans", "_cut").mapInArrow(run, docs.withColumn("_cut", F.lit(True)).schema)
+    cut = cut.filter(~F.col("_cut") | (F.length("text") > 0))
     if "n_chars" in names:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.filter("_spans is null or text is null").select(*names).unionByName(touched.select(*names))
+        cut = cut.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.select(*names).unionByName(cut.select(*names))
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """find_repeats (nulls and ties: see there) over all documents, told as counts and a digest."""
     found = find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 13)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, sha = [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 parts, n = kept_parts(text, [(s["a"], s["b"]) for s in spans])
                 removed.append(n)
                 sha.append(hashlib.sha256(b" ".join(b" ".join(parts).split())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "cut", "cut_sha"])
-
-    cut = found.candidates.select("doc_id", "text").dropDuplicates(["doc_id"]).join(found.spans, "doc_id").mapInArrow(run, "doc_id long, cut long, cut_sha string")
-    out = found.base.drop("anchors").join(cut, "doc_id", "left").join(found.copies.withColumn("_copy", F.lit(True)), "doc_id", "left")
-    removed = F.when(F.col("_copy"), F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).cast("long")
-    sha = F.when(F.col("_copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha", F.lower(F.hex("sha"))))
-    return out.select("doc_id", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "sha", "cut", "cut_sha"])
+
+    cut = found.candidates.select("doc_id", "sha", "text").join(found.spans, ["doc_id", "sha"]).mapInArrow(run, "doc_id long, sha binary, cut long, cut_sha string")
+    nothing = hashlib.sha256(b"").hexdigest()
+    changed = stored(cut.unionByName(found.copies.select("doc_id", "sha", F.lit(None).cast("long").alias("cut"), F.lit(nothing).alias("cut_sha"))), "cut-rows")
+    out = found.base.drop("anchors").join(changed, ["doc_id", "sha"], "left")
+    removed = F.when(F.col("cut_sha").isNull(), F.lit(0)).otherwise(F.coalesce("cut", "n_words")).cast("long")
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut_sha", F.lower(F.hex("sha"))).alias("kept_sha256"))
 
 
 OP10_SQL = """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,23 +17,14 @@ NON_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = Fals
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_rng = np.random.default_rng(20240501)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = int(_rng.integers(1, 2**62)) * 8 + 5
-_R_INV = pow(_R, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
+#: Seeds of the two lanes of a word's print, and masks of the first 0 to 8 bytes of a number.
+_SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x452821E638D01377))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one, with BLAKE2.
+LONG_WORD = 256
 CHUNK = 1 << 21
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_powers.get("up", ())):
-        for name, base in (("up", _R), ("down", _R_INV)):
-            x = np.full(max(n, CHUNK), base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (in place of a new array)."""
     h = h ^ (h >> np.uint64(31))
@@ -75,13 +67,44 @@ class Words:
         self.end = np.flatnonzero(~space & after) + 1
         self.first = np.searchsorted(self.start, offsets)
 
+    def prints(self, lower: bool = False, lanes: int = 2) -> list[np.ndarray]:
+        """Hashes of the bytes of each word, 64 bits in each of ``lanes``.
+
+        A word is read eight bytes at a time, each read passing through the bijection ``mix``, so
+        words of up to eight bytes and one length never collide. The lanes are seeded apart: two
+        make a print of 128 bits. Words above LONG_WORD bytes get a keyed BLAKE2 digest."""
+        data = LOWER[self.data] if lower else self.data
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        length = self.end - self.start
+        out = [mix(length.astype(np.uint64) + seed) for seed in _SEEDS[:lanes]]
+        live = np.flatnonzero(length <= LONG_WORD)
+        start, left = self.start[live], length[live]
+        while len(live):
+            x = eight[start] & _FIRST[np.minimum(left, 8)]
+            for h in out:
+                h[live] = mix(h[live] ^ x)
+            more = left > 8
+            live, start, left = live[more], start[more] + 8, left[more] - 8
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            digest = hashlib.blake2b(padded[self.start[i] : self.end[i]], digest_size=16, key=b"word").digest()
+            for lane, h in enumerate(out):
+                h[i] = np.frombuffer(digest, "<u8")[lane]
+        return out
+
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word, independent of its place."""
+        return self.prints(lower, 1)[0]
+
+    def numbers(self, lower: bool = False) -> np.ndarray:
+        """The same number for equal words of the run and for no others (words are compared, not hashed)."""
         data = LOWER[self.data] if lower else self.data
-        up, down = _power(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        length = self.end - self.start
+        at = np.repeat(self.start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(length) else np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[at]))])
+        return words.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -76,6 +76,7 @@ def test_near_duplicates(spark, corpus, k, percent):
 
 def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 4)
     base = prose(1, 80)
     rows = [(i, edited(base, i, 0.015), "a") for i in range(60)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows), 3, 85).collect()}
@@ -334,8 +335,70 @@ def test_cut_plan_is_optimal():
 
 
 def test_links_across_blocks(spark):
-    rows = [(1, i, 30, 0, i) for i in range(30)]
-    members = spark.createDataFrame(rows, "grp long, id long, n long, pivot long, x long")
-    near = lambda t, wanted: wanted & (np.abs(t["x"].to_numpy()[:, None] - t["x"].to_numpy()[None, :]) <= 1)
-    got = components(link_within_groups(members, ["x"], near, 4))
+    rows = [(1, i, 8, 0, i) for i in range(30)]
+    members = spark.createDataFrame(rows, "grp long, id long, blocks int, pivot long, x long")
+    near = lambda t: lambda wanted: wanted & (np.abs(t["x"].to_numpy()[:, None] - t["x"].to_numpy()[None, :]) <= 1)
+    got = components(link_within_groups(members, ["x"], near))
     assert {r.component for r in got.collect()} == {0} and got.count() == 30
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words of 1,024 letters and their complements collide under any polynomial in 64 bits."""
+    letters = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in letters) for flip in (0, 1))
+    got = sorted(tuple(r) for r in minhash.near_duplicates(table(spark, [(1, a, "a"), (2, b, "a"), (3, a + " " + b, "a"), (4, b + " " + a, "a")]), 3, 85).collect())
+    assert [r[2] for r in got] == [1, 2, 3, 4]
+    for w in (f"{a} x", f"{a[:200]} y"):
+        one, two = (np.frombuffer(t.encode(), np.uint8) for t in (w, "  " + w))
+        h, g = (words.Words(t, np.array([0, len(t)])).prints() for t in (one, two))
+        assert all((x == y).all() for x, y in zip(h, g, strict=True))
+
+
+def test_exact_sets_agree_with_python(spark):
+    texts = [prose(i % 5, 12 + i) for i in range(20)] + ["", None, "a", "A b", "b a", "a b", "\t"]
+    import pyarrow as pa
+
+    sets = minhash.shingle_sets(pa.chunked_array([pa.array(texts, pa.string())]), 3)
+    split = [(t or "").lower().split() for t in texts]
+    true = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set()) for w in split]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(true[i] & true[j])
+
+
+def test_few_links_at_the_threshold_are_lost():
+    """Of 3,000 pairs just above 85 %, next to none share no band or are estimated too low."""
+    r = np.random.default_rng(6)
+    n_bands, rows = minhash.bands(0.85)
+    least = 0.85 - 4 * np.sqrt(0.85 * 0.15 / minhash.M)
+    lost = 0
+    for _ in range(3000):
+        x = r.integers(0, 2**63, 108, dtype=np.uint64)
+        a, b = x[:100], np.concatenate([x[:92], x[100:]])  # 92 of 108: 0.8519
+        s = np.stack([minhash.registers(a), minhash.registers(b)]).astype(np.int16)
+        band = (s[0] == s[1])[: n_bands * rows].reshape(n_bands, rows).all(1).any()
+        lost += not (band and minhash.likely_similar(s, np.array([100.0, 100.0]), np.triu(np.ones((2, 2), bool), 1), least, 0.85)[0, 1])
+    assert lost <= 4
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    rows = [(1, prose(1, 30), "a"), (3, prose(1, 30), "a"), (3, prose(50, 30), "a"), (4, prose(60, 20) + " " + prose(50, 30), "a"), (2, prose(70, 40), "a"), (2, prose(70, 40) + " x", "a")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op10_substring_dedup(spark, str(tmp_path)).collect())
+    left = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 30, 0, left(rows[0][1])), (3, 30, 30, left("")), (3, 30, 0, left(rows[2][1])), (4, 50, 30, left(prose(60, 20))), (2, 40, 0, left(rows[4][1])), (2, 41, 0, left(rows[5][1]))])
+    out = sorted((r.doc_id, r.text) for r in substrings.remove_repeats(table(spark, rows)).collect())
+    assert out == sorted([(1, rows[0][1]), (3, rows[2][1]), (4, prose(60, 20)), (2, rows[4][1]), (2, rows[5][1])])
+    linked = {r.component_id for r in minhash.near_duplicates(table(spark, rows), 5, 80).collect() if r.doc_id in (1, 3)}
+    assert linked == {1}
+
+
+def test_hot_anchors_are_split(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(substrings, "SHARD_PATTERNS", 3)
+    monkeypatch.setattr(substrings, "SALT_SEGMENTS", 4)
+    common = prose(9, 5)
+    rows = [(i, f"{prose(i // 2, 12, 90)} {common} {prose(100 + i // 2, 12, 90)}", "a") for i in range(24)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    texts, kept = repeats_truth(rows, 13)
+    got = {r.doc_id: r.n_removed for r in substrings.op10_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: len(texts[i]) - len(kept[i]) for i in texts}
