@@ -10,18 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import components, stored
+from mediaops.llm.common import components, release, stored
 from mediaops.llm.grouped import spanning_edges, stream_groups
 from mediaops.llm.topk import clean
 from mediaops.llm.words import mix
 
-#: Neighbours kept for each vector; trees of the first graph, the size of their leaves and the
-#: neighbours taken from each; updates a vector takes from one meeting.
-K, TREES, LEAF, FROM_LEAF, UPDATES = 8, 12, 128, 4, 3
-#: Vectors compared at once, and in the exact pass.
-BLOCK, EXACT_BLOCK = 512, 1024
-#: The descent ends when a round changes a smaller share of the lists' entries.
-CHANGED = 0.001
+#: Neighbours kept for each vector at first, and at most where a list is saturated (its last entry still
+#: a link); trees of the first graph, the size of their leaves and the neighbours taken from each;
+#: updates a vector takes from one meeting.
+K, MOST_K, TREES, LEAF, FROM_LEAF, UPDATES = 8, 16, 12, 128, 4, 3
+#: Vectors compared at once in the descent, where links of whole components are counted, and in the exact pass.
+BLOCK, COUNT_BLOCK, EXACT_BLOCK = 512, 2048, 2048
+#: The descent ends when a round changes a smaller share of the lists' entries. What it leaves undone
+#: the audit sees.
+CHANGED = 0.05
 #: Hyperplanes drawn at once to part a group that is too large; vectors of one direction do not
 #: differ by more along any of them.
 PLANES, SAME = 6, 1e-9
@@ -32,9 +34,11 @@ PROBES, ROUND, LINKED, SHARE, MIN_RECALL = 256, 4096, 300, 1 / 8, 0.95
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors in double precision."""
+    """Unit vectors in double precision. Each is divided by its greatest component first, so that no
+    square overflows or vanishes."""
     x = column.combine_chunks()
     x = x.flatten().to_numpy().astype(float).reshape(len(x), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -131,12 +135,25 @@ def parted(members: DataFrame, vectors: DataFrame, block: int, fill: int, seed:
     return out
 
 
-def best(pairs: DataFrame, k: int) -> DataFrame:
-    """The neighbour graph (id, nb, s, fresh): the ``k`` greatest s of each id, ties to the smaller
-    nb. ``fresh`` is 1 only where all rows of the pair are."""
-    once = pairs.groupBy("id", "nb").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    ranked = once.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "nb", "fresh"))), 1, k).alias("x"))
-    return ranked.select("id", F.explode("x").alias("x")).select("id", F.col("x.nb").alias("nb"), (-F.col("x.d")).alias("s"), F.col("x.fresh").alias("fresh"))
+def best(pairs: DataFrame) -> DataFrame:
+    """The neighbour graph (id, nb, s, k, fresh): of each id the pairs with the greatest s, as many as
+    the greatest ``k`` of its rows says, ties to the smaller nb. ``fresh`` is 1 only where all rows
+    of the pair are."""
+    once = pairs.groupBy("id", "nb").agg(F.max("s").alias("s"), F.max("k").alias("k"), F.min("fresh").alias("fresh"))
+    ranked = once.groupBy("id").agg(F.max("k").alias("k"), F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "nb", "fresh"))).alias("x"))
+    ranked = ranked.select("id", "k", F.explode(F.slice("x", F.lit(1), F.col("k"))).alias("x"))
+    return ranked.select("id", F.col("x.nb").alias("nb"), (-F.col("x.d")).alias("s"), "k", F.col("x.fresh").alias("fresh"))
+
+
+def enlarged(graph: DataFrame, threshold: float) -> DataFrame | None:
+    """The graph with twice the ``k`` for every list that is saturated, whose entries become fresh and
+    all others old, so that the descent goes on around them; None if no list is."""
+    full = graph.groupBy("id").agg(F.count("*").alias("n"), F.max("k").alias("most"), F.min("s").alias("least"))
+    full = stored(full.filter((F.col("n") >= F.col("most")) & (F.col("most") < MOST_K) & (F.col("least") >= threshold)).select("id", F.lit(1).alias("more")), "saturated")
+    if not full.limit(1).count():
+        return None
+    more = F.coalesce("more", F.lit(0))
+    return stored(graph.join(full, "id", "left").select("id", "nb", "s", (F.col("k") * (1 + more)).cast("int").alias("k"), more.cast("int").alias("fresh")), "graph")
 
 
 def meetings(groups: DataFrame, keys: list[str], take: int) -> DataFrame:
@@ -163,13 +180,13 @@ def first_graph(vectors: DataFrame, n: int, seed: int) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
     cells = parted(stored(leaves(vectors, bits, seed).withColumnRenamed("leaf", "grp"), "leaves"), vectors, 2 * LEAF, LEAF, seed)
     rows = cells.join(vectors.select("id", "v"), "id").withColumn("floor", F.lit(-2.0))
-    return best(meetings(rows.select("grp", "id", "v", "floor"), ["grp"], FROM_LEAF).withColumn("fresh", F.lit(1)), K)
+    return best(meetings(rows.select("grp", "id", "v", "floor"), ["grp"], FROM_LEAF).select("id", "nb", "s", F.lit(K).alias("k"), F.lit(1).alias("fresh")))
 
 
 def descend(graph: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
     """One round: the neighbours and reverse neighbours of every vector meet each other. Where very
     many have a vector as neighbour they are parted, like with like, into meetings of at most BLOCK."""
-    floors = graph.groupBy("id").agg(F.count("*").alias("k"), F.min("s").alias("s")).select("id", F.when(F.col("k") >= K, F.col("s")).otherwise(-2.0).alias("floor"))
+    floors = graph.groupBy("id").agg(F.count("*").alias("n"), F.max("k").alias("k"), F.min("s").alias("s")).select("id", F.when(F.col("n") >= F.col("k"), F.col("s")).otherwise(-2.0).alias("floor"))
     known = vectors.select("id", "v").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     out = graph.select(F.col("id").alias("host"), F.col("nb").alias("id"), "fresh")
     guests = out.union(graph.select(F.col("nb").alias("host"), "id", "fresh")).union(graph.select(F.col("id").alias("host"), "id", F.lit(0))).groupBy("host", "id").agg(F.max("fresh").alias("fresh"))
@@ -177,8 +194,27 @@ def descend(graph: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
     changed = guests.filter("fresh = 1").select("grp").distinct()
     rows = parted(guests.drop("fresh").join(changed, "grp"), vectors, BLOCK, BLOCK // 2, seed).join(known, "id")
     news = meetings(rows.select("grp", "id", "v", "floor"), ["grp"], UPDATES)
-    known_pairs = graph.select("id", "nb", "s", F.lit(0).alias("fresh"))
-    return stored(best(known_pairs.union(news.withColumn("fresh", F.lit(1))), K), "graph")
+    pairs = graph.select("id", "nb", "s", "k", F.lit(0).alias("fresh")).union(news.select("id", "nb", "s", F.lit(K), F.lit(1)))
+    out = stored(best(pairs), "graph")
+    release(guests)
+    return out
+
+
+def refined(graph: DataFrame, vectors: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """Descents until the lists settle; then saturated ones are enlarged, and the descent goes on
+    around them, until no list is saturated or all of these are at MOST_K."""
+    while True:
+        entries = graph.agg(F.count("*"), F.sum("fresh")).first()
+        size = entries[1] or 0  # all entries at first, later those of enlarged lists
+        while (entries[1] or 0) > CHANGED * size and entries[1]:
+            old, graph, seed = graph, descend(graph, vectors, seed), seed + 1
+            release(old)
+            entries = graph.agg(F.count("*"), F.sum("fresh")).first()
+        more = enlarged(graph, threshold)
+        if more is None:
+            return graph
+        release(graph)
+        graph = more
 
 
 def crossed(members: DataFrame, block: int) -> DataFrame:
@@ -199,15 +235,24 @@ def linked_here(t: pa.Table, threshold: float) -> np.ndarray:
     return linked
 
 
+def listed(graph: DataFrame, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, links) and (id, component) of the graph's entries at or above the threshold. No list need
+    hold all links: inside a component they are counted, block by block."""
+    near = graph.filter(F.col("s") >= threshold).select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"))
+    parts = stored(components(near), "vector-parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
+    members = parts.join(sizes, "component").join(vectors, "id").select(F.col("component").alias("grp"), "n", "id", "m", "v")
+    return stored(counted(members, threshold), "vector-links"), parts
+
+
 def counted(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): summed ``m`` of the other rows of the same group at or above the threshold.
-    Every two blocks of a group meet, so that no list is too short: here saturated lists grow to
-    hold their whole component."""
+    """(id, links): summed ``m`` of the other rows of the same group at or above the threshold. Every two
+    blocks of a group meet: the exact way for what lists are too short for."""
     def work(t: pa.Table) -> pa.RecordBatch | None:
         linked = linked_here(t, threshold)
         return pa.RecordBatch.from_arrays([t["id"].combine_chunks(), pa.array((linked * t["m"].to_numpy()).sum(1))], ["id", "links"])
 
-    return stream_groups(crossed(members, BLOCK), ["grp", "lo", "hi"], work, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return stream_groups(crossed(members, COUNT_BLOCK), ["grp", "lo", "hi"], work, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def exact(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -244,8 +289,7 @@ def true_links(vectors: DataFrame, probes: list[tuple[int, np.ndarray]], thresho
                 own = np.flatnonzero(length == d)
                 at = [i for i, (_, p) in enumerate(shared.value) if len(p) == d]
                 if at:
-                    x = v.take(pa.array(own)).flatten().to_numpy().astype(float).reshape(len(own), d)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = matrix(pa.chunked_array([v.take(pa.array(own))]))
                     hit = np.array([shared.value[i][1] for i in at]) @ x.T >= threshold
                     hit &= np.array([shared.value[i][0] for i in at])[:, None] != batch.column(0).to_numpy()[own][None, :]
                     n[at] += (hit * batch.column(2).to_numpy()[own]).sum(1)
@@ -267,7 +311,8 @@ def audit(vectors: DataFrame, linked: DataFrame, n: int, threshold: float) -> fl
         size = min(size, most - drawn)
         part = vectors.filter((u >= drawn / n) & (u < (drawn + size) / n))
         rows = part.join(linked, "id", "left").select("id", "v", F.coalesce("links", F.lit(0)).alias("links")).collect()
-        links = true_links(vectors, [(r.id, np.array(r.v, float) / np.linalg.norm(r.v)) for r in rows], threshold) if rows else {}
+        units = [matrix(pa.chunked_array([pa.array([r.v], pa.list_(pa.float64()))]))[0] for r in rows]
+        links = true_links(vectors, [(r.id, u) for r, u in zip(rows, units, strict=True)], threshold) if rows else {}
         held = [r for r in rows if links.get(r.id)]
         found += [min(r.links, links[r.id]) for r in held]
         true += [links[r.id] for r in held]
@@ -288,12 +333,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "e
     starts from the cells of random hyperplanes and is refined in rounds: neighbours of a vector
     meet one another, and each keeps its K nearest, until a round changes less than CHANGED of the
     list entries.
-    Where lists may be saturated (a component's links outnumber K) they are enlarged: all members
-    of a component meet block by block, so links inside it are complete. An audit compares hashed
-    probes with all vectors; under MIN_RECALL another graph is started and merged, at most
-    ``max_graphs`` in all. Where the recall stays under it, or links are so rare that it is unknown,
-    an exact pass over all pairs of vectors gives the result instead. ``recall`` is the last audit's
-    figure, 1.0 after the exact pass.
+    Lists that are full of links are enlarged, to MOST_K at most, and the descent goes on around
+    them. Entries at the threshold make components; inside a component every pair is compared, in
+    one block of COUNT_BLOCK where it fits, so no link there is lost to a list's bound. An audit
+    compares hashed probes with all vectors; under MIN_RECALL another graph is started and merged,
+    at most ``max_graphs`` in all. Where the recall stays under it, or links are so rare that it is
+    unknown, an exact pass over all pairs of vectors gives the result instead.
+    ``recall`` is the last audit's figure, 1.0 after the exact pass.
 
     Nulls: vectors that are null, empty, zero or hold null or non-finite components have no links
     and are kept; a null vec_id likewise. Vectors of different lengths never link. Rows that repeat
@@ -301,23 +347,18 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "e
     """
     v = F.col(column)
     ok = clean(v) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, F.transform(v, lambda x: x.cast("double"))).alias("v"))
+    kind = embeddings.schema[column].dataType.elementType.simpleString()
+    as_is = v if kind in ("float", "double") else F.transform(v, lambda x: x.cast("double"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, as_is).alias("v"))
     rows = stored(rows, "vectors")
     vectors = stored(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")).select("id", "v", "m"), "distinct-vectors")
     n = vectors.count()
     linked, parts, recall, graph = None, None, None, None
     for g in range(max_graphs if n else 0):
         start = first_graph(vectors, n, g)
-        graph = stored(start if graph is None else best(graph.union(start), K), "graph")
-        turn = 0
-        while graph.filter("fresh = 1").count() > CHANGED * n * K:
-            graph = descend(graph, vectors, 1000 * (g + 1) + turn)
-            turn += 1
-        found = graph.filter(F.col("s") >= threshold).select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"))
-        parts = stored(components(found), "vector-parts")
-        sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-        members = parts.join(sizes, "component").join(vectors, "id").select(F.col("component").alias("grp"), "n", "id", "m", "v")
-        linked = stored(counted(members, threshold), "vector-links")
+        graph = stored(start if graph is None else best(graph.union(start)), "graph")
+        graph = refined(graph, vectors, threshold, 1000 * (g + 1))
+        linked, parts = listed(graph, vectors, threshold)
         recall = audit(vectors, linked, n, threshold)
         if recall is None or recall >= MIN_RECALL:
             break
@@ -333,7 +374,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, column: str = "e
 
 
 def op4_near_vectors(spark, sf_dir: str) -> DataFrame:
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)
+    """near_vectors (nulls and ties: see there) over all embeddings at a cosine of 0.9."""
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9).drop("recall")
 
 
 OP4_SQL = """
@@ -343,6 +385,6 @@ WITH RECURSIVE v AS (
 ), links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
 ), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 ), least_of AS (SELECT a, min(b) AS component FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, component = vec_id AS kept, 1.0::DOUBLE AS recall
+SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, component = vec_id AS kept
 FROM embeddings e LEFT JOIN least_of l ON e.vec_id = l.a LEFT JOIN counts c ON e.vec_id = c.a
 """

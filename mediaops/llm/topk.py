@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import stored
+from mediaops.llm.common import release, stored
+from mediaops.llm.grouped import stream_groups
 
 #: Resolutions, coarse to fine: into so many segments a vector is cut.
 LEVELS = (1, 4, 16)
-#: Queries sent to the tasks at once (a few MB, whatever the number of queries), and vectors
-#: compared at once.
-QUERY_GROUP, CHUNK = 4096, 2048
+#: Vectors are dealt into blocks of at least so many rows, and into at most so many blocks, so that
+#: the statistics of all blocks (about 400 bytes each) are small whatever the table's size.
+BLOCK_ROWS, MAX_BLOCKS = 2048, 16384
+#: Queries that meet one copy of a block, and vectors compared at once.
+QUERY_GROUP, CHUNK = 8192, 512
 
 
 def clean(vectors: Column) -> Column:
@@ -33,102 +36,211 @@ def segment_statistics(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarra
     return total / np.sqrt(length), np.sqrt(np.maximum(square - total**2 / length, 0))
 
 
+def sign_code(x: np.ndarray) -> np.ndarray:
+    """The signs of the segment sums as one number, coarse levels first: like vectors have near ones."""
+    signs = np.concatenate([segment_statistics(x.astype(float), p)[0] > 0 for p in LEVELS], axis=1)
+    return (signs << np.arange(signs.shape[1])[::-1]).sum(1)
+
+
+def loosened(bound: np.ndarray) -> np.ndarray:
+    """Bounds a little higher: rounding never rules a tie out."""
+    return bound + 1e-6 * np.abs(bound) + 1e-3
+
+
+def box_bounds(q: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray, deviation: np.ndarray) -> np.ndarray:
+    """(queries, boxes): above the inner product with any vector whose sums stand between ``low`` and
+    ``high`` and whose deviation norms are at most ``deviation`` in each segment."""
+    up, down = np.maximum(q[0], 0), np.minimum(q[0], 0)
+    return loosened(up @ high.T + down @ low.T + q[1] @ deviation.T)
+
+
 class Searcher:
     """Top ``k`` of integer vectors for a group of queries.
 
     Split into means and deviations, squared distance is at least, in each segment, length x
     (difference of means)^2 + (difference of deviation norms)^2. With the norms known, that lower
     bound on distance is an upper bound on the inner product: sums x sums + norms x norms. A
-    query's k-th best score so far rules vectors out, coarse statistics before fine ones, and
-    exact scores are computed for the survivors. Pruning keeps ties, so results are exact.
+    query's ``floor`` (its k-th best score so far) rules out whole chunks of vectors first, then
+    single ones, coarse statistics before fine; each level looks at the pairs that the level
+    before has left, and exact scores are computed for the survivors. Ties are kept.
     """
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.q, self.k = ids, queries, k
         self.levels = [segment_statistics(queries.astype(float), p) for p in LEVELS]
-        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.astype(float).copy()
+        self.found = (np.zeros(0, np.int64),) * 3  # place of the query, id, score
+        self.compared = [0] * (len(LEVELS) + 1)  # pairs looked at, by level and exactly
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Offer vectors; their order does not matter."""
-        if not len(ids):
+        """Offer vectors; like ones should follow one another."""
+        if not len(ids) or not len(self.ids):
             return
+        top = int(max(np.abs(x).max(), 1)) * int(max(np.abs(self.q).max(), 1)) * x.shape[1]
+        if top >= 2**63:
+            raise OverflowError("scores of these vectors do not fit 64 bits")
         xf = x.astype(float)
         stats = [segment_statistics(xf, p) for p in LEVELS]
-        alive = np.ones((len(self.ids), len(ids)), bool)
-        for (qs, qd), (xs, xd) in zip(self.levels, stats, strict=True):
-            if np.isinf(self.floor).all():
-                break
-            bound = qs @ xs.T
-            bound += qd @ xd.T
-            bound += 1e-6 * np.abs(bound) + 1e-3  # rounding never rules a tie out
-            alive &= bound >= self.floor[:, None]
-        alive &= self.ids[:, None] != ids[None, :]
-        for i in np.flatnonzero(alive.any(1)):
-            at = np.flatnonzero(alive[i])
-            score = x[at] @ self.q[i]
-            if np.isfinite(self.floor[i]):
-                some = score >= self.floor[i]
-                at, score = at[some], score[some]
-            have, had = self.best[i]
-            have, had = np.concatenate([have, ids[at]]), np.concatenate([had, score])
-            order = np.lexsort((have, -had))[: self.k]
-            self.best[i] = have[order], had[order]
-            if len(order) == self.k:
-                self.floor[i] = had[order[-1]]
+        for at in range(0, len(ids), CHUNK):
+            part = slice(at, at + CHUNK)
+            fine = [s[part] for s in stats[-1]]
+            box = box_bounds(self.levels[-1], fine[0].min(0)[None], fine[0].max(0)[None], fine[1].max(0)[None])[:, 0]
+            r, c = np.flatnonzero(box >= self.floor), np.arange(at, min(at + CHUNK, len(ids)))
+            if not len(r):
+                continue
+            r, c = np.repeat(r, len(c)), np.tile(c, len(r))
+            for level, ((qs, qd), (xs, xd)) in enumerate(zip(self.levels, stats, strict=True)):
+                if not len(r) or not np.isfinite(self.floor[r]).any():
+                    break
+                self.compared[level] += len(r)
+                bound = np.einsum("ij,ij->i", qs[r], xs[c]) + np.einsum("ij,ij->i", qd[r], xd[c])
+                stay = loosened(bound) >= self.floor[r]
+                r, c = r[stay], c[stay]
+            other = self.ids[r] != ids[c]
+            r, c = r[other], c[other]
+            self.compared[-1] += len(r)
+            exact = np.einsum("ij,ij->i", self.q[r].astype(float), xf[c]).astype(np.int64) if top < 2**53 else np.einsum("ij,ij->i", self.q[r], x[c])
+            self.merge(r, ids[c], exact)
+
+    def merge(self, r: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        stay = score >= self.floor[r]
+        r, ids, score = (np.concatenate([old, new[stay]]) for old, new in zip(self.found, (r, ids, score), strict=True))
+        order = np.lexsort((ids, -score, r))
+        r, ids, score = r[order], ids[order], score[order]
+        first = np.searchsorted(r, np.arange(len(self.ids)))
+        keep = np.arange(len(r)) - first[r] < self.k
+        self.found = r[keep], ids[keep], score[keep]
+        full = np.bincount(self.found[0], minlength=len(self.ids)) == self.k
+        last = np.searchsorted(self.found[0], np.flatnonzero(full), side="right") - 1
+        self.floor[full] = np.maximum(self.floor[full], self.found[2][last])
 
     def rows(self) -> pa.RecordBatch:
-        q = np.repeat(self.ids, [len(b[0]) for b in self.best])
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([b[0] for b in self.best])), pa.array(np.concatenate([b[1] for b in self.best]))], ["query_id", "vec_id", "score"])
+        r, ids, score = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[r]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
+def by_length(v: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the lists of each length above 0."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    length = np.diff(v.offsets.to_numpy())
+    for d in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == d)
+        yield d, own, v.take(pa.array(own)).flatten().to_numpy().reshape(len(own), d)
+
+
+def in_blocks(vectors: DataFrame, n: int) -> DataFrame:
+    """(block, vec_id, v): like vectors stand together. They are sorted by the signs of their segment
+    sums, coarse before fine, and dealt into even ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = np.zeros(batch.num_rows, np.int64)
+            for _, own, x in by_length(batch.column(1)):
+                code[own] = sign_code(x)
+            yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], ["code", "vec_id", "v"])
+
+    blocks = max(1, min(MAX_BLOCKS, -(-n // BLOCK_ROWS)))
+    coded = vectors.select("vec_id", "v").mapInArrow(run, "code long, vec_id long, v array<long>")
+    dealt = coded.repartitionByRange(blocks, F.size("v"), "code", "vec_id").sortWithinPartitions(F.size("v"), "code", "vec_id")
+    return stored(dealt.select(F.spark_partition_id().alias("block"), "vec_id", "v"), "search-blocks")
+
+
+def block_boxes(blocks: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each length the blocks that hold such vectors and, in each segment of the finest level,
+    the least and the greatest sum and the greatest deviation norm: at most MAX_BLOCKS rows and
+    one more for each length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            for d, own, x in by_length(batch.column(1)):
+                s, dev = segment_statistics(x.astype(float), LEVELS[-1])
+                first = np.flatnonzero(np.concatenate([[True], block[own][1:] != block[own][:-1]]))
+                low, high, most = (f.reduceat(a, first, axis=0) for f, a in ((np.minimum, s), (np.maximum, s), (np.maximum, dev)))
+                m = s.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(low.size, d)), pa.array(np.repeat(block[own][first], m).astype(np.int32)), pa.array(np.tile(np.arange(m), len(first))), *map(pa.array, (low.ravel(), high.ravel(), most.ravel()))], ["d", "block", "s", "low", "high", "most"])
+
+    rows = blocks.select("block", "v").mapInArrow(run, "d long, block int, s long, low double, high double, most double")
+    t = rows.groupBy("d", "block", "s").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most")).toPandas().sort_values(["d", "block", "s"])
+    return {int(d): (g["block"].to_numpy().reshape(-1, min(LEVELS[-1], d))[:, 0], *[g[c].to_numpy().reshape(-1, min(LEVELS[-1], d)) for c in ("low", "high", "most")]) for d, g in t.groupby("d")}
+
+
+def searched(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each (block, query_id, q, floor) in that block. A block
+    meets its queries in one task, in copies where more than QUERY_GROUP ask for it."""
+    parts = stored(asked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(QUERY_GROUP)).cast("int").alias("copies")), "block-copies")
+    none = F.lit(None)
+    left = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "v", none.cast("double").alias("floor"))
+    right = asked.join(parts, "block").select("block", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int").alias("copy"), F.lit(0).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("v"), "floor")
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        kind, ids = rows["kind"].to_numpy(), rows["id"].to_numpy()
+        found = []
+        sides = [{d: (ids[at][own], x, own) for d, own, x in by_length(rows["v"].combine_chunks().take(pa.array(at)))} for at in (np.flatnonzero(kind == 0), np.flatnonzero(kind == 1))]
+        floor = rows["floor"].to_numpy()[kind == 0]
+        for d in sides[0].keys() & sides[1].keys():
+            (q_ids, q, own), (v_ids, v, _) = sides[0][d], sides[1][d]
+            s, order = Searcher(q_ids, q, k, floor[own]), np.argsort(sign_code(v), kind="stable")
+            s.add(v_ids[order], v[order])
+            found.append(s.rows())
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found and sum(map(len, found)) else None
+
+    return stream_groups(left.unionByName(right), ["block", "copy"], work, "query_id long, vec_id long, score long")
 
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each query the k rows of ``vectors`` with the
     greatest inner product, ties to the smaller vec_id, never the row with the query's own id.
 
-    Both tables have vec_id and v, a clean array<long> of the same length. Queries are taken in
-    groups of QUERY_GROUP by rank of their hashed id: a group is sent to all tasks, its size
-    bounded by that number, and the vectors are read once for each group. A task keeps k rows a
-    query, so what is shuffled for a query is k rows a task.
+    Both tables have vec_id and v, a clean array<long>. Vectors are dealt into blocks of like ones,
+    whose statistics, bounded in size, are sent to all tasks. A query first searches the block
+    with the highest bound; its k-th best score there rules out most blocks, and it is sent to
+    those that are left. Queries never pass through the driver.
 
     Vectors of another length than the query's, and rows with a null vec_id, take no part; the
-    callers leave out null, short and non-finite vectors with ``clean``. Repeated ids are all
-    offered. No queries, or no vectors, give no rows.
+    callers leave out null, short and non-finite vectors with ``clean``. Empty vectors take no part.
+    Repeated ids are all offered, and each query of an id is answered. No queries, or no vectors,
+    give no rows. Scores that may not fit 64 bits raise OverflowError.
     """
-    spark = vectors.sparkSession
-    vectors = stored(vectors.filter("vec_id is not null and v is not null").select("vec_id", "v"), "search-vectors")
-    queries = stored(queries.filter("vec_id is not null and v is not null").select("vec_id", "v"), "search-queries")
-    n = queries.count()
-    groups = -(-n // QUERY_GROUP)
-    found = None
-    for g in range(groups):
-        rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).orderBy("vec_id").collect()
-        sizes = sorted({len(r.v) for r in rows})
-        shared = spark.sparkContext.broadcast([(np.array([r.vec_id for r in rows if len(r.v) == d], np.int64), np.array([r.v for r in rows if len(r.v) == d], np.int64)) for d in sizes])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searchers = {q.shape[1]: Searcher(ids, q, k) for ids, q in shared.value}
+    ok = "vec_id is not null and v is not null and size(v) > 0"
+    vectors = stored(vectors.filter(ok).select("vec_id", "v"), "search-vectors")
+    queries = stored(queries.filter(ok).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id", "q"]), "search-queries")
+    blocks = in_blocks(vectors, vectors.count())
+    release(vectors)
+    boxes = vectors.sparkSession.sparkContext.broadcast(block_boxes(blocks))
+
+    def choose(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, CHUNK):
-                    part = batch.slice(at, CHUNK)
-                    ids, v = part.column(0).to_numpy(), part.column(1)
-                    length = np.diff(v.offsets.to_numpy())
-                    for d, s in searchers.items():
-                        own = np.flatnonzero(length == d)
-                        if len(own):
-                            s.add(ids[own], v.take(pa.array(own)).flatten().to_numpy().reshape(len(own), d))
-            for s in searchers.values():
-                yield s.rows()
-
-        part = vectors.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+                for d, own, q in by_length(batch.column(1)):
+                    if d not in boxes.value:
+                        continue
+                    names, low, high, most = boxes.value[d]
+                    for at in range(0, len(own), CHUNK):
+                        some = own[at : at + CHUNK]
+                        bound = box_bounds(segment_statistics(q[at : at + CHUNK].astype(float), LEVELS[-1]), low, high, most)
+                        best = bound.argmax(1)
+                        floor = np.full(len(some), -np.inf) if first else batch.column(2).to_numpy()[some]
+                        wanted = np.zeros(bound.shape, bool) if first else bound >= floor[:, None]
+                        wanted[np.arange(len(some)), best] = first
+                        r, c = np.nonzero(wanted)
+                        part = batch.take(pa.array(some[r]))
+                        yield pa.RecordBatch.from_arrays([pa.array(names[c].astype(np.int32)), part.column(0), part.column(1), pa.array(floor[r])], ["block", "query_id", "q", "floor"])
+
+        return run
+
+    schema = "block int, query_id long, q array<long>, floor double"
+    near = stored(searched(stored(queries.mapInArrow(choose(True), schema), "first-asked"), blocks, k), "first-found")
+    kth = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).cast("double").alias("floor"))
+    known = queries.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    asked = stored(known.mapInArrow(choose(False), schema), "then-asked")
+    found = near.unionByName(searched(asked, blocks, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_exact_top_k(spark, sf_dir: str) -> DataFrame:
+    """exact_top_k (nulls and ties: see there) of every hundredth vector against all."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(clean(F.col("embedding")))
     rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("v"))
     return exact_top_k(rows.filter("vec_id % 100 = 0"), rows, 10)
