@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import stored
@@ -16,25 +16,37 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, BITS // 4), 16, 10).cast("double") / F.lit(float(2**BITS))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(N <= 0), P(N <= 1), ... of a Poisson law as an array long enough for every BITS-bit draw:
-    the tail beyond rate + 12 sqrt(rate) + 24 is under 2^-53. Terms are kept as logarithms, so
-    large rates do not underflow."""
-    first = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("total"), F.array(F.exp(-rate)).alias("cdf"))
+#: Above this rate a document draws several times, each with an equal part of the rate, and the counts
+#: are added: the law is the same, and no table of it holds more than about 1,400 entries.
+MOST_RATE = 1000.0
+#: Steps of the search in a table: 2^11 entries.
+SEARCH = 11
 
-    def step(acc: Column, k: Column) -> Column:
-        log_p = acc["log_p"] + F.log(rate / k)
-        total = acc["total"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
 
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    filled = F.aggregate(F.sequence(F.lit(1), last), first, step, lambda acc: acc["cdf"])
-    return F.when(rate > 0, filled).otherwise(F.array(F.lit(1.0)))
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """Adds ``cdf``, P(N <= 0), P(N <= 1), ... of the Poisson law of each row's ``part`` (a rate of at most
+    MOST_RATE) to (_mix_source, part, ...): the tail beyond part + 12 sqrt(part) + 24 is under 2^-53.
+    Logarithms of the terms are summed up along each table, so large rates do not underflow."""
+    last = F.ceil(F.col("part") + 12 * F.sqrt("part") + 24).cast("int")
+    steps = rates.filter("part > 0").select("_mix_source", "part", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    upto = Window.partitionBy("_mix_source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("log_p", F.sum(F.when(F.col("k") == 0, -F.col("part")).otherwise(F.log(F.col("part") / F.col("k")))).over(upto))
+    steps = steps.withColumn("total", F.sum(F.exp("log_p")).over(upto))
+    tables = steps.groupBy("_mix_source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "total"))), lambda x: x["total"]).alias("cdf"))
+    joined = rates.join(tables.withColumnRenamed("_mix_source", "_s"), F.col("_mix_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return joined.withColumn("cdf", F.coalesce("cdf", F.array(F.lit(1.0))))
+
+
+def entries_up_to(cdf: Column, u: Column) -> Column:
+    """How many entries of the rising array are not above u, found by halving steps."""
+    step = lambda at, bit: F.when(F.coalesce(F.get(cdf, at + bit - 1) <= u, F.lit(False)), at + bit).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(2**b) for b in reversed(range(SEARCH))]), F.lit(0), step)
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, default_weight: float, total: float | None) -> DataFrame:
-    """One row per source present: _mix_source, n_docs, rate, cdf. A null source is its own source,
-    named by null in ``weights``. Only source counts are read; two scalars reach the driver."""
+    """One row per source present: _mix_source, n_docs, rate, draws, part (rate / draws) and cdf. A null
+    source is its own source, named by null in ``weights``. Only source counts are read; two
+    scalars reach the driver."""
     counts = docs.groupBy(F.col("source").alias("_mix_source")).agg(F.count("*").alias("n_docs"))
     weight = F.lit(float(default_weight))
     for name, value in (weights or {}).items():
@@ -47,7 +59,8 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, default_
     wanted = float(n if total is None else total)
     share = F.col("weight") / F.lit(all_weight) if all_weight > 0 else F.lit(0.0)
     counts = counts.withColumn("rate", F.lit(wanted) * share / F.col("n_docs"))
-    return stored(counts.withColumn("cdf", poisson_cdf(F.col("rate"))), "mix-rates")
+    draws = F.greatest(F.ceil(F.col("rate") / F.lit(MOST_RATE)), F.lit(1)).cast("int")
+    return stored(poisson_tables(counts.withColumn("draws", draws).withColumn("part", F.col("rate") / F.col("draws"))), "mix-rates")
 
 
 def mix_sources(
@@ -73,11 +86,18 @@ def mix_sources(
     empty texts are ordinary rows. Rows with equal doc_id get equal counts. Input columns named
     copy, n_copies, mix_rate or mix_key are replaced. An empty table gives no rows.
     """
-    own = ("copy", "n_copies", "mix_rate", "mix_key")
-    docs = docs.drop(*own)
+    return replicated(docs.drop(*MIXED), weights, default_weight, total, seed, salts, MIXED)
+
+
+#: Columns that mix_sources adds.
+MIXED = ("copy", "n_copies", "mix_rate", "mix_key")
+
+
+def replicated(docs: DataFrame, weights: dict[str, float] | None, default_weight: float, total: float | None, seed: str, salts: int, added: tuple[str, str, str, str]) -> DataFrame:
+    """mix_sources with the added columns under the names ``added``; all columns of ``docs`` stay."""
     names = docs.columns
     rates = repetition_rates(docs, weights, default_weight, total).select(
-        F.coalesce("_mix_source", F.lit("")).alias("_mix_name"), F.col("_mix_source").isNull().alias("_mix_null"), F.col("rate").alias("_mix_rate"), F.col("cdf").alias("_mix_cdf"),
+        F.coalesce("_mix_source", F.lit("")).alias("_mix_name"), F.col("_mix_source").isNull().alias("_mix_null"), F.col("rate").alias("_mix_rate"), F.col("draws").alias("_mix_draws"), F.col("cdf").alias("_mix_cdf"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_mix_salt"),
     )
     identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -86,13 +106,20 @@ def mix_sources(
         F.pmod(F.crc32(identity.cast("binary")), F.lit(salts)).cast("int").alias("_mix_salt"),
     )
     joined = keyed.join(rates, ["_mix_name", "_mix_null", "_mix_salt"])
-    draw = uniform(F.lit(seed), F.col("_mix_id"))
-    counted = joined.withColumn("_mix_u", draw).withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u"))))
+    one = entries_up_to(F.col("_mix_cdf"), uniform(F.lit(seed), F.col("_mix_id")))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("_mix_draws")), F.lit(0), lambda n, j: n + entries_up_to(F.col("_mix_cdf"), uniform(F.lit(seed), F.col("_mix_id"), j.cast("string"))))
+    counted = joined.withColumn("_mix_n", F.when(F.col("_mix_draws") == 1, one).otherwise(more))
+    copy, n_copies, rate, key = added
     copies = counted.filter("_mix_n > 0").select(
-        *names, "_mix_id", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"), F.col("_mix_n").alias("n_copies"), F.col("_mix_rate").alias("mix_rate")
+        *names, "_mix_id", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias(copy), F.col("_mix_n").alias(n_copies), F.col("_mix_rate").alias(rate)
     )
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), "_mix_id", F.col("copy").cast("string")))).drop("_mix_id")
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    keyed = copies.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed + "-order"), "_mix_id", F.col(copy).cast("string")))).drop("_mix_id")
+    return keyed.repartition(key).sortWithinPartitions(key)
+
+
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, total: float | None = None, seed: str = "mix-1", salts: int = 32) -> DataFrame:
+    """The rows of mix_sources with the columns of ``docs`` alone, whatever their names."""
+    return replicated(docs, weights, default_weight, total, seed, salts, ("_mix_copy", "_mix_copies", "_mix_times", "_mix_key")).select(*docs.columns)
 
 
 #: Target weights of the registered query; sources not listed weigh 1.
@@ -100,6 +127,7 @@ QUERY_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 0.5, "src4": 0.0
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """mix_sources (nulls and ties: see there) over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs, QUERY_WEIGHTS).withColumn("mix_rate", F.round("mix_rate", 9))
 

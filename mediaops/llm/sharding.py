@@ -2,58 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import stored
+from mediaops.llm.words import mix
 
-#: Shards are dealt to the tree in turn: shard s stands in region s % REGIONS, and there in rack
-#: (s // REGIONS) % RACKS, so one more shard grows one rack of one region.
+#: Shard s stands in region s % REGIONS, there in rack (s // REGIONS) % RACKS, and there at place
+#: s // (REGIONS * RACKS). Places make generations: the first, the second, the next two, four, ...
 REGIONS, RACKS = 4, 5
 #: Rows of a shard are numbered bucket by bucket, so no task holds a whole shard.
 SLOT_BUCKETS = 256
 
 
-def tree(n_shards: int, weights: dict[int, float] | None = None) -> list[tuple[int, int, int, float]]:
-    """Leaves (region, rack, shard, weight) of the tree; a weight is 1 unless given."""
-    if n_shards < 1:
-        raise ValueError("there must be a shard")
-    return [(s % REGIONS, (s // REGIONS) % RACKS, s, float((weights or {}).get(s, 1.0))) for s in range(n_shards)]
-
-
-def leaf_draw(key: Column, shard: int, weight: float, seed: str) -> Column:
-    """-ln(u) / weight with u hashed from (seed, key, shard): an exponential time of rate weight."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, F.lit(shard)), 11).cast("double") + 0.5) / F.lit(2.0**53)
-    return -F.log(u) / F.lit(weight)
+def generations(n_shards: int) -> list[tuple[int, int]]:
+    """First place and number of places of each generation that n_shards reach into."""
+    out, at, size = [], 0, 1
+    while at * REGIONS * RACKS < n_shards:
+        out.append((at, size))
+        at, size = at + size, max(1, at + size)
+    return out
 
 
-def descend(leaves: list[tuple[int, int, int, float]], draws: Column) -> Column:
-    """The shard reached from the root by taking at each level the child with the least draw.
+def descend(key: np.ndarray, weights: np.ndarray, most: float) -> np.ndarray:
+    """The shard of each hashed key; ``weights`` by shard, none above ``most``.
 
-    ``draws`` holds a draw for each of ``leaves``, which stand in tree order. The draw of an inner
-    node is the least of its leaves' draws, itself an exponential time with the summed weight as
-    rate. So nodes win in proportion to their weights, and a changed weight changes draws only on
-    the path above it: rows move only into a subtree that grew or out of one that shrank.
+    Every generation is a tree of equal subtrees. A key comes to it again and again, at times
+    that are hashed: each time it descends by one draw a level, to a region, a rack and a place,
+    and stays if that shard exists and a last draw is under its weight / ``most``. The key goes
+    where it stays first. Times and paths depend on the key alone, so another weight moves rows
+    only into the shard that grew or out of the one that shrank, and one more shard takes rows
+    only into itself. Shards win in proportion to their weights; the work is a few descents for
+    each generation, and there are log2(shards) of these.
     """
-    spans: dict[int, dict[int, list[int]]] = {}  # region, rack: places of its leaves
-    for i, (region, rack, _, _) in enumerate(leaves):
-        spans.setdefault(region, {}).setdefault(rack, []).append(i)
-    span = lambda at: F.struct(F.lit(at[0] + 1).alias("start"), F.lit(len(at)).alias("n"))
-    least = lambda x: F.struct(F.array_min(F.slice(draws, x["start"], x["n"])).alias("draw"), x["start"].alias("start"), x["n"].alias("n"), x["racks"].alias("racks"))
-    regions = F.array(*[F.struct(span([i for at in racks.values() for i in at])["start"].alias("start"), F.lit(sum(map(len, racks.values()))).alias("n"), F.array(*map(span, racks.values())).alias("racks")) for racks in spans.values()])
-    region = F.array_min(F.transform(regions, least))
-    rack = F.array_min(F.transform(region["racks"], lambda x: F.struct(F.array_min(F.slice(draws, x["start"], x["n"])).alias("draw"), x["start"].alias("start"), x["n"].alias("n"))))
-    shards = F.array(*[F.lit(leaf[2]) for leaf in leaves])
-    return F.transform(F.array(rack), lambda k: F.element_at(shards, (k["start"] - 1 + F.array_position(F.slice(draws, k["start"], k["n"]), k["draw"])).cast("int")))[0]
-
-
-def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, float] | None = None, seed: str = "shard-1") -> DataFrame:
+    first, shard = np.full(len(key), np.inf), np.full(len(key), -1, np.int64)
+    for g, (base, places) in enumerate(generations(len(weights))):
+        slots = REGIONS * RACKS * places
+        if not (weights[base * REGIONS * RACKS : (base + places) * REGIONS * RACKS] > 0).any():
+            continue
+        live, time, visit = np.arange(len(key)), np.zeros(len(key)), 0
+        while len(live):
+            draw = lambda level: (mix(mix(key[live] + np.uint64(g * 8 + level)) + np.uint64(visit)) >> np.uint64(11)).astype(float) / 2.0**53  # noqa: E731, B023
+            time = time - np.log1p(-draw(0)) / slots
+            early = time < first[live]  # a key that comes too late does not come again
+            live, time = live[early], time[early]
+            region, rack, place = (np.floor(draw(level) * n).astype(np.int64) for level, n in ((1, REGIONS), (2, RACKS), (3, places)))
+            s = region + REGIONS * (rack + RACKS * (base + place))
+            stays = (s < len(weights)) & (draw(4) * most < weights[np.minimum(s, len(weights) - 1)])
+            first[live[stays]], shard[live[stays]] = time[stays], s[stays]
+            live, time, visit = live[~stays], time[~stays], visit + 1
+    return shard
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, float] | None = None, seed: str = "shard-1", max_weight: float | None = None) -> DataFrame:
     """Every document's shard and its slot there, and the shard it would take if there was one more.
 
     Returns the columns of ``docs`` without the text, and size (UTF-8 bytes of text plus 16),
     text_crc32 (unsigned), law ('key': doc_id and the tree alone decide), shard, slot (gapless
     from 0 in each shard) and grown_shard (the shard in the tree with one more leaf of weight 1;
-    only the new shard gains rows). Input columns of these names are replaced.
+    only the new shard gains rows). Input columns of these names are replaced. A weight is 1
+    unless given; trees are comparable if ``max_weight`` (default: the greatest weight) is the same.
 
     Slots number the rows of a shard by (bucket of the hashed id, doc_id): counts per (shard,
     bucket) are cumulated, then rows are numbered inside each bucket, so a task sorts one bucket
@@ -63,22 +75,31 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, floa
     equal doc_id share a shard and get slots of their own, in no fixed order among identical
     rows. An empty table gives no rows.
     """
+    if n_shards < 1:
+        raise ValueError("there must be a shard")
+    weight = np.array([float((weights or {}).get(s, 1.0)) for s in range(n_shards + 1)])
+    weight[n_shards] = 1.0
+    most = float(max_weight or weight.max())
+    if (weight < 0).any() or not (weight[:n_shards] > 0).any() or (weight > most).any():
+        raise ValueError("weights must stand between 0 and max_weight, and one above 0")
     docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     names = [c for c in docs.columns if c != "text"]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    grown = sorted([*tree(n_shards, weights), tree(n_shards + 1)[-1]])
-    leaves = [leaf for leaf in grown if leaf[3] > 0]  # tree order
-    new = next(i for i, leaf in enumerate(leaves) if leaf[2] == n_shards)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    drawn = docs.select(
-        *names, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
-        F.array(*[leaf_draw(key, s, w, seed) for _, _, s, w in leaves]).alias("_draws"),
-        F.pmod(F.crc32(F.concat(F.lit("slot:"), key).cast("binary")), F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"),
+    facts = docs.select(
+        *names, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), F.xxhash64(F.lit(seed), key).alias("_key"),
+        # rows without an id, which may be many, are dealt by where they are read
+        F.pmod(F.xxhash64(F.lit("slot"), key, F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"),
     )
-    old = F.concat(F.slice("_draws", 1, new), F.slice("_draws", new + 2, len(leaves)))
-    drawn = drawn.withColumn("_old", old)
-    shards = {"shard": descend(leaves[:new] + leaves[new + 1 :], F.col("_old")), "grown_shard": descend(leaves, F.col("_draws"))}
-    placed = stored(drawn.withColumns(shards).drop("_draws", "_old"), "shards")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("_key").to_numpy().view(np.uint64)
+            found = [pa.array(descend(key, w, most).astype(np.int32)) for w in (weight[:n_shards], weight)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "shard", "grown_shard"])
+
+    placed = facts.mapInArrow(run, facts.withColumn("shard", F.lit(0)).withColumn("grown_shard", F.lit(0)).schema)
+    placed = stored(placed.drop("_key"), "shards")
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -88,5 +109,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, floa
 
 
 def op8_shard_documents(spark, sf_dir: str) -> DataFrame:
+    """shard_documents (nulls and ties: see there) of all documents into 40 shards of one weight."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shard_documents(docs)

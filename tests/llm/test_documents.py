@@ -179,14 +179,31 @@ def test_mixing_shares(spark, corpus):
 
 
 def test_poisson_is_inverted(spark):
-    for rate in (0.3, 2.5, 30.0):
-        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate))).first()[0]
-        p, total = np.exp(-rate), 0.0
-        for k, c in enumerate(cdf[:40]):
-            total += p
-            assert abs(c - total) < 1e-12
-            p *= rate / (k + 1)
-        assert 1 - cdf[-1] < 1e-12
+    rates = (0.3, 2.5, 30.0, 900.0)
+    df = spark.createDataFrame([(f"s{i}", r) for i, r in enumerate(rates)] + [(None, 2.5), ("none", 0.0)], "_mix_source string, part double")
+    got = {r._mix_source: list(r.cdf) for r in mixing.poisson_tables(df).collect()}
+    assert got["none"] == [1.0] and got[None] == got["s1"]
+    for i, rate in enumerate(rates):
+        log_p, total = -rate, 0.0
+        for k, c in enumerate(got[f"s{i}"]):
+            total += np.exp(log_p)
+            assert abs(c - total) < 1e-11
+            log_p += np.log(rate / (k + 1))
+        assert 1 - got[f"s{i}"][-1] < 1e-11
+    cdf = got["s2"]
+    u = [0.0, cdf[0], 1e-9, 0.5, 0.999999, cdf[40], 1 - 2**-52]
+    found = spark.createDataFrame([(x,) for x in u], "u double").select(mixing.entries_up_to(F.array(*map(F.lit, cdf)), F.col("u")).alias("n")).collect()
+    assert [r.n for r in found] == [sum(c <= x for c in cdf) for x in u]
+
+
+def test_large_rates(spark):
+    got = mixing.mix_sources(table(spark, [(i, "x", "a" if i else "b") for i in range(3)]), {"a": 0.0}, total=30000.0).groupBy("source").count().collect()
+    assert len(got) == 1 and abs(got[0]["count"] - 30000) < 900
+
+
+def test_mixing_keeps_own_columns(spark):
+    out = mixing.mixed_documents(table(spark, [(i, "x", "a") for i in range(50)])).collect()
+    assert out and {r.copy for r in out} == {"clash"}
 
 
 def test_mixing_is_native(spark, corpus):
@@ -210,13 +227,57 @@ def test_sharding(spark, corpus):
     assert sharding.shard_documents(table(spark, [])).collect() == []
 
 
+def brute_shard(key, weights, most):
+    """The descent of one key, step by step."""
+    def draw(g, level, visit):
+        h = words.mix(np.array([key + g * 8 + level], np.uint64))
+        return float(words.mix(h + np.uint64(visit))[0] >> np.uint64(11)) / 2.0**53
+
+    best = (np.inf, -1)
+    for g, (base, places) in enumerate(sharding.generations(len(weights))):
+        time, visit = 0.0, 0
+        if not any(weights[base * 20 : (base + places) * 20]):
+            continue
+        while True:
+            time -= np.log1p(-draw(g, 0, visit)) / (20 * places)
+            if time >= best[0]:
+                break
+            s = int(draw(g, 1, visit) * 4) + 4 * (int(draw(g, 2, visit) * 5) + 5 * (base + int(draw(g, 3, visit) * places)))
+            if s < len(weights) and draw(g, 4, visit) * most < weights[s]:
+                best = (time, s)
+                break
+            visit += 1
+    return best[1]
+
+
+def test_descent_against_brute_force():
+    r = np.random.default_rng(2)
+    key = r.integers(0, 2**62, 300, dtype=np.uint64)
+    for n in (1, 7, 20, 41, 130):
+        w = np.ones(n) if n != 41 else r.random(41) * 2
+        assert sharding.descend(key, w, 2.0).tolist() == [brute_shard(int(k), w, 2.0) for k in key]
+
+
+def test_one_more_shard_takes_rows_only_into_itself():
+    key = np.random.default_rng(3).integers(0, 2**62, 20000, dtype=np.uint64)
+    before = sharding.descend(key, np.ones(1), 1.0)
+    for n in range(2, 100):
+        after = sharding.descend(key, np.ones(n), 1.0)
+        assert ((after == before) | (after == n - 1)).all()
+        before = after
+    counts = np.bincount(before, minlength=99)
+    assert ((counts - 20000 / 99) ** 2 / (20000 / 99)).sum() < 160  # 98 degrees of freedom
+
+
 def test_sharding_weights(spark):
     rows = table(spark, [(i, "x", "a") for i in range(8000)])
-    before = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8).collect()}
-    after = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8, {3: 3.0, 5: 0.0}).collect()}
+    before = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8, max_weight=3.0).collect()}
+    after = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8, {3: 3.0, 5: 0.0}, max_weight=3.0).collect()}
     n = Counter(after.values())
     assert n[5] == 0 and abs(n[3] - 8000 * 3 / 9) < 250
     assert all(after[i] == s or after[i] == 3 or s == 5 for i, s in before.items())
+    with pytest.raises(ValueError):
+        sharding.shard_documents(rows, 2, {0: 0.0, 1: 0.0})
 
 
 def test_quality(spark):
@@ -232,6 +293,26 @@ def test_quality(spark):
     assert {r.score for r in one.collect()} == {1.0}
 
 
+def test_quality_scores_against_brute_force(spark):
+    """Class means and covariances of numpy, and Gaussian log densities without Cholesky factors."""
+    rows = [(i, prose(i, 20 + i % 40) + ("" if i % 2 else "!! X ") * (i % 5), "a") for i in range(80)]
+    labels = {i: i % 2 for i in range(60)}
+    got = {r.doc_id: r.score for r in quality.quality_scores(table(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    data = [np.frombuffer(t.encode(), np.uint8) for _, t, _ in rows]
+    x = np.array([quality.document_statistics(d, np.array([0, len(d)]))[0] for d in data])
+    y = np.array([labels.get(i, -1) for i in range(80)])
+    pooled = sum((n := (y == c).sum() - 1) * np.cov(x[y == c].T) for c in (0, 1)) / (60 - 2)
+    z = []
+    for c in (0, 1):
+        own, d = x[y == c], quality.D
+        w = max(0.05, d / (len(own) + d))
+        cov = 0.8 * (w * pooled + (1 - w) * np.cov(own.T)) + 0.2 * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        diff = x - own.mean(0)
+        z.append(np.log(len(own) / 60) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff))
+    score = 1 / (1 + np.exp(-np.clip((z[1] - z[0]) * 0.5, -50, 50)))
+    assert np.allclose([got[i] for i in range(80)], score, atol=1e-6)
+
+
 def test_quality_statistics_do_not_depend_on_batches(spark):
     texts = [prose(1, 30), "", "É a!\n\nb", "x " * 5000]
     data = "".join(texts).encode()
@@ -303,6 +384,22 @@ def test_toxicity_against_brute_force(spark):
             assert got[i].predicted == int(i % 5 == 0)
 
 
+def check_language_model(model, rows):
+    """Probabilities from n-grams counted by hand, for texts of ASCII letters and blanks."""
+    text = rows[0][1]
+    grams = Counter()
+    b = np.frombuffer(text.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
+    h = b.copy()
+    for k in range(1, 4):
+        h = h[: len(b) - k] * language._MULT[0] + b[k:]
+        for x in (words.mix(h * language._MULT[k]) >> np.uint64(51)).tolist():
+            grams[x] += 1
+    z = sum(c * model.table[x] for x, c in grams.items()) / sum(grams.values()) + model.bias
+    p = np.exp((z - z.max()) / model.temperature)
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert np.allclose(model.probabilities(language.subword_counts(data, np.array([0, len(data)])))[0], p / p.sum())
+
+
 def test_language(spark):
     make = {"xx": "abcde", "yy": "vwxyz", "zz": "mnopq"}
     r = random.Random(4)
@@ -310,6 +407,7 @@ def test_language(spark):
     rows = [(i, text(make[k]), k) for i, k in enumerate(list(make) * 60)]
     known = spark.createDataFrame([(i, t, k if i % 2 else None) for i, t, k in rows] + [(900, None, "xx"), (901, "", "yy")], "doc_id long, text string, lang string")
     model = language.fit_language(known)
+    check_language_model(model, rows)
     odd = [(1000, None, "a"), (1001, "", "a"), (1002, "123 !!", "a"), (1003, "жук", "a"), (1004, text("vwxyz") * 500, "a"), (1002, "123 !!", "a")]
     got = {r.doc_id: r for r in language.predict_language(table(spark, rows + odd), model).collect()}
     assert all(got[i].lang_pred == k and 0 <= got[i].score <= 1 for i, _, k in rows)
