@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import fold, prepare, stored
+from mediaops.llm.common import dropped, fold, prepare, stored, written
 from mediaops.llm.minhash import near_duplicates
-from mediaops.llm.mixing import mix_sources
+from mediaops.llm.mixing import mixed_documents
 from mediaops.llm.packing import pack_documents
 from mediaops.llm.quality import quality_scores
 from mediaops.llm.substrings import remove_repeats
@@ -46,9 +46,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated so that sources take their target shares, and shuffled globally. A null
-    source is a source of its own; repeated rows draw alike."""
-    return mix_sources(docs, SOURCE_WEIGHTS).select(*docs.columns)
+    """Documents are repeated so that sources take their target shares, and shuffled globally; all their
+    columns stay as they are. A null source is a source of its own; repeated rows draw alike."""
+    return mixed_documents(docs, SOURCE_WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``; returns the packed pieces."""
+    """All stages on the documents of ``sf_dir``; returns the packed pieces. What a stage has written
+    for itself, and the rows that it read, go when its own rows are stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            done = written() - before
             docs = stored(docs, f"stage-{name}")
+            dropped(spark, done)
     return docs
