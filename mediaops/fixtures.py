@@ -5,6 +5,12 @@ The same derivations stand as SQL in ``queries``; integer arithmetic only.
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +69,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, width, height, has_alpha, n_pages, length, modified_at of the files that exist."""
+    """path, width, height, has_alpha, n_pages, length, modified_at, orientation of the files that exist;
+    JPEG files stand in any of the eight orientations."""
     f = F.col("f")
     paths = events(spark, sf_dir).filter(f % 10 != 3).select("path", "f").distinct()
     return paths.select(
         "path", (200 + (f * 977) % 20000).cast("int").alias("width"), (100 + (f * 577) % 9000).cast("int").alias("height"), (f % 2 == 0).alias("has_alpha"), (1 + f % 5).cast("int").alias("n_pages"), (1000 + f * 7919).alias("length"),
-        F.timestamp_add("DAY", (f % 20).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("modified_at"),
+        F.timestamp_add("DAY", (f % 20).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("modified_at"), F.when(f % 12 < 2, 1 + f % 8).otherwise(1).cast("int").alias("orientation"),
     )
 
 
@@ -94,3 +101,39 @@ def image_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, source_id, height, width, channels and px, 2 x 8 RGBA images made of embeddings."""
     px = F.transform("embedding", lambda x: F.greatest(F.least(F.floor((x.cast("double") + 1.0) * 127.5), F.lit(255)), F.lit(0)).cast("int"))
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), (F.col("vec_id") % 9).alias("source_id"), F.lit(2).alias("height"), F.lit(8).alias("width"), F.lit(4).alias("channels"), px.alias("px"))
+
+
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def image_file(image_id: int, px: list[int]) -> tuple[str, bytes]:
+    """Name and bytes of a file made of an image id and 2 x 8 RGBA pixels: in turn an uncompressed PNG of
+    these, and a JPEG and a GIF that consist of a header with sizes (and orientation) by the id."""
+    w, h = 1 + image_id % 500, 1 + image_id % 300
+    if image_id % 3 == 0:
+        raw = b"".join(b"\0" + bytes(px[32 * y : 32 * y + 32]) for y in range(2))
+        return f"png/{image_id}.png", b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 2, 8, 6, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(raw, 0)) + _chunk(b"IEND", b"")
+    if image_id % 3 == 1:
+        exif = b"Exif\0\0II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHIHH", 0x0112, 3, 1, 1 + image_id % 8, 0) + b"\0\0\0\0"
+        frame = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, h, w, 1) + b"\x01\x11\x00"
+        return f"jpg/{image_id}.jpg", b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + frame + b"\xff\xd9"
+    return f"gif/{image_id}.gif", b"GIF89a" + struct.pack("<HH", w, h) + b"\0\0\0;"
+
+
+def write_files(df: DataFrame, root: str, make: Callable[..., tuple[str, bytes]]) -> None:
+    """One file under ``root`` for each row: make(*columns) gives its name and bytes. Tasks write through
+    Arrow's file systems; a task that runs again writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa_fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, data = make(*row)
+                at = f"{base}/{name}"
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()

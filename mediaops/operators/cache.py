@@ -50,7 +50,7 @@ def render_plan(routed: DataFrame) -> DataFrame:
     resize = F.when(spec["width"].isNotNull() | spec["height"].isNotNull(), F.col("box"))
     page = F.when(F.col("kind.paged"), G.clamp_page(spec["page"], F.col("n_pages"))).otherwise(F.lit(0).cast("long"))
     steps = turned.select(
-        "cache_key", "path", "output_format", page.alias("page"), F.when(F.col("kind.svg"), F.col("loaded")).alias("load"), resize.alias("resize"), spec["rotate"].alias("rotate"),
+        "cache_key", "path", "output_format", page.alias("page"), F.when(F.col("kind.svg") | F.col("kind.paged"), F.col("loaded")).alias("load"), resize.alias("resize"), spec["rotate"].alias("rotate"),
         F.when(F.col("kind.transparent") & (F.col("output_format") != "jpg"), spec["background"]).alias("composite"), F.col("out").alias("out"), M.encode_options(spec["quality"], spec["background"], F.col("output_format"), F.col("out.w"), F.col("out.h")).alias("encode"),
     )
     return steps.dropDuplicates(["cache_key"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.functions import parsing as P
+from mediaops.session import bound
 
 
 def split_request(requests: DataFrame, target: str | None = None) -> DataFrame:
@@ -19,12 +20,12 @@ def split_request(requests: DataFrame, target: str | None = None) -> DataFrame:
         bare = F.regexp_replace(F.regexp_replace(F.col(target), r"#.*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*", "")
         requests = requests.withColumn("path", F.substring_index(bare, "?", 1)).withColumn("query", F.regexp_extract(bare, r"(?s)\?(.*)$", 1))
     path = F.regexp_replace(F.coalesce(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), "path"), "^/+", "")
-    return requests.withColumn("path", path).withColumn("params", P.query_map(F.col("query")))
+    return bound(requests.withColumn("path", path), params=P.query_map(F.col("query")))
 
 
 def parse_requests(requests: DataFrame) -> DataFrame:
     """Adds ``raw``, the typed optional parameters with their ``bad`` flag."""
-    return requests.withColumn("raw", P.parse_raw(F.col("params")))
+    return bound(requests, raw=P.parse_raw(F.col("params")))
 
 
 def build_params(requests: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def build_params(requests: DataFrame) -> DataFrame:
         F.col("path").alias("path"), P.scale_side(raw["w"], raw["dpr"]).alias("width"), P.scale_side(raw["h"], raw["dpr"]).alias("height"), raw["q"].alias("quality"), P.parse_crop(raw["crop"]).alias("crop"),
         P.parse_thumb(raw["thumb"]).alias("page"), F.coalesce(raw["original"], F.lit(False)).alias("original"), P.parse_rotate(raw["rot"]).alias("rotate"), P.parse_background(raw["bg"]).alias("background"), P.parse_format(raw["f"]).alias("format"),
     )
-    return requests.withColumn("spec", spec)
+    return bound(requests, spec=spec)
 
 
 def typed_requests(requests: DataFrame) -> DataFrame:

@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
-from mediaops.functions.formats import DOCUMENTS, RASTER
-from mediaops.functions.parsing import COLOURS, FORMATS, ORIGINS, ROTATIONS
+# Fixed values, written down apart from the code under test: names, extensions and aliases of requests.
+FORMATS = {"jpg": "jpg", "jpeg": "jpg", "png": "png", "webp": "webp", "avif": "avif", "pdf": "pdf"}
+ROTATIONS = {
+    "90": 270, "left": 270, "anticlockwise": 270,
+    "180": 180, "bottom-up": 180, "upside-down": 180,
+    "270": 90, "right": 90, "clockwise": 90,
+}
+COLOURS = {"transparent": (0, 0, 0, 0), "black": (0, 0, 0, 255), "white": (255, 255, 255, 255)}
+ORIGINS = {
+    "top-left": "top-left", "left-top": "top-left",
+    "top-center": "top-center", "center-top": "top-center", "top": "top-center",
+    "top-right": "top-right", "right-top": "top-right",
+    "left-center": "left-center", "center-left": "left-center", "left": "left-center",
+    "right-center": "right-center", "center-right": "right-center", "right": "right-center",
+    "bottom-left": "bottom-left", "left-bottom": "bottom-left",
+    "bottom-center": "bottom-center", "center-bottom": "bottom-center", "bottom": "bottom-center",
+    "bottom-right": "bottom-right", "right-bottom": "bottom-right",
+}
+DOCUMENTS = ["doc", "docx", "odt", "xls", "xlsx", "ods", "ppt", "pptx", "odp", "rtf"]
+RASTER = ["jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff", "ico", "svg", "heic", "heif", "jp2", "jpm", "jpx", "jpf", "avif", "avifs"]
+OPAQUE = ["jpg", "jpeg"]
 
 
 def _list(values) -> str:
@@ -45,7 +64,7 @@ CHANGES = """changes AS (SELECT event_id AS change_id, path, ts AS changed_at FR
 
 ASSETS = """assets AS (
   SELECT path, CAST(200 + (f * 977) % 20000 AS INTEGER) AS width, CAST(100 + (f * 577) % 9000 AS INTEGER) AS height, f % 2 = 0 AS has_alpha,
-         CAST(1 + f % 5 AS INTEGER) AS n_pages, 1000 + f * 7919 AS length, TIMESTAMP '2024-01-01' + to_days(CAST(f % 20 AS INTEGER)) AS modified_at
+         CAST(1 + f % 5 AS INTEGER) AS n_pages, 1000 + f * 7919 AS length, TIMESTAMP '2024-01-01' + to_days(CAST(f % 20 AS INTEGER)) AS modified_at, CAST(CASE WHEN f % 12 < 2 THEN 1 + f % 8 ELSE 1 END AS INTEGER) AS orientation
   FROM (SELECT DISTINCT path, f FROM ev WHERE f % 10 <> 3))"""
 
 
@@ -129,35 +148,58 @@ def u16(x: str) -> str:
     return f"CASE WHEN isnan({x}) THEN 0 WHEN {x} >= 65535 THEN 65535 ELSE CAST(floor({x} + 0.5) AS BIGINT) END"
 
 
-def target(w: str, h: str) -> tuple[str, str]:
-    """Sides of target_dims over columns sw and sh, the source's."""
-    ratio = "(CAST(sw AS DOUBLE) / CAST(sh AS DOUBLE))"
-    first = f"CASE WHEN ({w}) IS NULL AND ({h}) IS NULL THEN sw % 65536 ELSE ({w}) END"
+def target(w: str, h: str, sw: str = "sw", sh: str = "sh") -> tuple[str, str]:
+    """Sides of target_dims over the source's columns."""
+    ratio = f"(CAST({sw} AS DOUBLE) / CAST({sh} AS DOUBLE))"
+    first = f"CASE WHEN ({w}) IS NULL AND ({h}) IS NULL THEN {sw} % 65536 ELSE ({w}) END"
     out_w = f"coalesce({first}, {u16(f'(CAST(({h}) AS DOUBLE) * {ratio})')})"
     return out_w, f"coalesce(({h}), {u16(f'(CAST({out_w} AS DOUBLE) / {ratio})')})"
 
 
-PW, PH = target("CASE WHEN rotate IN (90, 270) THEN height ELSE width END", "CASE WHEN rotate IN (90, 270) THEN width ELSE height END")
+TURNED = ("CASE WHEN rotate IN (90, 270) THEN height ELSE width END", "CASE WHEN rotate IN (90, 270) THEN width ELSE height END")
+PW, PH = target(*TURNED)
+LPW, LPH = target(*TURNED, "lw", "lh")
 TW, TH = target("width", "height")
 
-PLANNED = RAW + ", " + CHANGES + ", " + ASSETS + f""", hashed AS (
+
+def shrink(w: str, h: str, pw: str, ph: str) -> str:
+    return f"greatest(1.0, least(CAST({w} AS DOUBLE) / nullif({pw}, 0), CAST({h} AS DOUBLE) / nullif({ph}, 0)))"
+
+
+def covered(w: str, h: str, pw: str, ph: str) -> tuple[str, str]:
+    """Sides of output_dims before the turn."""
+    by = shrink(w, h, pw, ph)
+    none = "width IS NULL AND height IS NULL"
+    return tuple(f"CASE WHEN {none} THEN {side} ELSE least({box}, CAST(floor({side} / {by} + 0.5) AS BIGINT)) END" for side, box in ((w, pw), (h, ph)))
+
+
+def planned_sql(avif: bool) -> str:
+    """Requests with format, sizes and keys. Sizes are taken upright; svg, pdf and documents are loaded
+    at the size that the request needs."""
+    accepts_avif = "WHEN contains(accept, 'image/avif') THEN 'avif' " if avif else ""
+    own_w, own_h = covered("sw", "sh", "pw", "ph")
+    load_w, load_h = covered("lw", "lh", "lpw", "lph")
+    loads = f"ext IN {any_of(['svg', 'pdf', *DOCUMENTS])}"
+    return RAW + ", " + CHANGES + ", " + ASSETS + f""", hashed AS (
   SELECT *, sha256(path || '|' || {CANONICAL}) AS spec_hash, coalesce({EXT}, '') AS ext FROM spec
 ), attached AS (
-  SELECT s.*, a.width AS sw, a.height AS sh, a.has_alpha, a.n_pages, a.modified_at, a.path IS NOT NULL AS found FROM hashed s LEFT JOIN assets a ON s.path = a.path
+  SELECT s.*, CASE WHEN a.orientation BETWEEN 5 AND 8 THEN a.height ELSE a.width END AS sw, CASE WHEN a.orientation BETWEEN 5 AND 8 THEN a.width ELSE a.height END AS sh,
+    a.has_alpha, a.n_pages, a.modified_at, a.path IS NOT NULL AS found FROM hashed s LEFT JOIN assets a ON s.path = a.path
 ), sized AS (
   SELECT *, {PW} AS pw, {PH} AS ph, {TW} AS tw, {TH} AS th,
-    CASE WHEN format <> 'auto' THEN format WHEN accept IS NULL THEN 'webp' WHEN contains(accept, 'image/webp') THEN 'webp' ELSE 'jpg' END AS negotiated
+    CASE WHEN format <> 'auto' THEN format WHEN accept IS NULL THEN 'webp' {accepts_avif}WHEN contains(accept, 'image/webp') THEN 'webp' ELSE 'jpg' END AS negotiated
   FROM attached
 ), loads AS (
-  SELECT *, CASE WHEN ext <> 'svg' THEN sw WHEN rotate NOT IN (90, 270) THEN tw WHEN tw > th THEN th + 2 ELSE CAST(floor(sw * (CAST(tw AS DOUBLE) / sh) + 0.5) AS BIGINT) END AS lw,
-    CASE WHEN ext <> 'svg' THEN sh WHEN rotate NOT IN (90, 270) THEN th WHEN tw > th THEN CAST(floor(sh * (CAST(tw AS DOUBLE) / sh) + 0.5) AS BIGINT) ELSE tw + 2 END AS lh,
-    greatest(1.0, least(CAST(sw AS DOUBLE) / nullif(pw, 0), CAST(sh AS DOUBLE) / nullif(ph, 0))) AS shrink
+  SELECT *, {own_w} AS own_w, {own_h} AS own_h,
+    CASE WHEN NOT {loads} THEN sw WHEN rotate NOT IN (90, 270) THEN tw WHEN tw > th THEN th + 2 ELSE CAST(floor(sw * (CAST(tw AS DOUBLE) / sh) + 0.5) AS BIGINT) END AS lw,
+    CASE WHEN NOT {loads} THEN sh WHEN rotate NOT IN (90, 270) THEN th WHEN tw > th THEN CAST(floor(sh * (CAST(tw AS DOUBLE) / sh) + 0.5) AS BIGINT) ELSE tw + 2 END AS lh
   FROM sized
+), boxes AS (
+  SELECT *, {LPW} AS lpw, {LPH} AS lph FROM loads
 ), limits AS (
   SELECT *, coalesce((negotiated = 'webp' AND (lw > 16383 OR lh > 16383 OR CAST(lw AS BIGINT) * lh > 170000000)) OR (negotiated IN ('avif', 'png') AND (lw > 16384 OR lh > 16384)), false) AS too_large,
-    CASE WHEN width IS NULL AND height IS NULL THEN sw ELSE least(pw, CAST(floor(sw / shrink + 0.5) AS BIGINT)) END AS bw,
-    CASE WHEN width IS NULL AND height IS NULL THEN sh ELSE least(ph, CAST(floor(sh / shrink + 0.5) AS BIGINT)) END AS bh
-  FROM loads
+    {load_w} AS bw, {load_h} AS bh
+  FROM boxes
 ), planned AS (
   SELECT *, CASE WHEN NOT too_large THEN negotiated WHEN format <> 'auto' THEN NULL WHEN negotiated = 'webp' AND has_alpha AND lw <= 16384 AND lh <= 16384 THEN 'png' ELSE 'jpg' END AS output_format,
     CASE WHEN too_large AND format <> 'auto' THEN 'too_large' END AS limit_error,
@@ -169,6 +211,9 @@ PLANNED = RAW + ", " + CHANGES + ", " + ASSETS + f""", hashed AS (
   FROM planned
 )"""
 
+
+PLANNED = planned_sql(False)
+
 #: Entries that the fixture cache holds: the first request of every path and query, for ids divisible by 3.
 VARIANTS = """, variants AS (
   SELECT cache_key, path, output_format, 1000 + req_id % 5000 AS length, ts AS cached_at FROM (
@@ -179,7 +224,10 @@ VARIANTS = """, variants AS (
   SELECT path, min(regexp_extract(cache_key, '([^/]*)\\.[^./]*$', 1)) AS stem, min(cached_at) AS written_at FROM variants GROUP BY path
 )"""
 
-ROUTED = PLANNED + VARIANTS + """, entries AS (SELECT cache_key, max(cached_at) AS cached_at FROM variants GROUP BY cache_key),
+
+def routed_sql(avif: bool = False, auth: str = "'ok'") -> str:
+    """``routed``: requests with their outcome; ``auth`` is SQL for the state of a request's token."""
+    return planned_sql(avif) + VARIANTS + f""", entries AS (SELECT cache_key, max(cached_at) AS cached_at FROM variants GROUP BY cache_key),
 docs AS (SELECT path, max(cached_at) AS converted_at FROM documents_cache GROUP BY path),
 looked AS (
   SELECT k.*, CASE WHEN e1.cached_at IS NULL THEN 'absent' WHEN date_trunc('second', e1.cached_at) < date_trunc('second', modified_at) THEN 'stale' ELSE 'hit' END AS first_state,
@@ -187,7 +235,10 @@ looked AS (
     convertible AND NOT (d.converted_at IS NOT NULL AND coalesce(date_trunc('second', d.converted_at) >= date_trunc('second', modified_at), true)) AS converting
   FROM keyed k LEFT JOIN entries e1 ON k.first_key = e1.cache_key LEFT JOIN entries e2 ON k.cache_key = e2.cache_key LEFT JOIN docs d ON k.path = d.path
 ), routed AS (
-  SELECT *, CASE WHEN bad THEN 'bad_request' WHEN NOT found THEN 'not_found' WHEN original OR NOT supported THEN 'original'
+  SELECT *, CASE WHEN bad THEN 'bad_request' WHEN {auth} <> 'ok' THEN 'forbidden' WHEN NOT found THEN 'not_found' WHEN original OR NOT supported THEN 'original'
     WHEN NOT converting AND (first_state = 'hit' OR (plan_error IS NULL AND cache_state = 'hit')) THEN 'cached' WHEN plan_error IS NOT NULL THEN 'error' ELSE 'render' END AS outcome
   FROM looked
 )"""
+
+
+ROUTED = routed_sql()

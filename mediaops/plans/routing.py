@@ -11,7 +11,7 @@ from mediaops.functions import geometry as G
 from mediaops.functions import keys as K
 from mediaops.operators.requests import typed_requests
 from mediaops.operators.signing import verify_tokens
-from mediaops.session import cut
+from mediaops.session import bound
 
 
 def seconds(ts: Column) -> Column:
@@ -25,34 +25,43 @@ def missing_assets(requests: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def attach_assets(requests: DataFrame, assets: DataFrame) -> DataFrame:
-    """Requests with the source's width, height, has_alpha, n_pages and modified_at, and ``exists``.
+    """Requests with the source's width, height, has_alpha, n_pages, modified_at and EXIF orientation (1
+    where the table has no such column, or null there), and ``exists``.
 
     Spark broadcasts the narrow asset side where its size allows; beyond that both sides are
     dealt by path, and adaptive execution splits a path with very many requests."""
-    meta = assets.select("path", "width", "height", "has_alpha", "n_pages", "modified_at", F.lit(True).alias("exists"))
+    orientation = F.coalesce(F.col("orientation").cast("int"), F.lit(1)) if "orientation" in assets.columns else F.lit(1)
+    meta = assets.select("path", "width", "height", "has_alpha", "n_pages", "modified_at", orientation.alias("orientation"), F.lit(True).alias("exists"))
     return requests.join(meta, "path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
+def upright(orientation: Column, width: Column, height: Column) -> Column:
+    """The size after the EXIF orientation is undone: 5 to 8 swap the sides."""
+    turned = F.coalesce(orientation.between(5, 8), F.lit(False))
+    return F.struct(F.when(turned, height).otherwise(width).cast("int").alias("w"), F.when(turned, width).otherwise(height).cast("int").alias("h"))
+
+
 def plan_requests(attached: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Adds what is decided without the cache: flags of the path, negotiated and limited format,
-    keys and final size. Rows need spec, accept and the columns of attach_assets."""
-    spec = F.col("spec")
-    explicit = spec["format"] != "auto"
-    df = attached.withColumn("kind", M.classify(F.col("path")))
-    df = df.withColumn("negotiated", M.negotiate_format(spec["format"], F.col("accept"), cfg.avif_enable))
+    keys and final size. Rows need spec, accept and the columns of attach_assets.
+
+    Vector and page sources are loaded at the size that the request needs (``loaded``), all others
+    at their own, made upright; limits, box and final size follow from that size."""
+    spec, kind = F.col("spec"), F.col("kind")
     sides = (spec["width"], spec["height"])
-    df = df.withColumn("box", G.pipeline_dims(*sides, spec["rotate"], F.col("width"), F.col("height")))
-    df = df.withColumn("target", F.when(F.col("kind.svg"), G.target_dims(*sides, F.col("width"), F.col("height"))))
-    # vector sources are loaded at the size asked for, all others at their own
-    own = F.struct(F.col("width").alias("w"), F.col("height").alias("h"))
-    df = df.withColumn("loaded", F.when(F.col("kind.svg"), G.rasterize_dims(F.col("target"), spec["rotate"], F.col("width"), F.col("height"))).otherwise(own))
-    df = df.withColumn("limited", M.enforce_limits(F.col("negotiated"), explicit, F.col("loaded.w"), F.col("loaded.h"), F.col("has_alpha")))
-    df = df.withColumn("params_hash", K.params_hash(spec))
+    df = bound(attached, kind=M.classify(F.col("path")), source=upright(F.col("orientation"), F.col("width"), F.col("height")))
+    df = df.withColumn("negotiated", M.negotiate_format(spec["format"], F.col("accept"), cfg.avif_enable))
+    own = F.col("source")
+    shrunk = kind["svg"] | kind["paged"]
+    df = bound(df, _target=G.target_dims(*sides, own["w"], own["h"]))
+    df = bound(df, loaded=F.when(shrunk, G.rasterize_dims(F.col("_target"), spec["rotate"], own["w"], own["h"])).otherwise(own)).drop("_target", "source")
+    size = F.col("loaded")
+    limited = M.enforce_limits(F.col("negotiated"), spec["format"] != "auto", size["w"], size["h"], F.col("has_alpha"))
+    df = bound(df, box=G.pipeline_dims(*sides, spec["rotate"], size["w"], size["h"]), limited=limited, params_hash=K.params_hash(spec))
     key = lambda fmt: K.cache_key(F.col("params_hash"), F.col("path"), fmt)
     df = df.withColumn("first_key", key(F.col("negotiated"))).withColumn("cache_key", key(F.coalesce("limited.output_format", "negotiated")))
     resize = spec["width"].isNotNull() | spec["height"].isNotNull()
-    out = G.output_dims(F.col("box"), resize, spec["rotate"], F.col("width"), F.col("height"))
-    return df.drop("target").withColumn("out", out).withColumn("output_format", F.col("limited.output_format"))
+    return bound(df, out=G.output_dims(F.col("box"), resize, spec["rotate"], size["w"], size["h"])).withColumn("output_format", F.col("limited.output_format"))
 
 
 def cache_lookup(planned: DataFrame, variants: DataFrame, key: str = "cache_key") -> DataFrame:
@@ -91,13 +100,11 @@ def route_requests(requests: DataFrame, assets: DataFrame, variants: DataFrame,
     source), original (asked for, or no supported extension), cached (a fresh entry under the
     negotiated format's key, else under the limited one's), error, render. ``documents`` lists
     converted documents (path, cached_at); while one is absent or older than its source the
-    cache is not asked. Rows are never dropped; null queries are empty. The planned requests are
-    written to the shared folder before they meet the cache, so this is no operator for a plain
-    stream: streams route each micro-batch.
+    cache is not asked. Rows are never dropped; null queries are empty.
     """
     typed = verify_tokens(typed_requests(requests), cfg.key)
     planned = _stale_documents(plan_requests(attach_assets(typed, assets), cfg), documents)
-    planned = cut(planned.withColumn("error", plan_error(cfg)), "planned-requests")
+    planned = planned.withColumn("error", plan_error(cfg))
     looked = cache_lookup(planned, variants, "first_key").withColumnRenamed("cache_state", "first_state")
     looked = cache_lookup(looked, variants, "cache_key")
     error = F.col("error")

@@ -18,7 +18,8 @@ from mediaops.operators import replay as R
 from mediaops.operators import requests as Q
 from mediaops.operators import signing as S
 from mediaops.plans import routing as J
-from mediaops.session import cut, shared_path
+from mediaops.session import bound, cut, shared_path
+from mediaops.sources import files as S_FILES
 from mediaops.sources.logs import parse_access_log
 from mediaops.sources.sinks import write_cache_index, write_variants
 from mediaops.streaming import streams as T
@@ -132,7 +133,7 @@ def req8_parse_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "crop", F.col("c.ratio.kind").alias("kind"), *[F.col(f"c.ratio.{x}").cast("long").alias(f"r{x}") for x in "wh"], *[F.col(f"c.{x}").cast("long").alias(x) for x in ("width", "height")], "c.gravity", *[F.col(f"c.{x}").cast("long").alias(x) for x in ("dx", "dy")])
 
 
-@query(VARIED_SQL + f" SELECT {O.lookup(P.ORIGINS, 'gravity', 'center')} AS origin, count(*) AS n FROM varied GROUP BY 1")
+@query(VARIED_SQL + f" SELECT {O.lookup(O.ORIGINS, 'gravity', 'center')} AS origin, count(*) AS n FROM varied GROUP BY 1")
 def req9_parse_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied(spark, sf_dir).groupBy(P.parse_origin(F.col("gravity")).alias("origin")).agg(F.count("*").alias("n"))
 
@@ -157,8 +158,8 @@ def fmt1_file_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    O.REQUESTS + f", e AS (SELECT DISTINCT path, coalesce({O.EXT}, '') AS ext FROM requests) SELECT path, ext IN {O.any_of([*M.RASTER, *M.DOCUMENTS, 'pdf'])} AS supported, ext IN {O.any_of([*M.DOCUMENTS, 'pdf'])} AS paged, "
-    f"ext IN {O.any_of(M.DOCUMENTS)} AS convertible, ext = 'svg' AS svg, ext NOT IN {O.any_of(M.OPAQUE)} AS transparent FROM e"
+    O.REQUESTS + f", e AS (SELECT DISTINCT path, coalesce({O.EXT}, '') AS ext FROM requests) SELECT path, ext IN {O.any_of([*O.RASTER, *O.DOCUMENTS, 'pdf'])} AS supported, ext IN {O.any_of([*O.DOCUMENTS, 'pdf'])} AS paged, "
+    f"ext IN {O.any_of(O.DOCUMENTS)} AS convertible, ext = 'svg' AS svg, ext NOT IN {O.any_of(O.OPAQUE)} AS transparent FROM e"
 )
 def fmt2_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.requests(spark, sf_dir).select("path").distinct().withColumn("k", M.classify(F.col("path"))).select("path", "k.*")
@@ -169,8 +170,8 @@ def fmt3_negotiate_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(spark, sf_dir).select("req_id", M.negotiate_format(F.col("spec.format"), F.col("accept"), True).alias("negotiated"))
 
 
-def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.plan_requests(J.attach_assets(typed(spark, sf_dir), X.assets(spark, sf_dir)), EngineConfig())
+def planned(spark: SparkSession, sf_dir: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    return J.plan_requests(J.attach_assets(typed(spark, sf_dir), X.assets(spark, sf_dir)), cfg)
 
 
 @query(O.PLANNED + " SELECT req_id, negotiated, output_format, limit_error FROM keyed")
@@ -204,20 +205,22 @@ def fmt6_default_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "fmt", M.default_quality(F.col("fmt"), F.col("w"), F.col("h")).alias("quality"))
 
 
-def _dims(spark: SparkSession, sf_dir: str, dims: Column, size: Column | None = None) -> DataFrame:
+def _dims(spark: SparkSession, sf_dir: str, dims, size=None) -> DataFrame:
+    """Sizes of requests whose source exists; the functions take the source's upright sides."""
     df = J.attach_assets(typed(spark, sf_dir), X.assets(spark, sf_dir)).filter("exists")
-    df = df if size is None else df.withColumn("size", size)
-    return df.withColumn("d", dims).select("req_id", F.col("d.w").cast("long").alias("w"), F.col("d.h").cast("long").alias("h"))
+    df = bound(df, src=J.upright(F.col("orientation"), F.col("width"), F.col("height")))
+    df = df if size is None else bound(df, size=size(F.col("src.w"), F.col("src.h")))
+    return bound(df, d=dims(F.col("src.w"), F.col("src.h"))).select("req_id", F.col("d.w").cast("long").alias("w"), F.col("d.h").cast("long").alias("h"))
 
 
 @query(O.PLANNED + " SELECT req_id, CAST(tw AS BIGINT) AS w, CAST(th AS BIGINT) AS h FROM sized WHERE found")
 def geo1_target_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dims(spark, sf_dir, G.target_dims(F.col("spec.width"), F.col("spec.height"), F.col("width"), F.col("height")))
+    return _dims(spark, sf_dir, lambda w, h: G.target_dims(F.col("spec.width"), F.col("spec.height"), w, h))
 
 
 @query(O.PLANNED + " SELECT req_id, CAST(pw AS BIGINT) AS w, CAST(ph AS BIGINT) AS h FROM sized WHERE found")
 def geo2_pipeline_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dims(spark, sf_dir, G.pipeline_dims(F.col("spec.width"), F.col("spec.height"), F.col("spec.rotate"), F.col("width"), F.col("height")))
+    return _dims(spark, sf_dir, lambda w, h: G.pipeline_dims(F.col("spec.width"), F.col("spec.height"), F.col("spec.rotate"), w, h))
 
 
 @query(
@@ -225,15 +228,15 @@ def geo2_pipeline_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CASE WHEN rotate NOT IN (90, 270) THEN CAST(th AS BIGINT) WHEN tw > th THEN CAST(floor(sh * (CAST(tw AS DOUBLE) / sh) + 0.5) AS BIGINT) ELSE CAST(tw + 2 AS BIGINT) END AS h FROM sized WHERE found"
 )
 def geo3_rasterize_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = G.target_dims(F.col("spec.width"), F.col("spec.height"), F.col("width"), F.col("height"))
-    return _dims(spark, sf_dir, G.rasterize_dims(F.col("size"), F.col("spec.rotate"), F.col("width"), F.col("height")), size)
+    size = lambda w, h: G.target_dims(F.col("spec.width"), F.col("spec.height"), w, h)
+    return _dims(spark, sf_dir, lambda w, h: G.rasterize_dims(F.col("size"), F.col("spec.rotate"), w, h), size)
 
 
-@query(O.PLANNED + " SELECT req_id, CAST(ow AS BIGINT) AS w, CAST(oh AS BIGINT) AS h FROM keyed WHERE found")
+@query(O.PLANNED + " SELECT req_id, CAST(CASE WHEN rotate IN (90, 270) THEN own_h ELSE own_w END AS BIGINT) AS w, CAST(CASE WHEN rotate IN (90, 270) THEN own_w ELSE own_h END AS BIGINT) AS h FROM loads WHERE found")
 def geo4_output_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     resize = F.col("spec.width").isNotNull() | F.col("spec.height").isNotNull()
-    box = G.pipeline_dims(F.col("spec.width"), F.col("spec.height"), F.col("spec.rotate"), F.col("width"), F.col("height"))
-    return _dims(spark, sf_dir, G.output_dims(F.col("size"), resize, F.col("spec.rotate"), F.col("width"), F.col("height")), box)
+    box = lambda w, h: G.pipeline_dims(F.col("spec.width"), F.col("spec.height"), F.col("spec.rotate"), w, h)
+    return _dims(spark, sf_dir, lambda w, h: G.output_dims(F.col("size"), resize, F.col("spec.rotate"), w, h), box)
 
 
 @query(O.PLANNED + " SELECT req_id, least(page - 1, n_pages - 1) AS page FROM attached WHERE found")
@@ -300,12 +303,12 @@ def join2_attach_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("req_id", "path", "width", "height", "has_alpha", "n_pages", F.col("exists").alias("found"), _stamp(F.col("modified_at")).alias("modified"))
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def variants(spark: SparkSession, sf_dir: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """The cache's inventory: cache_key, path, output_format, length, cached_at, stem."""
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("path", "query").orderBy("req_id"))
-    df = cut(planned(spark, sf_dir).filter("req_id % 3 = 0").select("req_id", "ts", "path", "query", "cache_key", "output_format"), "variants").withColumn("nth", nth).filter("nth = 1")
+    df = cut(planned(spark, sf_dir, cfg).filter("req_id % 3 = 0").select("req_id", "ts", "path", "query", "cache_key", "output_format"), "variants").withColumn("nth", nth).filter("nth = 1")
     return df.select("cache_key", "path", "output_format", (1000 + F.col("req_id") % 5000).alias("length"), F.col("ts").alias("cached_at"), M.file_stem(F.col("cache_key")).alias("stem"))
 
 
@@ -335,6 +338,22 @@ def join4_route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).select("req_id", "path", "outcome", "status", "error", "output_format")
 
 
+LOCKED = EngineConfig(key=X.KEY, avif_enable=True)
+
+
+@query(
+    O.routed_sql(True, "['token_missing', 'token_invalid', 'ok', 'token_malformed', 'ok'][req_id % 5 + 1]")
+    + ROUTE_SELECT.replace("CASE outcome WHEN", "CASE outcome WHEN 'forbidden' THEN 403 WHEN", 1)
+)
+def join4_route_signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing with a key, so that tokens count, and with AVIF."""
+    signed = S.sign_requests(Q.split_request(X.requests(spark, sf_dir)), X.KEY)
+    token = X.signed_tokens(F.col("token"))
+    asked = signed.withColumn("query", F.concat("query", F.coalesce(F.concat(F.lit("&token="), token), F.lit("")))).drop("params", "token")
+    found = J.route_requests(asked, X.assets(spark, sf_dir), variants(spark, sf_dir, LOCKED), LOCKED, documents_cache(spark, sf_dir))
+    return found.select("req_id", "path", "outcome", "status", "error", "output_format")
+
+
 @query(O.PLANNED + O.VARIANTS + " SELECT i.path, stem FROM cache_index i JOIN assets a ON i.path = a.path WHERE date_trunc('second', modified_at) > date_trunc('second', written_at)")
 def join5_stale_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.stale_index(cache_index(spark, sf_dir), X.assets(spark, sf_dir)).select("path", "stem")
@@ -368,7 +387,7 @@ def cache3_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    O.PLANNED + O.VARIANTS + f", wanted AS (SELECT DISTINCT path FROM requests WHERE coalesce({O.EXT}, '') IN {O.any_of(M.DOCUMENTS)}), j AS (SELECT w.path, CASE WHEN d.cached_at IS NULL THEN 'absent' WHEN d.cached_at < a.modified_at THEN 'stale' END AS reason "
+    O.PLANNED + O.VARIANTS + f", wanted AS (SELECT DISTINCT path FROM requests WHERE coalesce({O.EXT}, '') IN {O.any_of(O.DOCUMENTS)}), j AS (SELECT w.path, CASE WHEN d.cached_at IS NULL THEN 'absent' WHEN d.cached_at < a.modified_at THEN 'stale' END AS reason "
     f"FROM wanted w JOIN assets a ON w.path = a.path LEFT JOIN documents_cache d ON w.path = d.path) SELECT path, 'pdf/' || sha256(path) || '/' || {O.STEM} || '.pdf' AS document_key, reason FROM j WHERE reason IS NOT NULL"
 )
 def cache4_document_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,10 +467,66 @@ def src7_write_cache_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("cache_key", "path", "stem", _stamp(F.col("written_at")).alias("written"))
 
 
-# --- images -----------------------------------------------------------------------------------------------
+IMAGES_SQL = "WITH im AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(greatest(least(floor((CAST(x AS DOUBLE) + 1.0) * 127.5), 255), 0) AS INTEGER)) AS px FROM embeddings)"
+FILES_SQL = IMAGES_SQL + """, files AS (SELECT image_id, ['png', 'jpg', 'gif'][image_id % 3 + 1] AS ext, CAST([134, 53, 14][image_id % 3 + 1] AS BIGINT) AS length,
+  ['png', 'jpg', 'gif'][image_id % 3 + 1] || '/' || image_id || '.' || ['png', 'jpg', 'gif'][image_id % 3 + 1] AS path, upper(array_to_string(list_transform(px, lambda x: printf('%02x', x)), '')) AS hex FROM im)"""
 
 
-IMAGES_SQL = "WITH im AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(greatest(least(floor((CAST(x AS DOUBLE) + 1.0) * 127.5), 255), 0) AS INTEGER)) AS px FROM embeddings)"
+def image_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of PNG, JPEG and GIF files made of the embeddings."""
+    root = shared_path(spark, "image-files")
+    X.write_files(X.image_arrays(spark, sf_dir).select("image_id", "px"), root, X.image_file)
+    return root
+
+
+@query(FILES_SQL + " SELECT path, length, CASE ext WHEN 'png' THEN '00' || substr(hex, 1, 64) || '00' || substr(hex, 65) END AS pixels FROM files")
+def src1_scan_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S_FILES.scan_assets(spark, image_files(spark, sf_dir))
+    return found.select("path", "length", F.when(F.col("path").startswith("png/"), F.hex(F.substring("content", 49, 66))).alias("pixels"))
+
+
+@query(FILES_SQL + " SELECT path, ext, CAST(image_id AS VARCHAR) AS stem, length, true AS dated FROM files")
+def src2_asset_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S_FILES.asset_inventory(S_FILES.scan_assets(spark, image_files(spark, sf_dir)))
+    return found.select("path", "ext", "stem", "length", F.col("modified_at").isNotNull().alias("dated"))
+
+
+@query(
+    IMAGES_SQL + " SELECT image_id || '.png' AS path, 2 AS height, 8 AS width, 4 AS channels, array_to_string(list_transform(range(0, 64), lambda i: px[(i // 4) * 4 + [3, 2, 1, 4][i % 4 + 1]]), ',') AS px, CAST(NULL AS VARCHAR) AS error FROM im WHERE image_id % 3 = 0 "
+    "UNION ALL SELECT image_id || '.gif', -1, -1, -1, '', 'undecodable' FROM im WHERE image_id % 3 = 2"
+)
+def src3_scan_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = image_files(spark, sf_dir)
+    found = S_FILES.scan_images(spark, f"{root}/png").unionByName(S_FILES.scan_images(spark, f"{root}/gif"))
+    return found.select("path", "height", "width", F.col("nChannels").alias("channels"), I.to_text(F.col("data")).alias("px"), "error")
+
+
+@query(
+    FILES_SQL + " SELECT path, CASE ext WHEN 'jpg' THEN 'jpeg' ELSE ext END AS image_type, CASE ext WHEN 'png' THEN 8 ELSE 1 + image_id % 500 END AS width, CASE ext WHEN 'png' THEN 2 ELSE 1 + image_id % 300 END AS height, "
+    "ext = 'png' AS has_alpha, CAST(CASE ext WHEN 'jpg' THEN 1 + image_id % 8 ELSE 1 END AS INTEGER) AS orientation FROM files"
+)
+def src4_probe_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S_FILES.probe_assets(S_FILES.scan_assets(spark, image_files(spark, sf_dir)))
+
+
+@query(O.EV + " SELECT 'k' || event_id AS stem, path FROM ev WHERE event_type = 'purchase'")
+def src8_read_cache_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_path(spark, "index-files")
+    events = X.events(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "path")
+    X.write_files(events, root, lambda event_id, path: (f"d{event_id % 16}/k{event_id}.index", f"{path}\n".encode()))
+    return S_FILES.read_cache_index(spark, root).select("stem", "path")
+
+
+@query(FILES_SQL + " SELECT image_id AS req_id, path, length, CASE ext WHEN 'png' THEN '89504E470D0A' WHEN 'jpg' THEN 'FFD8FFE10022' ELSE '474946383961' END AS head FROM files WHERE image_id % 2 = 0")
+def src9_select_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S_FILES.scan_assets(spark, image_files(spark, sf_dir))
+    ext = F.get(F.array(F.lit("png"), F.lit("jpg"), F.lit("gif")), (F.col("image_id") % 3).cast("int"))
+    asked = X.image_arrays(spark, sf_dir).select(F.col("image_id").alias("req_id"), F.concat(ext, F.lit("/"), F.col("image_id").cast("string"), F.lit("."), ext).alias("path"), F.when(F.col("image_id") % 2 == 0, "original").otherwise("render").alias("outcome"))
+    return S_FILES.select_originals(asked, found).select("req_id", "path", "length", F.hex(F.substring("content", 1, 6)).alias("head"))
+
+
+# --- images -----------------------------------------------------------------------------------------------
+
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,3 +624,33 @@ def str3_stream_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = F.col("event_type") == "purchase"
     rows = ev.select("path", "ts", F.when(~change, F.col("event_id")).alias("req_id"), F.when(~change, F.concat_ws("?", F.col("path"), X.query_text())).alias("cache_key"))
     return _drained(T.stream_cache_replay(rows, "3650 days"), "replay")
+
+
+@query(FILES_SQL + " SELECT path, 's' || image_id AS stem FROM files WHERE image_id % 4 < 2")
+def str4_stream_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = image_files(spark, sf_dir)
+    entries = S_FILES.scan_assets(spark, root).select("path", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("n"))
+    at = F.when(F.col("n") % 4 < 2, F.lit("2001-01-01")).otherwise(F.lit("2999-01-01")).cast("timestamp")
+    cached = cut(entries.select("path", F.concat(F.lit("k/s"), F.col("n").cast("string"), F.lit(".webp")).alias("cache_key"), at.alias("cached_at")), "variants")
+    return _drained(T.stream_invalidate(T.asset_stream(spark, root), cached).select("path", "stem"), "stale")
+
+
+@query(
+    IMAGES_SQL + " SELECT CAST(image_id AS VARCHAR) || '/turned' AS cache_key, 'img' || image_id AS path, CASE WHEN image_id % 5 = 0 THEN NULL ELSE 8 END AS height, array_to_string(CASE WHEN image_id % 5 = 0 THEN NULL ELSE list_transform(range(0, 64), lambda i: px[((1 - (i // 4) % 2) * 8 + i // 8) * 4 + i % 4 + 1]) END, ',') AS px, "
+    "CASE WHEN image_id % 5 = 0 THEN 'missing_source' END AS error, image_id % 5 <> 0 AS indexed FROM im"
+)
+def str5_stream_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans that arrive in four batches and once more, some of them without a source."""
+    images = _images(spark, sf_dir).withColumn("path", F.concat(F.lit("img"), F.col("image_id").cast("string")))
+    none = F.lit(None)
+    plan = images.select(F.concat(F.col("image_id").cast("string"), F.lit("/turned")).alias("cache_key"), "path", F.lit("png").alias("output_format"), none.cast("struct<w:int,h:int>").alias("resize"), F.lit(90).alias("rotate"), none.cast("struct<r:int,g:int,b:int,a:int>").alias("composite"))
+    folder, out, index, at = (shared_path(spark, n) for n in ("plans", "rendered", "rendered-index", "render-checkpoint"))
+    plan.repartition(4, "cache_key").write.parquet(folder)
+    for again in range(2):
+        stream = spark.readStream.schema(plan.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        T.stream_render(stream, images.filter("image_id % 5 <> 0"), out, index, at, once=True).awaitTermination()
+        if not again:
+            plan.filter("length(cache_key) % 2 = 0").coalesce(1).write.mode("append").parquet(folder)
+    made = spark.read.parquet(out).dropDuplicates(["cache_key"])
+    known = spark.read.parquet(index).groupBy("cache_key").agg(F.count("*").alias("n"))
+    return made.join(known, "cache_key", "left").select("cache_key", "path", "height", F.when(F.col("error").isNull(), I.to_text(F.col("data"))).alias("px"), "error", (F.coalesce("n", F.lit(0)) == 1).alias("indexed"))

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -18,19 +19,26 @@ def with_workers(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir); where that is
-    unset, under this machine's /tmp in local mode and beside the warehouse on a cluster."""
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir). Only in local mode,
+    where one machine is all there is, an unset folder is made in its temporary space."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if spark.sparkContext.master.startswith("local"):
-            os.makedirs("/tmp/checkpoints", exist_ok=True)
-            folder = "file://" + tempfile.mkdtemp(prefix="media-", dir="/tmp/checkpoints")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        folder = "file://" + tempfile.mkdtemp(prefix="media-", dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for each row: the optimiser does not copy an expression
+    through a generator into every place that uses its column."""
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def cut(df, name: str):
     """Write ``df`` to the shared folder and read it back: later steps plan on its columns instead of
     on all the expressions behind them, and a lost executor costs no more than what follows."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +16,7 @@ from mediaops.functions.formats import file_stem
 from mediaops.operators.pixels import render_variants
 from mediaops.plans.routing import route_requests, seconds
 from mediaops.session import with_workers
-from mediaops.sources.sinks import write_cache_index, write_variants
+from mediaops.sources.files import relative_path
 
 
 def stream_route(requests: DataFrame, assets: DataFrame, variants: Callable[[], DataFrame] | DataFrame, cfg: EngineConfig, out: str, checkpoint: str, documents: DataFrame | None = None, once: bool = False) -> StreamingQuery:
@@ -79,33 +80,38 @@ def stream_cache_replay(events: DataFrame, retention: str = "7 days") -> DataFra
 
 
 def asset_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Files as they arrive: path (full), modified_at, length."""
+    """Files as they arrive: path (below the root, as scan_assets has it), modified_at, length."""
     df = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
-    return df.select("path", F.col("modificationTime").alias("modified_at"), "length")
+    return df.select(relative_path(F.col("path"), root).alias("path"), F.col("modificationTime").alias("modified_at"), "length")
 
 
 def stream_invalidate(assets: DataFrame, variants: DataFrame) -> DataFrame:
-    """The renditions that a changed source makes stale, as the change arrives."""
+    """The renditions that a changed source makes stale, as the change arrives; both sides have paths
+    below the data root."""
     changed = assets.select("path", "modified_at")
     return changed.join(variants, "path").filter(seconds(F.col("cached_at")) < seconds(F.col("modified_at"))).withColumn("stem", file_stem(F.col("cache_key")))
 
 
 def stream_render(plans: DataFrame, images: DataFrame, out: str, index: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Render new plans per micro-batch. Keys that ``out`` has already are left out, so a batch that is
-    run again adds nothing."""
+    """Render new plans per micro-batch into ``out``/batch=N, with an index row in ``index``/batch=N for
+    each rendition that was made; rows with an error stay among the renditions.
+
+    Keys that earlier batches have made are left out. A batch that is run again replaces its own
+    rows of both tables, so a crash between the two writes loses and repeats nothing."""
 
     def render(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         plan = batch.dropDuplicates(["cache_key"])
         try:
-            plan = plan.join(spark.read.parquet(out).select("cache_key"), "cache_key", "left_anti")
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
+            done = spark.read.parquet(out).filter(F.col("error").isNull() & (F.col("batch") < n)).select("cache_key")
+            plan = plan.join(done, "cache_key", "left_anti")
+        except AnalysisException as e:  # nothing is written yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        made = render_variants(plan, images).filter("error is null").withColumns({"cached_at": F.current_timestamp(), "stem": file_stem(F.col("cache_key"))}).persist()
-        write_variants(made, out)
-        write_cache_index(made, index)
-        made.unpersist()
+        made = render_variants(plan, images).withColumns({"cached_at": F.current_timestamp(), "stem": file_stem(F.col("cache_key"))})
+        made.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        again = spark.read.schema(made.schema).parquet(f"{out}/batch={n}").filter("error is null")
+        again.select("stem", "cache_key", "path", F.col("cached_at").alias("written_at")).write.mode("overwrite").parquet(f"{index}/batch={n}")
 
     writer = plans.writeStream.foreachBatch(render).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
