@@ -35,7 +35,12 @@ def file_stem(path: Column) -> Column:
 
 def classify(path: Column) -> Column:
     """supported, paged (document or PDF), convertible (document), svg, transparent (may be)."""
-    ext = F.coalesce(file_extension(path), F.lit(""))
+    return classify_extension(file_extension(path))
+
+
+def classify_extension(ext: Column) -> Column:
+    """classify() from the extension."""
+    ext = F.coalesce(ext, F.lit(""))
     return F.struct(
         ext.isin(*RASTER, *DOCUMENTS, "pdf").alias("supported"), ext.isin(*DOCUMENTS, "pdf").alias("paged"), ext.isin(*DOCUMENTS).alias("convertible"),
         (ext == "svg").alias("svg"), (~ext.isin(*OPAQUE)).alias("transparent"),

@@ -47,9 +47,9 @@ def plan_requests(attached: DataFrame, cfg: EngineConfig) -> DataFrame:
 
     Vector and page sources are loaded at the size that the request needs (``loaded``), all others
     at their own, made upright; limits, box and final size follow from that size."""
-    spec, kind = F.col("spec"), F.col("kind")
+    spec, kind = F.col("spec"), M.classify_extension(F.col("_ext"))
     sides = (spec["width"], spec["height"])
-    df = bound(attached, kind=M.classify(F.col("path")), source=upright(F.col("orientation"), F.col("width"), F.col("height")))
+    df = bound(attached, _ext=M.file_extension(F.col("path")), source=upright(F.col("orientation"), F.col("width"), F.col("height")))
     df = df.withColumn("negotiated", M.negotiate_format(spec["format"], F.col("accept"), cfg.avif_enable))
     own = F.col("source")
     shrunk = kind["svg"] | kind["paged"]
@@ -61,7 +61,9 @@ def plan_requests(attached: DataFrame, cfg: EngineConfig) -> DataFrame:
     key = lambda fmt: K.cache_key(F.col("params_hash"), F.col("path"), fmt)
     df = df.withColumn("first_key", key(F.col("negotiated"))).withColumn("cache_key", key(F.coalesce("limited.output_format", "negotiated")))
     resize = spec["width"].isNotNull() | spec["height"].isNotNull()
-    return bound(df, out=G.output_dims(F.col("box"), resize, spec["rotate"], size["w"], size["h"])).withColumn("output_format", F.col("limited.output_format"))
+    df = bound(df, out=G.output_dims(F.col("box"), resize, spec["rotate"], size["w"], size["h"]))
+    # last: Spark loses single fields of a struct that passes several generators
+    return df.withColumn("kind", kind).drop("_ext").withColumn("output_format", F.col("limited.output_format"))
 
 
 def cache_lookup(planned: DataFrame, variants: DataFrame, key: str = "cache_key") -> DataFrame:

@@ -103,11 +103,27 @@ def test_stream_render_is_idempotent(spark, tmp_path):
     assert [r.stem for r in spark.read.parquet(index).collect()] == ["k1"]
 
 
+def test_render_of_a_turned_photo(spark):
+    """Orientation 6: the box is planned on the upright size, 2 wide and 4 high."""
+    none = "struct<r:int,g:int,b:int,a:int>"
+    plan = spark.createDataFrame([("k", "a", "png", (1, 2), 0, None)], f"cache_key string, path string, output_format string, resize struct<w:int,h:int>, rotate int, composite {none}")
+    images = spark.createDataFrame([("a", 2, 4, 1, bytearray([10, 20, 30, 40, 50, 60, 70, 80]), 6)], "path string, height int, width int, nChannels int, data binary, orientation int")
+    r = I.render_variants(plan, images).first()
+    assert (r.height, r.width, list(r.data)) == (2, 1, [35, 55])
+
+
+def test_area_averages():
+    r = np.random.default_rng(1)
+    img = r.integers(0, 256, (90, 1300, 3), dtype=np.uint8)
+    got = I.cover(img, 650, 45)
+    assert (got == np.floor(img.reshape(45, 2, 650, 2, 3).mean((1, 3)) + 0.5)).all()
+    assert I.cover(np.full((70, 110, 4), 9, np.uint8), 37, 13).tolist() == np.full((13, 37, 4), 9).tolist()
+
+
 def test_stream_invalidate(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"x")
     found = T.asset_stream(spark, str(tmp_path))
-    path = spark.read.format("binaryFile").load(str(tmp_path)).first().path
-    variants = spark.createDataFrame([(path, "k/s1.png", "2001-01-01"), (path, "k/s2.png", "2999-01-01")], "path string, cache_key string, at string").select("path", "cache_key", F.col("at").cast("timestamp").alias("cached_at"))
+    variants = spark.createDataFrame([("a.png", "k/s1.png", "2001-01-01"), ("a.png", "k/s2.png", "2999-01-01")], "path string, cache_key string, at string").select("path", "cache_key", F.col("at").cast("timestamp").alias("cached_at"))
     q = T.stream_invalidate(found, variants).writeStream.format("memory").queryName("stale_keys").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.stem for r in spark.table("stale_keys").collect()] == ["s1"]

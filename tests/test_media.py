@@ -86,6 +86,24 @@ def test_routing_order(spark):
     assert {r.outcome for r in locked.collect()} == {"bad_request", "forbidden"}
 
 
+def test_pages_are_limited_as_loaded(spark):
+    """A page of 20,000 pixels is loaded at the size asked for, so webp takes it; a PNG of that size not."""
+    req = requests(spark, [("a.pdf", "w=300"), ("a.docx", "w=300&rot=left"), ("a.png", "w=300"), ("a.pdf", "")])
+    have = assets(spark, [("a.pdf", 20000, 10000), ("a.docx", 20000, 10000), ("a.png", 20000, 10000)])
+    none = spark.createDataFrame([], "cache_key string, cached_at timestamp_ntz")
+    plan = {r.path + str(r.req_id): r for r in J.route_requests(req, have, none, EngineConfig()).collect()}
+    assert [(k, r.output_format, tuple(r.loaded), tuple(r.out)) for k, r in sorted(plan.items())] == [
+        ("a.docx1", "webp", (152, 300), (300, 152)), ("a.pdf0", "webp", (300, 150), (300, 150)), ("a.pdf3", "jpg", (20000, 10000), (20000, 10000)), ("a.png2", "jpg", (20000, 10000), (300, 150)),
+    ]
+    assert {r.path: r.load for r in C.render_plan(J.route_requests(req.filter("req_id < 3"), have, none, EngineConfig())).collect()}["a.pdf"] is not None
+
+
+def test_photos_are_planned_upright(spark):
+    have = assets(spark, [("a.jpg", 400, 200)]).withColumn("orientation", F.lit(6))
+    r = J.plan_requests(J.attach_assets(typed_requests(requests(spark, [("a.jpg", "w=100")])), have), EngineConfig()).first()
+    assert tuple(r.loaded) == (200, 400) and tuple(r.box) == (100, 200) and tuple(r.out) == (100, 200)
+
+
 def test_bust_is_gated(spark):
     inventory = spark.createDataFrame([("k1", "s1", 2048), ("k2", "s2", 1)], "cache_key string, stem string, length long")
     index = spark.createDataFrame([("s1", "a.png", NOON - timedelta(hours=1)), ("s2", "b.png", NOON)], "stem string, path string, written_at timestamp_ntz")
