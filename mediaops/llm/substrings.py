@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import release, stored
@@ -69,7 +69,7 @@ def _lists(rows: int, row: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def anchored(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_words, sha (of the words joined by one space) and the distinct anchors."""
+    """doc_id, tag, n_words, sha (of the words joined by one space) and the distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,9 +79,9 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
                 doc, anchor = v.doc[order], v.anchor[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(v.words.first)), pa.array(word_digests(data, offsets), pa.binary()), _lists(part.num_rows, doc[new], anchor[new])], ["doc_id", "n_words", "sha", "anchors"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(v.words.first)), pa.array(word_digests(data, offsets), pa.binary()), _lists(part.num_rows, doc[new], anchor[new])], ["doc_id", "tag", "n_words", "sha", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sha binary, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag long, n_words long, sha binary, anchors array<long>")
 
 
 def word_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -90,25 +90,21 @@ def word_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def with_digest(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_sha``, the digest of the text's words."""
+def tagged(text: str = "text") -> Column:
+    """What tells rows of one doc_id apart: a hash of the text as it is."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in pieces(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(word_digests(data, offsets), pa.binary())], [*part.schema.names, "_sha"])
 
-    return docs.mapInArrow(run, docs.withColumn("_sha", F.lit(b"")).schema)
-
-
-def recurring_anchors(base: DataFrame, reps: DataFrame) -> DataFrame:
-    """doc_id, sha and the list of the anchors that stand in another document too, over ``reps``: the
-    first document of each word sequence. Anchors are counted over all documents with partial
-    sums, and joined back with a key that Spark may split; then once more among ``reps``."""
-    every = base.select("doc_id", "sha", F.explode("anchors").alias("anchor"))
+def recurring_anchors(base: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, tag and the list of the anchors that stand in another document too, over ``firsts``: the
+    rows of the first document of each word sequence. Anchors are counted over all documents with
+    partial sums, and joined back with a key that Spark may split; then once more among these."""
+    every = base.join(firsts, ["doc_id", "tag"], "left_semi").select("doc_id", "tag", F.explode("anchors").alias("anchor"))
     shared = lambda df: df.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    near = stored(every.join(shared(every), "anchor").join(reps.select(F.col("rep").alias("doc_id"), "sha"), ["doc_id", "sha"], "left_semi"), "anchors")
-    return near.join(shared(near), "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("anchors"))
+    near = stored(every.join(shared(base.select("doc_id", F.explode("anchors").alias("anchor"))), "anchor"), "anchors")
+    out = stored(near.join(shared(near), "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors")), "recurring-anchors")
+    release(near)
+    return out
 
 
 def _listed(rows: pa.Array, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -123,7 +119,7 @@ def _listed(rows: pa.Array, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def window_prints(candidates: DataFrame, size: int) -> DataFrame:
-    """(p1, p2, anchor, doc_id, sha): the windows of each candidate that hold one of its anchors."""
+    """(p1, p2, anchor, doc_id): the windows of each candidate that hold one of its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,11 +129,11 @@ def window_prints(candidates: DataFrame, size: int) -> DataFrame:
                 rows = pa.array(v.doc[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(v.print[0][keep]), pa.array(v.print[1][keep]), pa.array(v.anchor[keep]), part.column(0).take(rows)], ["p1", "p2", "anchor", "doc_id"])
 
-    return candidates.select("doc_id", "sha", "text", "anchors").mapInArrow(run, "p1 long, p2 long, anchor long, doc_id long")
+    return candidates.select("doc_id", "tag", "text", "anchors").mapInArrow(run, "p1 long, p2 long, anchor long, doc_id long")
 
 
 def passages(candidates: DataFrame, shards: int, size: int, first: bool, hot: np.ndarray) -> DataFrame:
-    """Rows (shard, kind, doc_id, sha, start, text) with text as words joined by one space.
+    """Rows (shard, kind, doc_id, tag, start, text) with text as words joined by one space.
 
     Both are stretches of consecutive windows with one anchor, and for the anchors in ``hot`` with
     one second phrase too. ``first``: of the windows confirmed under their first document, whose
@@ -165,10 +161,10 @@ def passages(candidates: DataFrame, shards: int, size: int, first: bool, hot: np
                 rows = pa.array(doc[head])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((anchor[head].view(np.uint64) % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(head), 0 if first else 1, np.int32)), part.column(0).take(rows), part.column(1).take(rows), pa.array(at[head] - v.words.first[doc[head]]), pa.array(text, pa.string())],
-                    ["shard", "kind", "doc_id", "sha", "start", "text"],
+                    ["shard", "kind", "doc_id", "tag", "start", "text"],
                 )
 
-    return candidates.mapInArrow(run, "shard int, kind int, doc_id long, sha binary, start long, text string")
+    return candidates.mapInArrow(run, "shard int, kind int, doc_id long, tag long, start long, text string")
 
 
 class PhraseAutomaton:
@@ -215,14 +211,14 @@ class PhraseAutomaton:
 
 
 def located(patterns: DataFrame, segments: DataFrame, size: int) -> DataFrame:
-    """(doc_id, sha, a, b): word spans of the segments that patterns of smaller documents cover. Each
+    """(doc_id, tag, a, b): word spans of the segments that patterns of smaller documents cover. Each
     shard's automaton is compiled where its segments are streamed; a shard with many segments is
     dealt over salts, each with its own copy of the automaton."""
     counts = stored(segments.groupBy("shard").agg(F.count("*").alias("n")), "segment-counts")
     salts = counts.select("shard", F.ceil(F.col("n") / SALT_SEGMENTS).cast("int").alias("salts"))
     left = patterns.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     right = segments.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
-    names = ["shard", "salt", "kind", "doc_id", "sha", "start", "text"]
+    names = ["shard", "salt", "kind", "doc_id", "tag", "start", "text"]
 
     def search(rows: pa.Table) -> pa.RecordBatch | None:
         kind = rows["kind"].to_numpy()
@@ -240,10 +236,10 @@ def located(patterns: DataFrame, segments: DataFrame, size: int) -> DataFrame:
             return None
         i, a, b = zip(*found, strict=True)
         own = rows.take(pa.array(i)).combine_chunks()
-        return pa.RecordBatch.from_arrays([own["doc_id"].combine_chunks(), own["sha"].combine_chunks(), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "sha", "a", "b"])
+        return pa.RecordBatch.from_arrays([own["doc_id"].combine_chunks(), own["tag"].combine_chunks(), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "tag", "a", "b"])
 
     both = left.select(*names).unionByName(right.select(*names))
-    return stream_groups(both, ["shard", "salt"], search, "doc_id long, sha binary, a long, b long")
+    return stream_groups(both, ["shard", "salt"], search, "doc_id long, tag long, a long, b long")
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -259,7 +255,7 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 @dataclass
 class Repeats:
-    """What repeats, by doc_id and sha (of the words): ``base`` with n_words for every row; ``copies``
+    """What repeats, by doc_id and tag (of the text): ``base`` with n_words and sha for every row; ``copies``
     whose whole word sequence stands in a smaller document; ``spans`` with the word spans covered
     by windows of smaller documents; ``candidates`` with the texts that spans refer to."""
 
@@ -286,14 +282,13 @@ def find_repeats(docs: DataFrame, size: int = 13) -> Repeats:
     another. Documents shorter than ``size`` words have no window. Other columns are not read; an
     empty table gives empty tables.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tagged().alias("tag"), F.col("text").cast("string").alias("text"))
     base = stored(anchored(rows, size), "repeat-base")
     long = base.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     reps = stored(long.groupBy("sha").agg(F.min("doc_id").alias("rep")), "sequence-reps")
-    copies = stored(long.select("doc_id", "sha").join(reps, "sha").filter("doc_id > rep").select("doc_id", "sha").distinct(), "sequence-copies")
-    anchors = stored(recurring_anchors(long, reps), "recurring-anchors")
-    candidates = rows.join(anchors.select("doc_id").distinct(), "doc_id", "left_semi")
-    candidates = stored(with_digest(candidates).withColumnRenamed("_sha", "sha").join(anchors, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]), "repeat-candidates")
+    told = stored(long.select("doc_id", "tag", "sha").join(reps, "sha").select("doc_id", "tag", (F.col("doc_id") > F.col("rep")).alias("again")).distinct(), "sequence-copies")
+    anchors = recurring_anchors(long, told.filter("not again").select("doc_id", "tag"))
+    candidates = stored(rows.join(anchors, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]), "repeat-candidates")
     prints = window_prints(candidates, size).groupBy("p1", "p2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor")).filter("doc_id < last")
     prints = stored(prints.select("doc_id", "anchor", "p1", "p2"), "confirmed")
     n = prints.count()
@@ -301,13 +296,13 @@ def find_repeats(docs: DataFrame, size: int = 13) -> Repeats:
     hot = np.sort(np.array([r.anchor for r in often.orderBy(F.desc("n")).limit(MAX_HOT).select("anchor").collect()], np.int64))
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_PATTERNS))
     confirmed = prints.groupBy("doc_id").agg(F.sort_array(F.collect_list("p1")).alias("p1"), F.sort_array(F.collect_list("p2")).alias("p2"))
-    texts = candidates.drop("anchors").join(confirmed, "doc_id").select("doc_id", "sha", "text", "p1", "p2")
+    texts = candidates.drop("anchors").join(confirmed, "doc_id").select("doc_id", "tag", "text", "p1", "p2")
     patterns = passages(texts, shards, size, True, hot)
-    segments = stored(passages(candidates.select("doc_id", "sha", "text", "anchors"), shards, size, False, hot), "segments")
+    segments = stored(passages(candidates.select("doc_id", "tag", "text", "anchors"), shards, size, False, hot), "segments")
     found = located(patterns, segments, size)
-    spans = stored(found.groupBy("doc_id", "sha").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "repeat-spans")
+    spans = stored(found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "repeat-spans")
     release(segments, prints, anchors, reps)
-    return Repeats(base, copies, spans, candidates)
+    return Repeats(base, told.filter("again").select("doc_id", "tag"), spans, candidates)
 
 
 def kept_parts(text: str, spans: list) -> tuple[list[bytes], int]:
@@ -334,26 +329,21 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """
     found = find_repeats(docs, size)
     names = docs.columns
-    touched = found.copies.select(F.col("doc_id").alias("_id"), "sha", F.lit(True).alias("_copy"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("_spans"))
-    touched = stored(touched.unionByName(found.spans.select(F.col("doc_id").alias("_id"), "sha", F.lit(False).alias("_copy"), F.col("spans").alias("_spans"))), "touched")
-    by_id = F.col("doc_id") == F.col("_id")
-    clean = docs.join(touched.select("_id").distinct(), by_id, "left_anti")
-    # only rows whose id lost something are told apart by their words
-    mine = with_digest(docs.join(touched.select("_id").distinct(), by_id, "left_semi"))
-    of = touched.withColumnRenamed("sha", "_of")
-    mine = mine.join(of, by_id & (F.col("_sha") == F.col("_of")), "left")
+    none = F.lit(None).cast("array<struct<a:long,b:long>>")
+    touched = found.copies.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.lit(True).alias("_copy"), none.alias("_spans"))
+    touched = stored(touched.unionByName(found.spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.lit(False).alias("_copy"), F.col("spans").alias("_spans"))), "touched")
+    mine = docs.join(touched, (F.col("doc_id").cast("long") == F.col("_id")) & (tagged() == F.col("_tag")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b" ".join(kept_parts(t, [(s["a"], s["b"]) for s in sp])[0]).decode() if sp else t for t, sp in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in [*names, "_cut"]], [*names, "_cut"])
 
-    left = mine.filter("not coalesce(_copy, false)").withColumn("_cut", F.col("_spans").isNotNull())
-    cut = left.select(*names, "_spans", "_cut").mapInArrow(run, docs.withColumn("_cut", F.lit(True)).schema)
-    cut = cut.filter(~F.col("_cut") | (F.length("text") > 0))
+    cut = mine.filter("_spans is not null").withColumn("_cut", F.lit(True)).select(*names, "_spans", "_cut").mapInArrow(run, docs.withColumn("_cut", F.lit(True)).schema)
+    cut = cut.filter(F.length("text") > 0)
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*names).unionByName(cut.select(*names))
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mine.filter("_id is null").select(*names).unionByName(cut.select(*names))
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -367,12 +357,12 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
                 parts, n = kept_parts(text, [(s["a"], s["b"]) for s in spans])
                 removed.append(n)
                 sha.append(hashlib.sha256(b" ".join(b" ".join(parts).split())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "sha", "cut", "cut_sha"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "tag", "cut", "cut_sha"])
 
-    cut = found.candidates.select("doc_id", "sha", "text").join(found.spans, ["doc_id", "sha"]).mapInArrow(run, "doc_id long, sha binary, cut long, cut_sha string")
+    cut = found.candidates.select("doc_id", "tag", "text").join(found.spans, ["doc_id", "tag"]).mapInArrow(run, "doc_id long, tag long, cut long, cut_sha string")
     nothing = hashlib.sha256(b"").hexdigest()
-    changed = stored(cut.unionByName(found.copies.select("doc_id", "sha", F.lit(None).cast("long").alias("cut"), F.lit(nothing).alias("cut_sha"))), "cut-rows")
-    out = found.base.drop("anchors").join(changed, ["doc_id", "sha"], "left")
+    changed = stored(cut.unionByName(found.copies.select("doc_id", "tag", F.lit(None).cast("long").alias("cut"), F.lit(nothing).alias("cut_sha"))), "cut-rows")
+    out = found.base.drop("anchors").join(changed, ["doc_id", "tag"], "left")
     removed = F.when(F.col("cut_sha").isNull(), F.lit(0)).otherwise(F.coalesce("cut", "n_words")).cast("long")
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut_sha", F.lower(F.hex("sha"))).alias("kept_sha256"))
 
