@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,14 +142,14 @@ class BlockMaxIndex:
     def build(cls, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
         """From the terms and weights of each example, in the order of the examples."""
         term = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-        example = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        weight = (np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)).astype(np.float32)  # summed up as doubles
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
         order = np.lexsort((example, term))
         term, weight, example = term[order].astype(np.int64), weight[order], example[order]
         key = term * (len(rows) // BLOCK + 1) + example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         highest = np.maximum.reduceat(weight, first) if len(key) else np.zeros(0)
-        return cls(len(rows), np.searchsorted(term[first], np.arange(n_terms + 1)), example[first] // BLOCK, highest, np.append(first, len(key)), example, weight)
+        return cls(len(rows), np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32), example[first] // BLOCK, highest, np.append(first, len(key)).astype(np.int32), example, weight)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples nearest to a unit vector, but for those at ``without``;
@@ -206,9 +207,6 @@ class Examples:
         s = min(max(s, 1e-6), 1 - 1e-6)
         return float(np.log(s / (1 - s))), place
 
-    def score(self, vote: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * vote + self.shift, -50, 50)))
-
 
 def calibrated(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic law of y given the vote, by Newton steps on smoothed targets."""
@@ -236,8 +234,8 @@ def same_id(a: pa.Array, b: pa.Array) -> dict:
     return out
 
 
-def fit_examples(docs: DataFrame, labels: DataFrame, label: str, k: int) -> tuple[Examples, DataFrame]:
-    """The examples and the stored term counts of ``docs``."""
+def fit_examples(docs: DataFrame, labels: DataFrame, label: str, k: int) -> tuple[Examples, Broadcast, DataFrame]:
+    """The examples, the same as a broadcast, and the stored term counts of ``docs``."""
     sets = labels.filter(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("most"))
     known = sets.filter("label = most").select("doc_id", "label")
     examples = stored(sampled(known, docs), "toxic-examples")
@@ -257,16 +255,16 @@ def fit_examples(docs: DataFrame, labels: DataFrame, label: str, k: int) -> tupl
     ids = got["doc_id"].combine_chunks().take(pa.array(order))
     fit = Examples(BlockMaxIndex.build([vectors[i] for i in order], len(terms)), ids, y[order], weight, stands, of.get(1, 0) / max(sum(of.values()), 1))
     # calibration: each example is voted on by all others
-    votes = voted(term_counts(examples, terms, "label"), fit, k, extra="label").select("vote", "label").toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(fit)  # bounded by the sample's bytes; votes need no calibration
+    votes = voted(term_counts(examples, terms, "label"), shared, k, extra="label").select("vote", "label").toPandas()
     fit.slope, fit.shift = calibrated(votes["vote"].to_numpy(), votes["label"].to_numpy(), stands[votes["label"].to_numpy(int)] if len(votes) else np.zeros(0))
     release(examples)
-    return fit, counts
+    return fit, shared, counts
 
 
-def voted(counts: DataFrame, fit: Examples, k: int, extra: str | None = None) -> DataFrame:
+def voted(counts: DataFrame, shared: Broadcast, k: int, extra: str | None = None) -> DataFrame:
     """doc_id, vote, evidence (ids of the three nearest examples) and evidence_label (of the nearest) of
     each row of term counts. An example is no neighbour of its own document."""
-    shared = counts.sparkSession.sparkContext.broadcast(fit)  # bounded by the sample's bytes
     kind = counts.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *([extra] if extra else []), "terms", "tf"]
 
@@ -305,10 +303,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", k:
     without labels every score is near 0. Repeated rows are scored alike. Other columns are not
     read. An empty table gives no rows.
     """
-    fit, counts = fit_examples(docs, labels, label, k)
+    fit, shared, counts = fit_examples(docs, labels, label, k)
     slope, shift = F.lit(fit.slope), F.lit(fit.shift)
     score: Column = F.lit(1.0) / (1 + F.exp(-F.greatest(F.least(slope * F.col("vote") + shift, F.lit(50.0)), F.lit(-50.0))))
-    out = voted(counts, fit, k).withColumn("score", score)
+    out = voted(counts, shared, k).withColumn("score", score)
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "evidence_label")
 
 
