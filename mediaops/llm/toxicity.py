@@ -32,13 +32,18 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def sampled(known: DataFrame, docs: DataFrame, per_label: int = EXAMPLES_PER_LABEL, max_bytes: int = BYTES_PER_LABEL, seed: str = "toxic-1") -> DataFrame:
     """(doc_id, label, text) of a sample of the labelled documents, drawn by the hash of the id: of each
-    label about ``per_label`` documents and ``max_bytes`` bytes, all where there are fewer."""
-    rows = known.join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
-    rows = rows.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
-    sums = rows.groupBy("label").agg(F.count("*").alias("_n"), F.sum(F.octet_length("text")).alias("_bytes"))
+    label about ``per_label`` documents and ``max_bytes`` bytes, all where there are fewer. It is drawn
+    on ids and lengths, so no text is shuffled: the drawn ids go to the texts."""
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).alias("_size"))
+    ids = stored(known.join(sizes, "doc_id"), "toxic-ids")
+    sums = ids.groupBy("label").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / 2.0**52
     rate = F.least(F.lit(float(per_label)) / F.col("_n"), F.lit(float(max_bytes)) / F.greatest("_bytes", F.lit(1)))
-    return rows.join(F.broadcast(sums), "label").filter(u < rate).select("doc_id", "label", "text")  # sums: two rows
+    drawn = stored(ids.join(F.broadcast(sums), "label").filter(u < rate).select("doc_id", "label").distinct(), "toxic-drawn")  # sums: two rows
+    rows = F.broadcast(drawn).join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")  # drawn: about per_label a label
+    out = stored(rows.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")), "toxic-examples")
+    release(ids, drawn)
+    return out
 
 
 def term_labels(examples: DataFrame) -> DataFrame:
@@ -238,7 +243,7 @@ def fit_examples(docs: DataFrame, labels: DataFrame, label: str, k: int) -> tupl
     """The examples, the same as a broadcast, and the stored term counts of ``docs``."""
     sets = labels.filter(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("most"))
     known = sets.filter("label = most").select("doc_id", "label")
-    examples = stored(sampled(known, docs), "toxic-examples")
+    examples = sampled(known, docs)
     t = term_labels(examples).toPandas().sort_values("term")  # words of the sample: bounded by its bytes
     terms = t["term"].to_numpy()
     counts = stored(term_counts(docs, terms), "toxic-counts")
