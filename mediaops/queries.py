@@ -618,12 +618,26 @@ def str2_stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(T.stream_first_requests(keyed, EngineConfig(retention="3650 days")), "first").select("cache_key")
 
 
-@query(REPLAY_SQL.replace("cache_key ORDER BY", "path || query ORDER BY").replace("SELECT req_id, cache_key, changed_at", "SELECT req_id, path || '?' || query AS cache_key, changed_at"))
+STREAM_REPLAY_SQL = O.REQUESTS + ", " + O.CHANGES + """, latest AS (SELECT r.req_id, max(changed_at) AS changed_at FROM requests r LEFT JOIN changes c ON r.path = c.path AND c.changed_at <= r.ts GROUP BY r.req_id),
+seen AS (SELECT req_id, path || '?' || query AS cache_key, changed_at, ts, lag(ts) OVER (PARTITION BY path, query ORDER BY ts, req_id) AS previous FROM requests JOIN latest USING (req_id))
+SELECT req_id, cache_key, CASE WHEN epoch(date_trunc('second', ts)) - epoch(date_trunc('second', previous)) <= 51 * 3600 AND coalesce(date_trunc('second', previous) >= date_trunc('second', changed_at), true) THEN 'hit' ELSE 'render' END AS result FROM seen"""
+
+
+@query(STREAM_REPLAY_SQL)
 def str3_stream_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = X.with_paths(_event_stream(spark, sf_dir, 4))  # one batch: files do not arrive in the order of events
-    change = F.col("event_type") == "purchase"
-    rows = ev.select("path", "ts", F.when(~change, F.col("event_id")).alias("req_id"), F.when(~change, F.concat_ws("?", F.col("path"), X.query_text())).alias("cache_key"))
-    return _drained(T.stream_cache_replay(rows, "3650 days"), "replay")
+    """Events arrive in four spans of time; the stream takes up each with the state of those before."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder, out, at = (shared_path(spark, n) for n in ("events", "replay", "replay-checkpoint"))
+    ends = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
+    span = sum((F.unix_micros(F.col("ts").cast("timestamp")) > end).cast("int") for end in ends) if ends else F.lit(0)
+    for n in range(4):
+        ev.filter(F.coalesce(span, F.lit(0)) == n).write.mode("append").parquet(folder)
+        rows = X.with_paths(spark.readStream.schema(ev.schema).parquet(folder))
+        change = F.col("event_type") == "purchase"
+        rows = rows.select("path", "ts", F.when(~change, F.col("event_id")).alias("req_id"), F.when(~change, F.concat_ws("?", F.col("path"), X.query_text())).alias("cache_key"))
+        found = T.stream_cache_replay(rows, "51 hours")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
 
 
 @query(FILES_SQL + " SELECT path, 's' || image_id AS stem FROM files WHERE image_id % 4 < 2")

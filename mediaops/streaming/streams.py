@@ -40,40 +40,43 @@ def stream_first_requests(planned: DataFrame, cfg: EngineConfig = EngineConfig()
 
 
 def stream_cache_replay(events: DataFrame, retention: str = "7 days") -> DataFrame:
-    """Cache behaviour over a stream: req_id, cache_key and result (hit or render).
+    """Which requests of a stream repeat an earlier one: req_id, cache_key and result (hit or render).
 
     ``events``: path, ts and either req_id and cache_key of a request, or nulls there for a change
-    of the path. The state of a path is its last change and each key's last request; rows of one
-    batch are taken by time, changes first, then req_id. A path unused for ``retention`` of event
-    time is forgotten; its next request renders. Rows later than the watermark are out of order
-    with the state and answered by it as it stands.
+    of the path. A request is a hit if the key was requested at most ``retention`` before it and its
+    path has not changed in a later second than that. Rows of one batch are taken by time, changes
+    first, then req_id, whatever files they came in. The state of a path is its last change and the
+    last request of each key; keys that the watermark has left behind by ``retention`` are dropped,
+    and a path without keys is forgotten. Rows later than the watermark are dropped by it; earlier
+    rows that come in a later batch are answered by the state as it stands.
     """
     with_workers(events.sparkSession)
     out, state = "req_id long, cache_key string, result string", "changed long, keys array<string>, times array<long>"
-    gap_ms = int(pd.Timedelta(retention) / pd.Timedelta("1ms"))
+    keep = int(pd.Timedelta(retention).total_seconds())
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
         changed, keys, times = held.get if held.exists else (None, [], [])
-        last = dict(zip(keys, times, strict=True))
-        rows = pd.concat(list(frames))
+        rows = pd.concat(list(frames), ignore_index=True)
+        rows["at"] = [int(t.timestamp()) for t in rows["ts"]]
         rows["is_change"] = rows["req_id"].isna()
         rows = rows.sort_values(["ts", "is_change", "req_id"], ascending=[True, False, True])
-        found = []
-        for r in rows.itertuples(index=False):
-            at = int(r.ts.timestamp())
-            if r.is_change:
-                changed = at if changed is None else max(changed, at)
-            else:
-                before = last.get(r.cache_key)
-                fresh = before is not None and (changed is None or before >= changed)
-                found.append((int(r.req_id), r.cache_key, "hit" if fresh else "render"))
-                last[r.cache_key] = at
-        held.update((changed, list(last), list(last.values())))
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000) + gap_ms))
-        yield pd.DataFrame(found, columns=["req_id", "cache_key", "result"])
+        changes = rows["at"].where(rows["is_change"]).cummax().ffill()
+        rows["changed"] = changes if changed is None else changes.fillna(changed).clip(lower=changed)
+        asked = rows[~rows["is_change"]]
+        before = asked.groupby("cache_key", dropna=False)["at"].shift()
+        last = dict(zip(keys, times, strict=True))
+        before = before.fillna(asked["cache_key"].map(last).astype("float64"))
+        hit = (asked["at"] - before <= keep) & ~(before < asked["changed"])
+        ends, floor = rows["changed"].iloc[-1], held.getCurrentWatermarkMs() // 1000 - keep
+        last |= {k: int(t) for k, t in asked.groupby("cache_key")["at"].last().items()}
+        last = {k: t for k, t in last.items() if t >= floor}
+        held.update((None if pd.isna(ends) else int(ends), list(last), list(last.values())))
+        latest = max([int(rows["at"].max()), *last.values()])
+        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, (latest + 1 + keep) * 1000))
+        yield pd.DataFrame({"req_id": asked["req_id"].astype("int64"), "cache_key": asked["cache_key"], "result": hit.map({True: "hit", False: "render"})})
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", retention)
     return timed.groupBy("path").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)

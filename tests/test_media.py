@@ -16,6 +16,7 @@ from mediaops.operators import cache as C
 from mediaops.operators import replay as R
 from mediaops.operators.requests import typed_requests
 from mediaops.plans import routing as J
+from mediaops.streaming import streams as T
 
 NOON = datetime(2024, 5, 1, 12)
 
@@ -127,6 +128,52 @@ def test_replay_equals_row_by_row(spark, sf):
         seen[r.cache_key] = r.ts
     got = {r.req_id: r.result for r in R.replay_cache(Q.keyed_requests(spark, sf), X.changes(spark, sf)).collect()}
     assert got == expect and set(got.values()) == {"hit", "render"}
+    days = {r.req_id: r.result for r in R.replay_cache(Q.keyed_requests(spark, sf), X.changes(spark, sf), slice_seconds=200 * 86400).collect()}
+    assert days == expect
+
+
+def test_slices_change_nothing(spark):
+    """Ties, nulls and changes many slices ago give the same for every length of a slice."""
+    at = [NOON + timedelta(seconds=s) for s in (0, 0, 5, 61, 4000, 90000)]
+    requests = spark.createDataFrame([(n, t, "p" if n % 2 else "q", "k", "own") for n, t in enumerate(at)] + [(7, None, "p", "k", "own"), (8, NOON, None, None, "own")], "req_id long, ts timestamp_ntz, path string, cache_key string, _own string")
+    changes = spark.createDataFrame([("p", NOON), ("p", NOON), ("q", NOON - timedelta(days=9)), ("q", None), ("q", NOON + timedelta(seconds=4000)), ("z", NOON)], "path string, changed_at timestamp_ntz")
+    expect = {0: (NOON - timedelta(days=9), None), 1: (NOON, at[0]), 2: (NOON - timedelta(days=9), at[1]), 3: (NOON, at[2]), 4: (at[4], at[3]), 5: (NOON, at[4]), 7: (None, None), 8: (None, None)}
+    for length in (1, 60, 3600, 10**7):
+        got = R.previous_request(R.last_modification(requests, changes, length), length)
+        assert {r.req_id: (r.changed_at, r.previous) for r in got.collect()} == expect
+        assert got.columns == [*requests.columns, "changed_at", "previous"]
+    empty = requests.limit(0)
+    assert R.replay_cache(empty, changes).count() == 0
+    assert {r.result for r in R.replay_cache(requests, changes.limit(0)).collect()} == {"hit", "render"}
+
+
+def batches(spark, folder, rows, schema, make):
+    """Rows of each batch put into a folder in turn, and what the stream has given after each."""
+    out = []
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = make(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+        out.append(sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()))
+    return out
+
+
+def test_stream_forgets_keys(spark, tmp_path):
+    """A key comes back once its retention is over, and not before."""
+    hour = lambda n: NOON + timedelta(hours=n)
+    rows = [[("a", hour(0)), ("a", hour(1)), ("b", hour(0))], [("a", hour(20)), ("c", hour(60))], [("d", hour(61))], [("a", hour(62)), ("c", hour(63))]]
+    got = batches(spark, tmp_path, rows, "cache_key string, ts timestamp_ntz", lambda s: T.stream_first_requests(s, EngineConfig(retention="24 hours")).select("cache_key"))
+    assert [[k for (k,) in b] for b in got] == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"], ["a", "a", "b", "c", "d"]]
+
+
+def test_stream_replay_over_batches(spark, tmp_path):
+    """Changes and requests of earlier batches count; keys unused for the retention do not."""
+    hour = lambda n: NOON + timedelta(hours=n)
+    ask = lambda n, h, key="k", path="p": (path, hour(h), n, key)
+    rows = [[ask(1, 0), ask(2, 1), ask(3, 1, "m")], [("p", hour(2), None, None), ask(4, 2), ask(5, 3)], [ask(6, 4, "m"), ask(7, 27)], [ask(8, 52), ask(9, 60, "m"), ask(10, 60, "x", None)], [ask(11, 61, "x", None), ask(12, 62)]]
+    got = batches(spark, tmp_path, rows, "path string, ts timestamp_ntz, req_id long, cache_key string", lambda s: T.stream_cache_replay(s, "24 hours"))
+    assert {n: r for n, _, r in got[-1]} == {1: "render", 2: "hit", 3: "render", 4: "render", 5: "hit", 6: "render", 7: "hit", 8: "render", 9: "render", 10: "render", 11: "hit", 12: "hit"}
+    assert [len(b) for b in got] == [3, 5, 7, 10, 12]
 
 
 def test_joins_plan_without_python(spark, sf):
