@@ -51,6 +51,6 @@ def replay_cache(requests: DataFrame, changes: DataFrame, slice_seconds: int = S
     """Which requests of a log (req_id, ts, path, cache_key) repeat an earlier one? Adds ``changed_at`` and
     ``result``: hit if the key was requested before and its source has not changed in a later second
     than that; else render. Ties go by req_id, changes first."""
-    seen = previous_request(last_modification(requests, changes, slice_seconds), slice_seconds)
+    seen = last_modification(previous_request(requests, slice_seconds), changes, slice_seconds)
     fresh = F.col("previous").isNotNull() & ~F.coalesce(seconds(F.col("previous")) < seconds(F.col("changed_at")), F.lit(False))
     return seen.withColumn("result", F.when(fresh, "hit").otherwise("render")).drop("previous")
