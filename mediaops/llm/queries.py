@@ -1,8 +1,8 @@
-"""Queries of the ten operators and of the pipeline, with SQL where SQL can say it."""
+"""Queries of the operators and of the pipeline, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from mediaops.llm import language, minhash, mixing, neighbours, packing, quality, sharding, substrings, topk, toxicity
+from mediaops.llm import language, minhash, mixing, neighbours, packing, prefixes, quality, sharding, substrings, topk, toxicity, whitening
 from mediaops.llm.common import prepare
 
 
@@ -23,6 +23,8 @@ QUERIES = {
         "op8_shard_documents": sharding.op8_shard_documents,
         "op9_pack_documents": packing.op9_pack_documents,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "op12_prefix_trie": prefixes.op12_prefix_trie,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }.items()
 }
 
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op5_exact_top_k": topk.OP5_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op10_substring_dedup": substrings.OP10_SQL,
+    "op12_prefix_trie": prefixes.OP12_SQL,
 }
