@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaops.llm import language, minhash, mixing, neighbours, packing, prefixes, quality, sharding, substrings, topk, toxicity, whitening
+from mediaops.llm import language, minhash, mixing, neighbours, packing, pii, prefixes, quality, sharding, substrings, topk, toxicity, whitening
 from mediaops.llm.common import prepare
 
 
@@ -23,6 +23,7 @@ QUERIES = {
         "op8_shard_documents": sharding.op8_shard_documents,
         "op9_pack_documents": packing.op9_pack_documents,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "op11_personal_data": pii.op11_personal_data,
         "op12_prefix_trie": prefixes.op12_prefix_trie,
         "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }.items()
