@@ -24,6 +24,8 @@ from mediaops.llm.common import stored
 BLOCK_ROWS, BLOCK_TURNS = 1 << 15, 1 << 19
 DIGEST = 16
 CHUNK = 1 << 18
+#: Parts into which the nodes below one parent are dealt.
+SALTS = 32
 
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 #: Nodes at a block's edges: the prefix's and its parent's digest, bytes above and with the last turn, ids that end there.
@@ -215,9 +217,10 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     merged = merged.withColumn("n_leaves", F.when((F.col("depth") == 0) & (F.col("n_children") == 0), 1).otherwise(F.col("n_leaves")))
 
     names = [c.split()[0] for c in NODE.split(", ")]
-    parents = merged.select(F.col("prefix").alias("parent"), F.col("conv_id").alias("open_parent"))
+    parents = merged.select(F.col("prefix").alias("parent"), F.col("conv_id").alias("open_parent"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     below = whole.filter("parent is not null").select("parent", *names).unionByName(merged.withColumn("parent_conv_id", F.lit(None).cast("long")).select("parent", *names))
-    below = below.join(parents, "parent", "left").withColumn("parent_conv_id", F.col("open_parent")).select(*names)
+    below = below.withColumn("salt", F.pmod(F.xxhash64("conv_id", "depth"), F.lit(SALTS)).cast("int"))  # one parent may have most nodes below it
+    below = below.join(parents, ["parent", "salt"], "left").withColumn("parent_conv_id", F.col("open_parent")).select(*names)
     return below.unionByName(whole.filter("parent is null").select(*names))
 
 
