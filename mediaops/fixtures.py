@@ -121,6 +121,44 @@ def image_file(image_id: int, px: list[int]) -> tuple[str, bytes]:
     return f"gif/{image_id}.gif", b"GIF89a" + struct.pack("<HH", w, h) + b"\0\0\0;"
 
 
+def container_file(image_id: int) -> tuple[str, bytes]:
+    """Name and bytes of a file without pixels, in turn of eight kinds: TIFF of some directories, PNG with
+    a palette, GIF of some frames, WebP with and without an extended header, AVIF, SVG and PDF. Sizes,
+    transparency (every third id) and pages follow from the id."""
+    w, h, pages, clear = 1 + image_id % 500, 1 + image_id % 300, 1 + image_id % 4, image_id % 3 == 0
+    kind = image_id % 8
+    if kind == 0:
+        tags = [(256, w), (257, h), (262, 2), (274, 1 + image_id % 8), (277, 4 if clear else 3)]
+        size = 2 + 12 * len(tags) + 4
+        page = lambda n: struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 3, 1, v) for t, v in tags) + struct.pack("<I", 8 + size * (n + 1) if n + 1 < pages else 0)
+        return f"tiff/{image_id}.tiff", b"II*\0" + struct.pack("<I", 8) + b"".join(map(page, range(pages)))
+    if kind == 1:
+        tail = (_chunk(b"tRNS", b"\0") if clear else b"") + _chunk(b"IDAT", b"") + _chunk(b"IEND", b"")
+        return f"png/{image_id}.png", b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 3, 0, 0, 0)) + _chunk(b"PLTE", b"\0\0\0") + tail
+    if kind == 2:
+        frame = b"\x21\xf9\x04" + bytes([clear]) + b"\0\0\0\0" + b"\x2c" + struct.pack("<HHHH", 0, 0, w, h) + b"\0\x02\x02\x4c\x01\0"
+        return f"gif/{image_id}.gif", b"GIF89a" + struct.pack("<HH", w, h) + b"\x80\0\0" + bytes(6) + frame * pages + b";"
+    if kind in (3, 4):
+        riff = lambda name, data: name + struct.pack("<I", len(data)) + data + bytes(len(data) % 2)
+        side = lambda n: struct.pack("<I", n - 1)[:3]
+        lossless = riff(b"VP8L", b"\x2f" + struct.pack("<I", w - 1 | h - 1 << 14 | clear << 28))
+        body = lossless if kind == 4 else riff(b"VP8X", bytes([16 * clear + 2, 0, 0, 0]) + side(w) + side(h)) + riff(b"ANMF", bytes(16)) * pages
+        return f"webp/{image_id}.webp", riff(b"RIFF", b"WEBP" + body)
+    if kind == 5:
+        box = lambda name, *data: struct.pack(">I", 8 + len(b"".join(data))) + name + b"".join(data)
+        alpha = [box(b"auxC", bytes(4), b"urn:mpeg:mpegB:cicp:systems:auxiliary:alpha\0")] if clear else []
+        own = box(b"ipco", box(b"ispe", struct.pack(">III", 0, w, h)), box(b"ispe", struct.pack(">III", 0, 1, 1)), *alpha)
+        return f"avif/{image_id}.avif", box(b"ftyp", b"avif", bytes(4)) + box(b"meta", bytes(4), box(b"iprp", own))
+    if kind == 6:
+        return f"svg/{image_id}.svg", f'<?xml version="1.0"?><svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {w} {h}"></svg>'.encode()
+    tree = f"<< /Type /Pages /Resources << /A << >> >> /Kids [{' '.join(f'{k + 3} 0 R' for k in range(pages))}] /Count {pages} /MediaBox [0 0 {w} {h}] >>".encode()
+    leaf = b"<< /Type /Pages /Parent 2 0 R /Count 900 >>"
+    if not clear:
+        return f"pdf/{image_id}.pdf", b"%PDF-1.7\n2 0 obj " + tree + b" endobj\n3 0 obj " + leaf + b" endobj\n"
+    packed = zlib.compress(b"2 0 3 90 " + tree + b" " + leaf)
+    return f"pdf/{image_id}.pdf", b"%PDF-1.7\n9 0 obj << /Type /ObjStm /N 2 /Filter /FlateDecode >> stream\r\n" + packed + b"\r\nendstream endobj\n"
+
+
 def write_files(df: DataFrame, root: str, make: Callable[..., tuple[str, bytes]]) -> None:
     """One file under ``root`` for each row: make(*columns) gives its name and bytes. Tasks write through
     Arrow's file systems; a task that runs again writes the same files."""
@@ -137,3 +175,17 @@ def write_files(df: DataFrame, root: str, make: Callable[..., tuple[str, bytes]]
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
     df.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def remove_files(names: DataFrame, root: str) -> None:
+    """Deletes the files ``path`` below ``root``, in tasks; those that are gone stay so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa_fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if fs.get_file_info(f"{base}/{path}").is_file:
+                    fs.delete_file(f"{base}/{path}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    names.select("path").mapInArrow(run, "n long").agg(F.sum("n")).collect()

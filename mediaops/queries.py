@@ -20,6 +20,7 @@ from mediaops.operators import signing as S
 from mediaops.plans import routing as J
 from mediaops.session import bound, cut, shared_path
 from mediaops.sources import files as S_FILES
+from mediaops.sources import listing as L
 from mediaops.sources.logs import parse_access_log
 from mediaops.sources.sinks import write_cache_index, write_variants
 from mediaops.streaming import streams as T
@@ -492,21 +493,53 @@ def src2_asset_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    IMAGES_SQL + " SELECT image_id || '.png' AS path, 2 AS height, 8 AS width, 4 AS channels, array_to_string(list_transform(range(0, 64), lambda i: px[(i // 4) * 4 + [3, 2, 1, 4][i % 4 + 1]]), ',') AS px, CAST(NULL AS VARCHAR) AS error FROM im WHERE image_id % 3 = 0 "
-    "UNION ALL SELECT image_id || '.gif', -1, -1, -1, '', 'undecodable' FROM im WHERE image_id % 3 = 2"
+    FILES_SQL + " SELECT path, CASE ext WHEN 'png' THEN 2 ELSE -1 END AS height, CASE ext WHEN 'png' THEN 8 ELSE -1 END AS width, CASE ext WHEN 'png' THEN 4 ELSE -1 END AS channels, "
+    "CASE ext WHEN 'png' THEN array_to_string(list_transform(range(0, 64), lambda i: im.px[(i // 4) * 4 + [3, 2, 1, 4][i % 4 + 1]]), ',') ELSE '' END AS px, CASE WHEN ext <> 'png' THEN 'undecodable' END AS error FROM files JOIN im USING (image_id)"
 )
 def src3_scan_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = image_files(spark, sf_dir)
-    found = S_FILES.scan_images(spark, f"{root}/png").unionByName(S_FILES.scan_images(spark, f"{root}/gif"))
+    found = S_FILES.scan_images(spark, image_files(spark, sf_dir))
     return found.select("path", "height", "width", F.col("nChannels").alias("channels"), I.to_text(F.col("data")).alias("px"), "error")
 
 
 @query(
     FILES_SQL + " SELECT path, CASE ext WHEN 'jpg' THEN 'jpeg' ELSE ext END AS image_type, CASE ext WHEN 'png' THEN 8 ELSE 1 + image_id % 500 END AS width, CASE ext WHEN 'png' THEN 2 ELSE 1 + image_id % 300 END AS height, "
-    "ext = 'png' AS has_alpha, CAST(CASE ext WHEN 'jpg' THEN 1 + image_id % 8 ELSE 1 END AS INTEGER) AS orientation FROM files"
+    "ext = 'png' AS has_alpha, CAST(CASE ext WHEN 'jpg' THEN 1 + image_id % 8 ELSE 1 END AS INTEGER) AS orientation, 1 AS n_pages, length FROM files"
 )
 def src4_probe_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S_FILES.probe_assets(S_FILES.scan_assets(spark, image_files(spark, sf_dir)))
+    return S_FILES.probe_assets(S_FILES.scan_assets(spark, image_files(spark, sf_dir))).drop("modified_at")
+
+
+CONTAINERS_SQL = """WITH files AS (SELECT vec_id AS id, ['tiff', 'png', 'gif', 'webp', 'webp', 'avif', 'svg', 'pdf'][vec_id % 8 + 1] AS kind, CAST(1 + vec_id % 500 AS BIGINT) AS width, CAST(1 + vec_id % 300 AS BIGINT) AS height,
+  vec_id % 3 = 0 OR vec_id % 8 > 5 AS has_alpha, CAST(CASE WHEN vec_id % 8 = 0 THEN 1 + vec_id % 8 ELSE 1 END AS INTEGER) AS orientation, CAST(CASE WHEN vec_id % 8 IN (0, 2, 3, 7) THEN 1 + vec_id % 4 ELSE 1 END AS INTEGER) AS n_pages FROM embeddings)"""
+
+
+def container_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files of eight kinds, by the ids of the embeddings."""
+    root = shared_path(spark, "container-files")
+    X.write_files(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id"), root, X.container_file)
+    return root
+
+
+@query(CONTAINERS_SQL + " SELECT kind || '/' || id || '.' || kind AS path, kind AS image_type, width, height, has_alpha, orientation, n_pages FROM files")
+def src4_probe_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of all kinds, by ranged reads of listed files."""
+    root = container_files(spark, sf_dir)
+    return S_FILES.probe_assets(L.list_files(spark, root), root).drop("length", "modified_at")
+
+
+@query(
+    CONTAINERS_SQL + " SELECT id AS req_id, kind || '/' || id || '.' || kind AS path, CASE WHEN kind = 'pdf' THEN least(id % 6, n_pages - 1) ELSE 0 END AS page, "
+    "CAST(CASE WHEN orientation >= 5 THEN height ELSE width END AS INTEGER) AS loaded_w, CAST(CASE WHEN orientation >= 5 THEN width ELSE height END AS INTEGER) AS loaded_h, 'render' AS outcome FROM files"
+)
+def join2_attach_probed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the n-th page of every file, routed with what its header says alone."""
+    root = container_files(spark, sf_dir)
+    files = S_FILES.probe_assets(L.list_files(spark, root), root)
+    n = F.regexp_extract("path", "([0-9]+)[.]", 1).cast("long")
+    asked = files.select(n.alias("req_id"), "path", F.concat(F.lit("thumb=p:"), (1 + n % 6).cast("string")).alias("query"), F.lit("*/*").alias("accept"))
+    none = spark.createDataFrame([], "cache_key string, cached_at timestamp_ntz")
+    found = J.route_requests(asked, files, none, EngineConfig(), spark.createDataFrame([], "path string, cached_at timestamp_ntz"))
+    return found.select("req_id", "path", F.when(F.col("kind.paged"), G.clamp_page(F.col("spec.page"), F.col("n_pages"))).otherwise(0).cast("int").alias("page"), F.col("loaded.w").alias("loaded_w"), F.col("loaded.h").alias("loaded_h"), "outcome")
 
 
 @query(O.EV + " SELECT 'k' || event_id AS stem, path FROM ev WHERE event_type = 'purchase'")
@@ -517,12 +550,22 @@ def src8_read_cache_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S_FILES.read_cache_index(spark, root).select("stem", "path")
 
 
+@query(O.EV + " SELECT 'd' || (event_id % 16) || '/k' || event_id || '.index' AS path, CAST(length(path) + 1 AS BIGINT) AS length, 'k' || event_id AS stem, path AS source FROM ev WHERE event_type = 'purchase'")
+def src8_list_index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, listed and read by tasks."""
+    root = shared_path(spark, "index-files")
+    events = X.events(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "path")
+    X.write_files(events, root, lambda event_id, path: (f"d{event_id % 16}/k{event_id}.index", f"{path}\n".encode()))
+    listed = L.list_files(spark, root).select("path", "length", F.regexp_extract("path", "([^/]*)[.]index$", 1).alias("stem"))
+    return listed.join(L.read_index_files(spark, root).select("stem", F.col("path").alias("source")), "stem").select("path", "length", "stem", "source")
+
+
 @query(FILES_SQL + " SELECT image_id AS req_id, path, length, CASE ext WHEN 'png' THEN '89504E470D0A' WHEN 'jpg' THEN 'FFD8FFE10022' ELSE '474946383961' END AS head FROM files WHERE image_id % 2 = 0")
 def src9_select_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S_FILES.scan_assets(spark, image_files(spark, sf_dir))
+    root = image_files(spark, sf_dir)
     ext = F.get(F.array(F.lit("png"), F.lit("jpg"), F.lit("gif")), (F.col("image_id") % 3).cast("int"))
     asked = X.image_arrays(spark, sf_dir).select(F.col("image_id").alias("req_id"), F.concat(ext, F.lit("/"), F.col("image_id").cast("string"), F.lit("."), ext).alias("path"), F.when(F.col("image_id") % 2 == 0, "original").otherwise("render").alias("outcome"))
-    return S_FILES.select_originals(asked, found).select("req_id", "path", "length", F.hex(F.substring("content", 1, 6)).alias("head"))
+    return S_FILES.select_originals(asked, L.list_files(spark, root), root).select("req_id", "path", "length", F.hex(F.substring("content", 1, 6)).alias("head"))
 
 
 # --- images -----------------------------------------------------------------------------------------------
@@ -640,13 +683,33 @@ def str3_stream_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(out)
 
 
-@query(FILES_SQL + " SELECT path, 's' || image_id AS stem FROM files WHERE image_id % 4 < 2")
+@query(
+    FILES_SQL + ", steps AS (SELECT unnest([1, 2, 3]) AS step), happened AS (SELECT step, path, image_id, CASE WHEN step = 1 OR (step = 3 AND image_id % 5 = 2) THEN 'added' WHEN step = 2 AND image_id % 5 = 1 THEN 'changed' WHEN image_id % 5 = step THEN 'deleted' END AS change FROM files, steps) "
+    "SELECT CAST(step AS INTEGER) AS step, path, change, 's' || image_id AS stem FROM happened WHERE change = 'deleted' OR (change IS NOT NULL AND image_id % 4 < 2)"
+)
 def str4_stream_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = image_files(spark, sf_dir)
-    entries = S_FILES.scan_assets(spark, root).select("path", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("n"))
-    at = F.when(F.col("n") % 4 < 2, F.lit("2001-01-01")).otherwise(F.lit("2999-01-01")).cast("timestamp")
-    cached = cut(entries.select("path", F.concat(F.lit("k/s"), F.col("n").cast("string"), F.lit(".webp")).alias("cache_key"), at.alias("cached_at")), "variants")
-    return _drained(T.stream_invalidate(T.asset_stream(spark, root), cached).select("path", "stem"), "stale")
+    """Three listings on one checkpoint: all files come; some are overwritten in place and some go; of
+    those that went all come back, and others go."""
+    root, state, out, at = image_files(spark, sf_dir), *(shared_path(spark, n) for n in ("listings", "stale", "stale-checkpoint"))
+    made = X.image_arrays(spark, sf_dir).select("image_id", "px")
+    entries = cut(L.list_files(spark, root).select("path", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("n")), "entries")
+    cached_at = F.when(F.col("n") % 4 < 2, F.lit("2001-01-01")).otherwise(F.lit("2999-01-01")).cast("timestamp")
+    cached = cut(entries.select("path", F.concat(F.lit("k/s"), F.col("n").cast("string"), F.lit(".webp")).alias("cache_key"), cached_at.alias("cached_at")), "variants")
+
+    def longer(image_id: int, px: list[int]) -> tuple[str, bytes]:
+        name, data = X.image_file(image_id, px)
+        return name, data + b"."
+
+    for step in range(3):
+        if step == 1:
+            X.write_files(made.filter("image_id % 5 = 1"), root, longer)
+        if step == 2:
+            X.write_files(made.filter("image_id % 5 = 2"), root, X.image_file)
+        if step:
+            X.remove_files(entries.filter(F.col("n") % 5 == step + 1), root)
+        found = T.stream_invalidate(L.asset_changes(spark, root, state), cached).select("path", "change", "stem")
+        found.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, change string, stem string, batch int").parquet(out).select((F.col("batch") + 1).alias("step"), "path", "change", "stem")
 
 
 @query(

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import struct
+import contextlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaops.functions.formats import file_extension, file_stem
 from mediaops.session import with_workers
+from mediaops.sources.headers import Header, Ranges, probe
+from mediaops.sources.listing import opened, with_content
+
+#: Tasks that may share the requests of one path.
+SPREAD = 8
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -48,73 +55,58 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> D
     return df.select(relative_path(F.col("image.origin"), root).alias("path"), *img, F.when(F.col("image.width") < 0, "undecodable").alias("error"))
 
 
-def _number(content: Column, at: int, n: int, little: bool = False) -> Column:
-    """An unsigned number of n bytes at a place counted from 0."""
-    picks = range(at + n - 1, at - 1, -1) if little else range(at, at + n)
-    return F.conv(F.hex(F.concat(*[F.substring(content, i + 1, 1) for i in picks])), 16, 10).cast("long")
-
-
-def jpeg_header(data: bytes) -> tuple[int, int, int] | None:
-    """Width, height and EXIF orientation (1 if absent), found by walking the markers."""
-    at, orientation = 2, 1
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-        if marker == 0xFF:
-            at += 1
-            continue
-        body = data[at + 4 : at + 2 + size]
-        if marker == 0xE1 and body[:6] == b"Exif\0\0":
-            orientation = exif_orientation(body[6:]) or 1
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
-            height, width = struct.unpack(">HH", body[1:5])
-            return width, height, orientation
-        if marker == 0xDA:
-            return None
-        at += 2 + size
-    return None
-
-
-def exif_orientation(tiff: bytes) -> int | None:
-    """Orientation of 1 to 8 in the first directory of a TIFF block."""
-    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-    if order is None or len(tiff) < 8:
-        return None
-    (first,) = struct.unpack(order + "I", tiff[4:8])
-    if first + 2 > len(tiff):
-        return None
-    (n,) = struct.unpack(order + "H", tiff[first : first + 2])
-    for i in range(n):
-        entry = tiff[first + 2 + 12 * i : first + 14 + 12 * i]
-        if len(entry) == 12 and struct.unpack(order + "H", entry[:2])[0] == 0x0112:
-            value = struct.unpack(order + "H", entry[8:10])[0]
-            return value if 1 <= value <= 8 else None
-    return None
-
-
-def _jpeg_headers(content: pd.Series) -> pd.DataFrame:
-    rows = [(jpeg_header(c) if c is not None else None) or (None, None, None) for c in content]
-    return pd.DataFrame(rows, columns=["width", "height", "orientation"]).astype({"width": "Int64", "height": "Int64", "orientation": "Int32"})
-
-
-def probe_assets(assets: DataFrame) -> DataFrame:
-    """path, image_type, width, height, has_alpha and orientation from headers, pixels undecoded.
-
-    PNG, GIF and BMP headers are read by expressions; for JPEG files a Python worker walks the
-    markers, and gets no other content. Other types have null sizes."""
+HEADER = "image_type string, width long, height long, has_alpha boolean, orientation int, n_pages int"
+#: Bytes of a file that are enough for nearly all headers; GIF, TIFF and PDF files are walked to their end.
+HEAD = 1 << 16
+
+
+def _headers(content: pd.Series) -> pd.DataFrame:
+    rows = [(probe(Ranges(bytes(c), len(c))) if c is not None else None) or (None,) * 6 for c in content]
+    out = pd.DataFrame(rows, columns=list(Header._fields))
+    return out.astype({"width": "Int64", "height": "Int64", "has_alpha": "boolean", "orientation": "Int32", "n_pages": "Int32"})
+
+
+def _probed_ranges(assets: DataFrame, root: str) -> DataFrame:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(root)
+        for batch in batches:
+            rows = []
+            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
+                found = None
+                with contextlib.suppress(FileNotFoundError, IsADirectoryError):
+                    if path is not None:
+                        with fs.open_input_file(f"{base}/{path}") as f:
+                            found = probe(Ranges(f, f.size()))
+                rows.append(found or (None,) * 6)
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *Header._fields])
+
+    kept = assets.select("path", *(c for c in ("length", "modified_at") if c in assets.columns))
+    schema = ", ".join(f"{c} {t}" for c, t in kept.dtypes)
+    return kept.repartition(4 * assets.sparkSession.sparkContext.defaultParallelism, "path").mapInArrow(run, f"{schema}, {HEADER}")
+
+
+def probe_assets(assets: DataFrame, root: str | None = None) -> DataFrame:
+    """path, image_type, width, height, has_alpha, orientation and n_pages from headers, pixels undecoded,
+    with length and modified_at where ``assets`` has them: a table that ``attach_assets`` takes.
+
+    With ``root`` the tasks open the files below it and read only the ranges that a header walk
+    enters; ``assets`` needs no contents. Without it they are taken from ``content``: first the head
+    of a file alone, then the whole of those that it does not settle. Files of other kinds, broken
+    ones and those that are gone have null values."""
     with_workers(assets.sparkSession)
-    _jpeg = F.pandas_udf(_jpeg_headers, "struct<width long, height long, orientation int>")
-    c = F.col("content")
-    head = F.hex(F.substring(c, 1, 8))
-    kind = F.when(head == "89504E470D0A1A0A", "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("47494638"), "gif").when(head.startswith("424D"), "bmp")
-    df = assets.withColumn("image_type", kind).withColumn("_jpeg", _jpeg(F.when(F.col("image_type") == "jpeg", c)))
-    t = F.col("image_type")
-    size = lambda png, gif, bmp, jpeg: F.when(t == "png", png).when(t == "gif", gif).when(t == "bmp", bmp).when(t == "jpeg", F.col(f"_jpeg.{jpeg}"))
-    signed = _number(c, 22, 4, True)
-    bmp_height = F.when(signed >= 2**31, 2**32 - signed).otherwise(signed)
-    return df.select(
-        "path", "image_type", size(_number(c, 16, 4), _number(c, 6, 2, True), _number(c, 18, 4, True), "width").alias("width"), size(_number(c, 20, 4), _number(c, 8, 2, True), bmp_height, "height").alias("height"),
-        F.when(t == "png", _number(c, 25, 1).isin(4, 6)).when(t == "bmp", _number(c, 28, 2, True) == 32).when(t.isNotNull(), False).alias("has_alpha"), F.when(t == "jpeg", F.col("_jpeg.orientation")).when(t.isNotNull(), 1).alias("orientation"),
-    )
+    if root is not None:
+        return _probed_ranges(assets, root)
+    header = F.pandas_udf(_headers, HEADER)
+    c, head = F.col("content"), F.hex(F.substring("content", 1, 4))
+    walked = head.startswith("47494638") | head.isin("49492A00", "4D4D002A", "49492B00", "4D4D002B") | (head == "25504446")
+    df = assets.withColumn("_first", header(F.when(walked, c).otherwise(F.substring("content", 1, HEAD))))
+    df = df.withColumn("_then", header(F.when(F.col("_first.image_type").isNull() & ~walked & (F.length(c) > HEAD), c)))
+    fields = [F.coalesce(f"_first.{f}", f"_then.{f}").alias(f) for f in Header._fields]
+    return df.select("path", *(c for c in ("length", "modified_at") if c in assets.columns), *fields)
 
 
 def read_cache_index(spark: SparkSession, root: str) -> DataFrame:
@@ -123,6 +115,13 @@ def read_cache_index(spark: SparkSession, root: str) -> DataFrame:
     return df.select(file_stem(F.col("_metadata.file_path")).alias("stem"), F.trim("value").alias("path"), F.col("_metadata.file_modification_time").alias("written_at"))
 
 
-def select_originals(routed: DataFrame, assets: DataFrame) -> DataFrame:
-    """The unmodified bytes of requests that are passed through."""
-    return routed.filter("outcome = 'original'").select("req_id", "path").join(assets.select("path", "length", "content"), "path")
+def select_originals(routed: DataFrame, assets: DataFrame, root: str | None = None) -> DataFrame:
+    """The unmodified bytes of requests that are passed through: req_id, path, length and content.
+
+    With ``root`` no content is shuffled: requests meet the listed files by path, those of a path
+    are dealt to a few tasks and stand side by side there, and each task reads a file once."""
+    asked = routed.filter("outcome = 'original'").select("req_id", "path")
+    if root is None:
+        return asked.join(assets.select("path", "length", "content"), "path")
+    found = asked.join(assets.select("path", "length"), "path").repartition("path", F.pmod(F.xxhash64("req_id"), F.lit(SPREAD))).sortWithinPartitions("path")
+    return with_content(found, root).filter("content is not null")

@@ -83,16 +83,22 @@ def stream_cache_replay(events: DataFrame, retention: str = "7 days") -> DataFra
 
 
 def asset_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Files as they arrive: path (below the root, as scan_assets has it), modified_at, length."""
+    """Files as they arrive: path (below the root, as scan_assets has it), modified_at, length. Spark
+    remembers the paths it has seen: files that are overwritten or deleted are seen by
+    ``sources.listing.asset_changes`` only."""
     df = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     return df.select(relative_path(F.col("path"), root).alias("path"), F.col("modificationTime").alias("modified_at"), "length")
 
 
 def stream_invalidate(assets: DataFrame, variants: DataFrame) -> DataFrame:
     """The renditions that a changed source makes stale, as the change arrives; both sides have paths
-    below the data root."""
-    changed = assets.select("path", "modified_at")
-    return changed.join(variants, "path").filter(seconds(F.col("cached_at")) < seconds(F.col("modified_at"))).withColumn("stem", file_stem(F.col("cache_key")))
+    below the data root. With a ``change`` column (``asset_changes``), which stays, a deleted source
+    makes all its renditions stale, whenever they were made."""
+    columns = ["path", "modified_at", *(["change"] if "change" in assets.columns else [])]
+    stale = seconds(F.col("cached_at")) < seconds(F.col("modified_at"))
+    if "change" in columns:
+        stale = stale | (F.col("change") == "deleted")
+    return assets.select(*columns).join(variants, "path").filter(stale).withColumn("stem", file_stem(F.col("cache_key")))
 
 
 def stream_render(plans: DataFrame, images: DataFrame, out: str, index: str, checkpoint: str, once: bool = False) -> StreamingQuery:
