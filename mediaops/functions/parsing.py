@@ -48,17 +48,18 @@ def strict_float(text: Column) -> Column:
 
 def percent_decode(text: Column) -> Column:
     """Form decoding: '+' is a blank, %XX a byte; what cannot be decoded stays."""
-    return F.coalesce(F.try_url_decode(text), F.regexp_replace(text, r"\+", " "))
+    decoded = F.coalesce(F.try_url_decode(text), F.regexp_replace(text, r"\+", " "))
+    return F.when(F.contains(text, F.lit("%")) | F.contains(text, F.lit("+")), decoded).otherwise(text)
 
 
 def query_map(query: Column) -> Column:
-    """Parameters of a query string; of equal names the last wins, and a missing '=' means ''."""
+    """Parameters of a query string; of equal names the last wins, and a missing '=' means ''. One walk
+    over the pairs, each decoded once."""
     parts = F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: p != "")
-    name = lambda p: percent_decode(F.substring_index(p, "=", 1))
-    value = lambda p: percent_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1))
-    pairs = F.transform(parts, lambda p: F.struct(name(p).alias("k"), value(p).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])))
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise("")
+    pairs = F.transform(parts, lambda p: F.struct(percent_decode(F.substring_index(p, "=", 1)).alias("k"), percent_decode(value(p)).alias("v")))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    return F.map_from_entries(F.aggregate(pairs, none, lambda seen, p: F.array_append(F.filter(seen, lambda s: s["k"] != p["k"]), p)))
 
 
 def parse_raw(params: Column) -> Column:

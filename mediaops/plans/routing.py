@@ -11,7 +11,8 @@ from mediaops.functions import geometry as G
 from mediaops.functions import keys as K
 from mediaops.operators.requests import typed_requests
 from mediaops.operators.signing import verify_tokens
-from mediaops.session import bound
+from mediaops.session import bound, per_distinct
+from mediaops.sources.inventory import OUTPUTS, cache_inventory, stem_of
 
 
 def seconds(ts: Column) -> Column:
@@ -66,13 +67,31 @@ def plan_requests(attached: DataFrame, cfg: EngineConfig) -> DataFrame:
     return df.withColumn("kind", kind).drop("_ext").withColumn("output_format", F.col("limited.output_format"))
 
 
+def _state(cached_at: Column) -> Column:
+    return F.when(cached_at.isNull(), "absent").when(seconds(cached_at) < seconds(F.col("modified_at")), "stale").otherwise("hit")
+
+
 def cache_lookup(planned: DataFrame, variants: DataFrame, key: str = "cache_key") -> DataFrame:
     """Adds ``cache_state``: hit, stale or absent. An entry is stale if its source changed in a
     later second; one whose source is gone still hits."""
     entries = variants.groupBy(F.col("cache_key").alias(key)).agg(F.max("cached_at").alias("cached_at"))
     joined = planned.join(entries, key, "left")
-    state = F.when(F.col("cached_at").isNull(), "absent").when(seconds(F.col("cached_at")) < seconds(F.col("modified_at")), "stale").otherwise("hit")
-    return joined.withColumn("cache_state", state).drop("cached_at")
+    return joined.withColumn("cache_state", _state(F.col("cached_at"))).drop("cached_at")
+
+
+def lookup_both(planned: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Adds ``first_state`` and ``cache_state``, those of first_key and cache_key, by one join with an
+    inventory (``sources.inventory``): both keys differ in their format alone. A bucketed inventory
+    is read as it lies, without an exchange."""
+    joined = planned.withColumn("stem", stem_of(F.col("cache_key"))).join(inventory.select("stem", "cached"), "stem", "left")
+
+    def at(key: str) -> Column:
+        fmt, out = F.substring_index(key, ".", -1), F.lit(None).cast("timestamp_ntz")
+        for f in OUTPUTS:
+            out = F.when(fmt == f, F.col(f"cached.{f}").cast("timestamp_ntz")).otherwise(out)
+        return out
+
+    return joined.withColumns({"first_state": _state(at("first_key")), "cache_state": _state(at("cache_key"))}).drop("stem", "cached")
 
 
 def _stale_documents(planned: DataFrame, documents: DataFrame | None) -> DataFrame:
@@ -95,21 +114,16 @@ def plan_error(cfg: EngineConfig) -> Column:
     )
 
 
-def route_requests(requests: DataFrame, assets: DataFrame, variants: DataFrame, cfg: EngineConfig, documents: DataFrame | None = None) -> DataFrame:
-    """One ``outcome`` and http ``status`` per request, with ``error`` where there is one.
-
-    In this order: bad_request (a parameter of the wrong type), forbidden (token), not_found (no
-    source), original (asked for, or no supported extension), cached (a fresh entry under the
-    negotiated format's key, else under the limited one's), error, render. ``documents`` lists
-    converted documents (path, cached_at); while one is absent or older than its source the
-    cache is not asked. Rows are never dropped; null queries are empty.
-    """
+def plan_routes(requests: DataFrame, assets: DataFrame, cfg: EngineConfig, documents: DataFrame | None = None) -> DataFrame:
+    """Requests with all that is decided without the cache."""
     typed = verify_tokens(typed_requests(requests), cfg.key)
     planned = _stale_documents(plan_requests(attach_assets(typed, assets), cfg), documents)
-    planned = planned.withColumn("error", plan_error(cfg))
-    looked = cache_lookup(planned, variants, "first_key").withColumnRenamed("cache_state", "first_state")
-    looked = cache_lookup(looked, variants, "cache_key")
-    error = F.col("error")
+    return planned.withColumn("error", plan_error(cfg))
+
+
+def decide(planned: DataFrame, inventory: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Adds outcome and status to planned requests, by what the cache's inventory has."""
+    looked, error = lookup_both(planned, inventory), F.col("error")
     use_cache = F.lit(cfg.cache_enable) & ~F.col("converting")
     hit = use_cache & ((F.col("first_state") == "hit") | (error.isNull() & (F.col("cache_state") == "hit")))
     outcome = (
@@ -126,6 +140,21 @@ def route_requests(requests: DataFrame, assets: DataFrame, variants: DataFrame,
     return looked.withColumn("error", F.when(F.col("outcome") == "error", F.col("error"))).withColumn("status", status)
 
 
+def route_requests(requests: DataFrame, assets: DataFrame, variants: DataFrame, cfg: EngineConfig, documents: DataFrame | None = None) -> DataFrame:
+    """One ``outcome`` and http ``status`` per request, with ``error`` where there is one.
+
+    In this order: bad_request (a parameter of the wrong type), forbidden (token), not_found (no
+    source), original (asked for, or no supported extension), cached (a fresh entry under the
+    negotiated format's key, else under the limited one's), error, render. ``variants`` has
+    cache_key and cached_at, or is an inventory of ``sources.inventory``. ``documents`` lists
+    converted documents (path, cached_at); while one is absent or older than its source the
+    cache is not asked. Rows are never dropped; null queries are empty. Requests of one path, query
+    and accept go one way, so each distinct one is routed once.
+    """
+    inventory = variants if "cached" in variants.columns else cache_inventory(variants)
+    return per_distinct(requests, ["path", "query", "accept"], lambda d: decide(plan_routes(d, assets, cfg, documents), inventory, cfg))
+
+
 def stale_index(index: DataFrame, assets: DataFrame) -> DataFrame:
     """Index entries whose source is newer (in whole seconds); those of vanished sources stay out."""
     joined = index.join(assets.select("path", "modified_at"), "path")

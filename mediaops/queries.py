@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ from mediaops.operators import replay as R
 from mediaops.operators import requests as Q
 from mediaops.operators import signing as S
 from mediaops.plans import routing as J
-from mediaops.session import bound, cut, shared_path
+from mediaops.session import bound, cut, per_distinct, shared_path
 from mediaops.sources import files as S_FILES
 from mediaops.sources import listing as L
+from mediaops.sources.inventory import write_inventory
 from mediaops.sources.logs import parse_access_log
 from mediaops.sources.sinks import write_cache_index, write_variants
 from mediaops.streaming import streams as T
@@ -172,7 +175,8 @@ def fmt3_negotiate_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planned(spark: SparkSession, sf_dir: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    return J.plan_requests(J.attach_assets(typed(spark, sf_dir), X.assets(spark, sf_dir)), cfg)
+    plan = lambda d: J.plan_requests(J.attach_assets(Q.typed_requests(d), X.assets(spark, sf_dir)), cfg)
+    return per_distinct(X.requests(spark, sf_dir), ["path", "query", "accept"], plan)
 
 
 @query(O.PLANNED + " SELECT req_id, negotiated, output_format, limit_error FROM keyed")
@@ -339,6 +343,19 @@ def join4_route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).select("req_id", "path", "outcome", "status", "error", "output_format")
 
 
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache's inventory as a bucketed table."""
+    name = f"inventory_{uuid.uuid4().hex}"
+    return write_inventory(variants(spark, sf_dir), name, 16, shared_path(spark, "inventory"))
+
+
+@query(O.ROUTED + ROUTE_SELECT)
+def join4_route_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing against a bucketed inventory, which no exchange stands on."""
+    found = J.route_requests(X.requests(spark, sf_dir), X.assets(spark, sf_dir), inventory(spark, sf_dir), EngineConfig(), documents_cache(spark, sf_dir))
+    return found.select("req_id", "path", "outcome", "status", "error", "output_format")
+
+
 LOCKED = EngineConfig(key=X.KEY, avif_enable=True)
 
 
@@ -650,7 +667,7 @@ def _drained(df: DataFrame, name: str) -> DataFrame:
 def str1_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = X.as_requests(X.with_paths(_event_stream(spark, sf_dir)))
     out = shared_path(spark, "routed-stream")
-    T.stream_route(requests, X.assets(spark, sf_dir), variants(spark, sf_dir), EngineConfig(), out, shared_path(spark, "routed-checkpoint"), documents_cache(spark, sf_dir), once=True).awaitTermination()
+    T.stream_route(requests, X.assets(spark, sf_dir), inventory(spark, sf_dir), EngineConfig(), out, shared_path(spark, "routed-checkpoint"), documents_cache(spark, sf_dir), once=True).awaitTermination()
     return spark.read.parquet(out).select("req_id", "path", "outcome", "status", "error", "output_format")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,21 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def per_distinct(df: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(df)`` for work that looks at ``keys`` only (null or not) and adds or replaces columns: it is
+    done once for each distinct key row, and joined to the rows. Logs repeat themselves, and the
+    work costs far more than a join. On a stream, which has no distinct rows, each row is worked on."""
+    if df.isStreaming:
+        return work(df)
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):  # inside other such work
+        mark += "_"
+    own, key = ([f"{mark}{side}{i}" for i in range(len(keys))] for side in ("own", "key"))
+    done = work(df.select(*keys).distinct().select(*keys, *(F.col(k).alias(a) for k, a in zip(keys, key, strict=True))))
+    rest = df.select(*(c for c in df.columns if c not in keys), *(F.col(k).alias(a) for k, a in zip(keys, own, strict=True)))
+    return rest.join(done, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, key, strict=True)]).drop(*own, *key)
+
+
 def cut(df, name: str):
     """Write ``df`` to the shared folder and read it back: later steps plan on its columns instead of
     on all the expressions behind them, and a lost executor costs no more than what follows."""

@@ -14,18 +14,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from mediaops.config import EngineConfig
 from mediaops.functions.formats import file_stem
 from mediaops.operators.pixels import render_variants
-from mediaops.plans.routing import route_requests, seconds
+from mediaops.plans.routing import plan_routes, route_requests, seconds
 from mediaops.session import with_workers
 from mediaops.sources.files import relative_path
+from mediaops.sources.inventory import asked_of, stem_of
 
 
 def stream_route(requests: DataFrame, assets: DataFrame, variants: Callable[[], DataFrame] | DataFrame, cfg: EngineConfig, out: str, checkpoint: str, documents: DataFrame | None = None, once: bool = False) -> StreamingQuery:
     """Route every micro-batch of a request stream and write it under ``out``/batch=N: a batch that is
     run again replaces its own rows. ``variants`` may be a function that gives the cache as it
-    stands at each batch."""
+    stands at each batch.
+
+    With an inventory (``sources.inventory.write_inventory``) a batch reads only the buckets that its
+    keys lie in, so its cost does not grow with the cache."""
 
     def route(batch: DataFrame, n: int) -> None:
         now = variants() if callable(variants) else variants
+        if "cached" in now.columns:
+            keys = ["path", "query", "accept"]
+            planned = plan_routes(batch.select(*keys).distinct(), assets, cfg, documents).select(stem_of(F.col("cache_key")).alias("stem"))
+            now = asked_of(now, planned)
         route_requests(batch, assets, now, cfg, documents).select("req_id", "path", "cache_key", "output_format", "outcome", "status", "error").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     writer = requests.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
