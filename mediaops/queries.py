@@ -23,7 +23,8 @@ from mediaops.plans import routing as J
 from mediaops.session import bound, cut, per_distinct, shared_path
 from mediaops.sources import files as S_FILES
 from mediaops.sources import listing as L
-from mediaops.sources.inventory import write_inventory
+from mediaops.sources import store
+from mediaops.sources.inventory import OUTPUTS, write_inventory
 from mediaops.sources.logs import parse_access_log
 from mediaops.sources.sinks import write_cache_index, write_variants
 from mediaops.streaming import streams as T
@@ -478,6 +479,25 @@ def src6_write_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("cache_key", "path", "output_format", "length")
 
 
+@query(
+    O.PLANNED + O.VARIANTS + ", rows AS (SELECT * FROM variants WHERE output_format IS NOT NULL) SELECT cache_key, path, output_format, CASE WHEN output_format = 'jpg' OR length % 3 <> 0 THEN length ELSE length + 1 END AS length, "
+    "regexp_extract(cache_key, '([^/]*)\\.[^./]*$', 1) AS stem, CAST(CASE WHEN output_format = 'jpg' AND length % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM rows"
+)
+def src6_commit_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits, the second with later rows of some keys, one of them sent twice; all formats but JPEG
+    compacted; renditions and index rows of the last snapshot."""
+    root = shared_path(spark, "renditions")
+    rows = cut(variants(spark, sf_dir).filter("output_format is not null"), "renditions-made")
+    later = rows.filter("length % 3 = 0").withColumns({"cached_at": F.col("cached_at") + F.expr("INTERVAL 1 DAY"), "length": F.when(F.col("output_format") == "jpg", F.col("length")).otherwise(F.col("length") + 1)})
+    store.commit_renditions(rows, root)
+    for _ in range(2):
+        store.commit_renditions(later, root, "later")
+    store.compact_renditions(spark, root, [f for f in OUTPUTS if f != "jpg"])
+    index = store.read_rendition_index(spark, root).groupBy("cache_key", "stem").agg(F.count("*").alias("n"))
+    made = store.read_renditions(spark, root).groupBy("cache_key", "path", "output_format").agg(F.max("length").alias("length"), F.count("*").alias("rows"))
+    return made.join(index, "cache_key").filter("n = rows").select("cache_key", "path", "output_format", "length", "stem", "n")
+
+
 @query(O.PLANNED + O.VARIANTS + " SELECT cache_key, path, regexp_extract(cache_key, '([^/]*)\\.[^./]*$', 1) AS stem, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS written FROM variants")
 def src7_write_cache_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "index-sink")

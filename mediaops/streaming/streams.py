@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -109,26 +108,27 @@ def stream_invalidate(assets: DataFrame, variants: DataFrame) -> DataFrame:
     return assets.select(*columns).join(variants, "path").filter(stale).withColumn("stem", file_stem(F.col("cache_key")))
 
 
-def stream_render(plans: DataFrame, images: DataFrame, out: str, index: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def stream_render(plans: DataFrame, images: DataFrame, out: str, index: str, checkpoint: str, once: bool = False, retention: str = "7 days") -> StreamingQuery:
     """Render new plans per micro-batch into ``out``/batch=N, with an index row in ``index``/batch=N for
     each rendition that was made; rows with an error stay among the renditions.
 
-    Keys that earlier batches have made are left out. A batch that is run again replaces its own
-    rows of both tables, so a crash between the two writes loses and repeats nothing."""
+    State holds each key that was met for ``retention`` of event time (``ts`` of the plans; where there
+    is none, the time of the batch), so a batch never reads what earlier ones have written. A key
+    whose source is missing is reported once in that time, and rendered when its source is there.
+    A batch that is run again replaces its own rows of both tables, so a crash between the two writes
+    loses and repeats nothing. Images may be added while the stream runs if ``images`` is a table
+    that lists its files anew."""
+    timed = plans.withColumn("ts", F.col("ts").cast("timestamp") if "ts" in plans.columns else F.current_timestamp()).withWatermark("ts", retention)
+    there = images.select("path").distinct().withColumn("_there", F.lit(True))
+    fresh = timed.join(there, "path", "left").withColumn("_there", F.coalesce("_there", F.lit(False))).dropDuplicatesWithinWatermark(["cache_key", "_there"])
 
     def render(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        plan = batch.dropDuplicates(["cache_key"])
-        try:
-            done = spark.read.parquet(out).filter(F.col("error").isNull() & (F.col("batch") < n)).select("cache_key")
-            plan = plan.join(done, "cache_key", "left_anti")
-        except AnalysisException as e:  # nothing is written yet
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        plan = batch.drop("_there", *([] if "ts" in plans.columns else ["ts"]))
         made = render_variants(plan, images).withColumns({"cached_at": F.current_timestamp(), "stem": file_stem(F.col("cache_key"))})
         made.write.mode("overwrite").parquet(f"{out}/batch={n}")
         again = spark.read.schema(made.schema).parquet(f"{out}/batch={n}").filter("error is null")
         again.select("stem", "cache_key", "path", F.col("cached_at").alias("written_at")).write.mode("overwrite").parquet(f"{index}/batch={n}")
 
-    writer = plans.writeStream.foreachBatch(render).option("checkpointLocation", checkpoint)
+    writer = fresh.writeStream.foreachBatch(render).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
