@@ -47,10 +47,13 @@ def previous_request(requests: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     return both.withColumn("previous", F.lag("ts").over(order)).filter("_kind = 1").drop("_kind", "_slice")
 
 
-def replay_cache(requests: DataFrame, changes: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Which requests of a log (req_id, ts, path, cache_key) repeat an earlier one? Adds ``changed_at`` and
-    ``result``: hit if the key was requested before and its source has not changed in a later second
-    than that; else render. Ties go by req_id, changes first."""
+def request_gaps(requests: DataFrame, changes: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Of each request of a log (req_id, ts, path, cache_key) the whole seconds since its key's previous
+    request (``since_request``) and since its path's last change (``since_change``), null where there
+    was none, and ``changed``: the path changed in a later second than the previous request (null
+    without one). Ties go by req_id, changes first. Reuse over any retention follows by a filter."""
     seen = last_modification(previous_request(requests, slice_seconds), changes, slice_seconds)
-    fresh = F.col("previous").isNotNull() & ~F.coalesce(seconds(F.col("previous")) < seconds(F.col("changed_at")), F.lit(False))
-    return seen.withColumn("result", F.when(fresh, "hit").otherwise("render")).drop("previous")
+    whole = lambda c: F.unix_seconds(seconds(F.col(c)).cast("timestamp"))
+    later = F.coalesce(seconds(F.col("previous")) < seconds(F.col("changed_at")), F.lit(False))
+    gaps = {"since_request": whole("ts") - whole("previous"), "since_change": whole("ts") - whole("changed_at"), "changed": F.when(F.col("previous").isNotNull(), later)}
+    return seen.withColumns(gaps).drop("previous")

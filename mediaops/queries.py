@@ -450,14 +450,15 @@ def keyed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(planned(spark, sf_dir).select("req_id", "ts", "path", "cache_key"), "keyed-requests")
 
 
-REPLAY_SQL = O.PLANNED + """, latest AS (SELECT r.req_id, max(changed_at) AS changed_at FROM requests r LEFT JOIN changes c ON r.path = c.path AND c.changed_at <= r.ts GROUP BY r.req_id),
-seen AS (SELECT req_id, cache_key, changed_at, lag(ts) OVER (PARTITION BY cache_key ORDER BY ts, req_id) AS previous FROM keyed JOIN latest USING (req_id))
-SELECT req_id, cache_key, CASE WHEN previous IS NOT NULL AND coalesce(date_trunc('second', previous) >= date_trunc('second', changed_at), true) THEN 'hit' ELSE 'render' END AS result FROM seen"""
+GAPS_SQL = O.PLANNED + """, latest AS (SELECT r.req_id, max(changed_at) AS changed_at FROM requests r LEFT JOIN changes c ON r.path = c.path AND c.changed_at <= r.ts GROUP BY r.req_id),
+seen AS (SELECT req_id, cache_key, changed_at, ts, lag(ts) OVER (PARTITION BY cache_key ORDER BY ts, req_id) AS previous FROM keyed JOIN latest USING (req_id))
+SELECT req_id, cache_key, CAST(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', previous)) AS BIGINT) AS since_request, CAST(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', changed_at)) AS BIGINT) AS since_change,
+  CASE WHEN previous IS NOT NULL THEN coalesce(date_trunc('second', previous) < date_trunc('second', changed_at), false) END AS changed FROM seen"""
 
 
-@query(REPLAY_SQL)
-def win2_replay_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.replay_cache(keyed_requests(spark, sf_dir), X.changes(spark, sf_dir)).select("req_id", "cache_key", "result")
+@query(GAPS_SQL)
+def win2_request_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.request_gaps(keyed_requests(spark, sf_dir), X.changes(spark, sf_dir)).select("req_id", "cache_key", "since_request", "since_change", "changed")
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------
@@ -698,16 +699,17 @@ def str2_stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(T.stream_first_requests(keyed, EngineConfig(retention="3650 days")), "first").select("cache_key")
 
 
-STREAM_REPLAY_SQL = O.REQUESTS + ", " + O.CHANGES + """, latest AS (SELECT r.req_id, max(changed_at) AS changed_at FROM requests r LEFT JOIN changes c ON r.path = c.path AND c.changed_at <= r.ts GROUP BY r.req_id),
-seen AS (SELECT req_id, path || '?' || query AS cache_key, changed_at, ts, lag(ts) OVER (PARTITION BY path, query ORDER BY ts, req_id) AS previous FROM requests JOIN latest USING (req_id))
-SELECT req_id, cache_key, CASE WHEN epoch(date_trunc('second', ts)) - epoch(date_trunc('second', previous)) <= 51 * 3600 AND coalesce(date_trunc('second', previous) >= date_trunc('second', changed_at), true) THEN 'hit' ELSE 'render' END AS result FROM seen"""
+STREAM_GAPS_SQL = O.REQUESTS + ", " + O.CHANGES + """, latest AS (SELECT r.req_id, max(changed_at) AS changed_at FROM requests r LEFT JOIN changes c ON r.path = c.path AND c.changed_at <= r.ts GROUP BY r.req_id),
+seen AS (SELECT req_id, path || '?' || query AS cache_key, changed_at, ts, lag(ts) OVER (PARTITION BY path, query ORDER BY ts, req_id) AS previous FROM requests JOIN latest USING (req_id)),
+gaps AS (SELECT *, CAST(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', previous)) AS BIGINT) AS gap FROM seen)
+SELECT req_id, cache_key, CASE WHEN gap <= 51 * 3600 THEN gap END AS since_request, CASE WHEN gap <= 51 * 3600 THEN coalesce(date_trunc('second', previous) < date_trunc('second', changed_at), false) END AS changed FROM gaps"""
 
 
-@query(STREAM_REPLAY_SQL)
-def str3_stream_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(STREAM_GAPS_SQL)
+def str3_stream_request_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive in four spans of time; the stream takes up each with the state of those before."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    folder, out, at = (shared_path(spark, n) for n in ("events", "replay", "replay-checkpoint"))
+    folder, out, at = (shared_path(spark, n) for n in ("events", "gaps", "gaps-checkpoint"))
     ends = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
     span = sum((F.unix_micros(F.col("ts").cast("timestamp")) > end).cast("int") for end in ends) if ends else F.lit(0)
     for n in range(4):
@@ -715,7 +717,7 @@ def str3_stream_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = X.with_paths(spark.readStream.schema(ev.schema).parquet(folder))
         change = F.col("event_type") == "purchase"
         rows = rows.select("path", "ts", F.when(~change, F.col("event_id")).alias("req_id"), F.when(~change, F.concat_ws("?", F.col("path"), X.query_text())).alias("cache_key"))
-        found = T.stream_cache_replay(rows, "51 hours")
+        found = T.stream_request_gaps(rows, "51 hours")
         found.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out)
 

@@ -46,19 +46,20 @@ def stream_first_requests(planned: DataFrame, cfg: EngineConfig = EngineConfig()
     return timed.withWatermark("ts", cfg.retention).dropDuplicatesWithinWatermark(["cache_key"])
 
 
-def stream_cache_replay(events: DataFrame, retention: str = "7 days") -> DataFrame:
-    """Which requests of a stream repeat an earlier one: req_id, cache_key and result (hit or render).
+def stream_request_gaps(events: DataFrame, retention: str = "7 days") -> DataFrame:
+    """Of each request of a stream the whole seconds since its key's previous one, if that was at most
+    ``retention`` before it (else null), and whether its path has changed in a later second than that
+    (null without one): req_id, cache_key, since_request, changed.
 
     ``events``: path, ts and either req_id and cache_key of a request, or nulls there for a change
-    of the path. A request is a hit if the key was requested at most ``retention`` before it and its
-    path has not changed in a later second than that. Rows of one batch are taken by time, changes
-    first, then req_id, whatever files they came in. The state of a path is its last change and the
-    last request of each key; keys that the watermark has left behind by ``retention`` are dropped,
-    and a path without keys is forgotten. Rows later than the watermark are dropped by it; earlier
-    rows that come in a later batch are answered by the state as it stands.
+    of the path. Rows of one batch are taken by time, changes first, then req_id, whatever files
+    they came in. The state of a path is its last change and the last request of each key; keys that
+    the watermark has left behind by ``retention`` are dropped, and a path without keys is forgotten.
+    Rows later than the watermark are dropped by it; earlier rows that come in a later batch are
+    answered by the state as it stands.
     """
     with_workers(events.sparkSession)
-    out, state = "req_id long, cache_key string, result string", "changed long, keys array<string>, times array<long>"
+    out, state = "req_id long, cache_key string, since_request long, changed boolean", "changed long, keys array<string>, times array<long>"
     keep = int(pd.Timedelta(retention).total_seconds())
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -76,14 +77,16 @@ def stream_cache_replay(events: DataFrame, retention: str = "7 days") -> DataFra
         before = asked.groupby("cache_key", dropna=False)["at"].shift()
         last = dict(zip(keys, times, strict=True))
         before = before.fillna(asked["cache_key"].map(last).astype("float64"))
-        hit = (asked["at"] - before <= keep) & ~(before < asked["changed"])
+        gap = asked["at"] - before
+        gap = gap.where(gap <= keep)
         ends, floor = rows["changed"].iloc[-1], held.getCurrentWatermarkMs() // 1000 - keep
         last |= {k: int(t) for k, t in asked.groupby("cache_key")["at"].last().items()}
         last = {k: t for k, t in last.items() if t >= floor}
         held.update((None if pd.isna(ends) else int(ends), list(last), list(last.values())))
         latest = max([int(rows["at"].max()), *last.values()])
         held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, (latest + 1 + keep) * 1000))
-        yield pd.DataFrame({"req_id": asked["req_id"].astype("int64"), "cache_key": asked["cache_key"], "result": hit.map({True: "hit", False: "render"})})
+        changed_since = (before < asked["changed"]).astype("boolean").where(gap.notna())
+        yield pd.DataFrame({"req_id": asked["req_id"].astype("int64"), "cache_key": asked["cache_key"], "since_request": gap.astype("Int64"), "changed": changed_since})
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", retention)
     return timed.groupBy("path").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)

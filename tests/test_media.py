@@ -1,4 +1,4 @@
-"""Formats, geometry, keys, routing, cache and replay on small tables."""
+"""Formats, geometry, keys, routing, cache and request logs on small tables."""
 
 import hashlib
 import hmac
@@ -114,22 +114,22 @@ def test_bust_is_gated(spark):
     assert gone(0.000001) == {"k1"} and gone(1.0) == set()
 
 
-def test_replay_equals_row_by_row(spark, sf):
+def test_gaps_equal_row_by_row(spark, sf):
     rows = Q.keyed_requests(spark, sf).orderBy("ts", "req_id").collect()
     changes = sorted((r.changed_at, r.path) for r in X.changes(spark, sf).collect())
+    second = lambda t: None if t is None else t.replace(microsecond=0)
+    gap = lambda a, b: None if b is None else int((second(a) - second(b)).total_seconds())
     expect, seen, at, changed = {}, {}, 0, {}
     for r in rows:
         while at < len(changes) and changes[at][0] <= r.ts:
             changed[changes[at][1]] = changes[at][0]
             at += 1
-        before = seen.get(r.cache_key)
-        fresh = before is not None and (r.path not in changed or before.replace(microsecond=0) >= changed[r.path].replace(microsecond=0))
-        expect[r.req_id] = "hit" if fresh else "render"
+        before, last = seen.get(r.cache_key), changed.get(r.path)
+        expect[r.req_id] = gap(r.ts, before), gap(r.ts, last), None if before is None else last is not None and second(before) < second(last)
         seen[r.cache_key] = r.ts
-    got = {r.req_id: r.result for r in R.replay_cache(Q.keyed_requests(spark, sf), X.changes(spark, sf)).collect()}
-    assert got == expect and set(got.values()) == {"hit", "render"}
-    days = {r.req_id: r.result for r in R.replay_cache(Q.keyed_requests(spark, sf), X.changes(spark, sf), slice_seconds=200 * 86400).collect()}
-    assert days == expect
+    run = lambda **more: {r.req_id: (r.since_request, r.since_change, r.changed) for r in R.request_gaps(Q.keyed_requests(spark, sf), X.changes(spark, sf), **more).collect()}
+    assert run() == expect and {c for _, _, c in expect.values()} == {None, True, False}
+    assert run(slice_seconds=200 * 86400) == expect
 
 
 def test_slices_change_nothing(spark):
@@ -143,8 +143,8 @@ def test_slices_change_nothing(spark):
         assert {r.req_id: (r.changed_at, r.previous) for r in got.collect()} == expect
         assert got.columns == [*requests.columns, "changed_at", "previous"]
     empty = requests.limit(0)
-    assert R.replay_cache(empty, changes).count() == 0
-    assert {r.result for r in R.replay_cache(requests, changes.limit(0)).collect()} == {"hit", "render"}
+    assert R.request_gaps(empty, changes).count() == 0
+    assert {r.changed for r in R.request_gaps(requests, changes.limit(0)).collect()} == {None, False}
 
 
 def batches(spark, folder, rows, schema, make):
@@ -154,7 +154,7 @@ def batches(spark, folder, rows, schema, make):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = make(spark.readStream.schema(schema).parquet(f"{folder}/in"))
         stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
-        out.append(sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()))
+        out.append(sorted((tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()), key=str))
     return out
 
 
@@ -166,13 +166,14 @@ def test_stream_forgets_keys(spark, tmp_path):
     assert [[k for (k,) in b] for b in got] == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"], ["a", "a", "b", "c", "d"]]
 
 
-def test_stream_replay_over_batches(spark, tmp_path):
+def test_stream_gaps_over_batches(spark, tmp_path):
     """Changes and requests of earlier batches count; keys unused for the retention do not."""
     hour = lambda n: NOON + timedelta(hours=n)
     ask = lambda n, h, key="k", path="p": (path, hour(h), n, key)
     rows = [[ask(1, 0), ask(2, 1), ask(3, 1, "m")], [("p", hour(2), None, None), ask(4, 2), ask(5, 3)], [ask(6, 4, "m"), ask(7, 27)], [ask(8, 52), ask(9, 60, "m"), ask(10, 60, "x", None)], [ask(11, 61, "x", None), ask(12, 62)]]
-    got = batches(spark, tmp_path, rows, "path string, ts timestamp_ntz, req_id long, cache_key string", lambda s: T.stream_cache_replay(s, "24 hours"))
-    assert {n: r for n, _, r in got[-1]} == {1: "render", 2: "hit", 3: "render", 4: "render", 5: "hit", 6: "render", 7: "hit", 8: "render", 9: "render", 10: "render", 11: "hit", 12: "hit"}
+    got = batches(spark, tmp_path, rows, "path string, ts timestamp_ntz, req_id long, cache_key string", lambda s: T.stream_request_gaps(s, "24 hours"))
+    none, h = (None, None), 3600
+    assert {n: r for n, _, *r in got[-1]} == {1: [*none], 2: [h, False], 3: [*none], 4: [h, True], 5: [h, False], 6: [3 * h, True], 7: [24 * h, False], 8: [*none], 9: [*none], 10: [*none], 11: [h, False], 12: [10 * h, False]}
     assert [len(b) for b in got] == [3, 5, 7, 10, 12]
 
 
