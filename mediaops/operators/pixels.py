@@ -33,32 +33,49 @@ def orient(img: np.ndarray, orientation: int | None) -> np.ndarray:
     return turn(img[:, ::-1] if mirrored else img, degrees)
 
 
-def _averaged(x: np.ndarray, out: int) -> np.ndarray:
-    """``out`` rows, each the average of an equal stretch of the rows of x: differences of running sums
-    at the stretches' ends, so the work is one pass over the pixels."""
-    n = len(x)
-    total = np.zeros((n + 1, *x.shape[1:]))
+def stretch_sums(x: np.ndarray, n: int, out: int, top: int = 0) -> tuple[int, np.ndarray]:
+    """Of rows ``top`` and on of ``n``, which are dealt to ``out`` equal stretches: the first stretch they
+    reach, and for each the sum of its rows times ``out``, rows that lie in two by their parts. Sums
+    are whole numbers, so those of several strips add up to the same, in any order."""
+    m = len(x)
+    first, last = top * out // n, -(-(top + m) * out // n)
+    total = np.zeros((m + 1, *x.shape[1:]), np.int64)
     np.cumsum(x, axis=0, out=total[1:])
-    ends = np.linspace(0, n, out + 1)
-    whole = np.minimum(ends.astype(int), n - 1)
-    part = (ends - whole).reshape(-1, *[1] * (x.ndim - 1))
-    return np.diff(total[whole] + part * x[whole], axis=0) * (out / n)
+    at = np.clip(np.arange(first, last + 1) * n - top * out, 0, m * out)
+    row, part = at // out, (at % out).reshape(-1, *[1] * (x.ndim - 1))
+    return first, np.diff(total[row] * out + part * x[np.minimum(row, m - 1)].astype(np.int64), axis=0)
+
+
+def _rounded(sums: np.ndarray, n: int) -> np.ndarray:
+    """sums / n, halves up."""
+    return ((2 * sums + n) // (2 * n)).astype(np.uint8)
+
+
+def _strip_sums(img: np.ndarray, height: int, w: int, h: int, top: int = 0) -> tuple[int, np.ndarray]:
+    """Sums over both directions, by strips of columns, so that few pixels are held as numbers of 8 bytes."""
+    parts = [stretch_sums(img[:, at : at + 512], height, h, top) for at in range(0, img.shape[1], 512)]
+    rows = np.concatenate([p for _, p in parts], axis=1).swapaxes(0, 1)
+    return parts[0][0], stretch_sums(rows, img.shape[1], w)[1].swapaxes(0, 1)
 
 
 def _shrunk(img: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Area averages in w x h, by strips of columns, so that few pixels are held as numbers of 8 bytes."""
-    strips = [_averaged(img[:, at : at + 512], h) for at in range(0, img.shape[1], 512)]
-    return np.floor(_averaged(np.concatenate(strips, axis=1).swapaxes(0, 1), w).swapaxes(0, 1) + 0.5).astype(np.uint8)
+    """Area averages in w x h."""
+    return _rounded(_strip_sums(img, len(img), w, h)[1], img.shape[0] * img.shape[1])
+
+
+def covering(sw: int, sh: int, w: int, h: int) -> tuple[int, int, int, int]:
+    """Width and height to which a source is shrunk to just cover a box, and where the box begins there."""
+    shrink = max(1.0, min(sw / w, sh / h))
+    tw, th = int(sw / shrink + 0.5), int(sh / shrink + 0.5)
+    return tw, th, max(0, (tw - w) // 2), max(0, (th - h) // 2)
 
 
 def cover(img: np.ndarray, w: int, h: int) -> np.ndarray:
     """Shrink by area averages until the box is just covered, then cut its centre; never enlarge."""
     sh, sw = img.shape[:2]
-    shrink = max(1.0, min(sw / w, sh / h))
-    tw, th = int(sw / shrink + 0.5), int(sh / shrink + 0.5)
+    tw, th, left, top = covering(sw, sh, w, h)
     if (tw, th) != (sw, sh):
         img = _shrunk(img, tw, th)
-    top, left = max(0, (th - h) // 2), max(0, (tw - w) // 2)
     return img[top : top + h, left : left + w]
 
 
@@ -127,6 +144,86 @@ def resize_cover(images: DataFrame, w: Column | int, h: Column | int) -> DataFra
     return map_images(images, lambda img, x: cover(img, x["w"], x["h"]) if x["w"] and x["h"] else img, **given)
 
 
+STRIP = "path string, height int, width int, nChannels int, top int, data binary"
+
+
+def in_strips(images: DataFrame, rows: int) -> DataFrame:
+    """Images (path and pixels) as strips of ``rows`` rows; undecodable ones have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, h, w, n, data = (batch.column(j)[i].as_py() for j in range(5))
+                if data is None or h is None or h <= 0 or w <= 0:
+                    continue
+                for top in range(0, h, rows):
+                    values = (path, h, w, n, top, data[top * w * n : (top + rows) * w * n])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _STRIP_TYPES, strict=True)], _STRIP_NAMES)
+
+    return images.select("path", *PIXELS).mapInArrow(run, STRIP)
+
+
+_STRIP_NAMES = [c.split()[0] for c in STRIP.split(", ")]
+_STRIP_TYPES = [pa.string(), *[pa.int32()] * 4, pa.binary()]
+
+
+def resize_strips(strips: DataFrame, w: int, h: int) -> DataFrame:
+    """resize_cover of images that come as strips (path, the whole image's height, width and nChannels, the
+    strip's first row ``top``, its rows), of any heights and in any order, so that no task holds an
+    image: path, height, width, nChannels, row and the row's pixels, equal to those of ``cover``.
+
+    Each strip gives the whole-number sums of the output rows it reaches; those of one output row
+    meet and are added one after the other."""
+    with_workers(strips.sparkSession)
+    held = f"{STRIP.replace('top', 'row')}"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, sh, sw, n, at, data = (batch.column(j)[i].as_py() for j in range(6))
+                img = np.frombuffer(data, np.uint8).reshape(-1, sw, n)
+                tw, th, left, top = covering(sw, sh, w, h)
+                first, found = _strip_sums(img, sh, tw, th, at)
+                found = np.ascontiguousarray(found[:, left : left + w], "<i8")
+                rows = [(path, sh, sw, n, first + k - top, r.tobytes()) for k, r in enumerate(found) if 0 <= first + k - top < h]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _STRIP_TYPES, strict=True)], [*_STRIP_NAMES[:4], "row", "data"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        total = None
+
+        def out() -> pa.RecordBatch:
+            path, sh, sw, n, row = last
+            tw, th, left, top = covering(sw, sh, w, h)
+            values = (path, min(h, th - top), min(w, tw - left), n, row, _rounded(total, sh * sw).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _STRIP_TYPES, strict=True)], [*_STRIP_NAMES[:4], "row", "data"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *key, data = (batch.column(j)[i].as_py() for j in range(6))
+                part = np.frombuffer(data, "<i8")
+                if tuple(key) == last:
+                    total = total + part
+                else:
+                    if last is not None:
+                        yield out()
+                    last, total = tuple(key), part
+        if last is not None:
+            yield out()
+
+    parts = strips.select(*_STRIP_NAMES).mapInArrow(sums, held)
+    keys = [*_STRIP_NAMES[:4], "row"]
+    return parts.repartition("path", "row").sortWithinPartitions(*keys).mapInArrow(added, held)
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """Rows of resize_strips as images; each must fit one task."""
+    data = F.array_sort(F.collect_list(F.struct("row", F.hex("data").alias("x"))))
+    whole = rows.groupBy("path", *PIXELS[:3]).agg(data.alias("d"))
+    return whole.select("path", *PIXELS[:3], F.unhex(F.array_join("d.x", "")).alias("data"))
+
+
 def composite_background(images: DataFrame, bg: Column) -> DataFrame:
     """``bg``: an RGBA struct; where it is null the image stays."""
     return map_images(images, lambda img, x: over_colour(img, x["bg"]) if x["bg"] else img, bg=bg)

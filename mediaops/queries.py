@@ -635,6 +635,14 @@ def img3_resize_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(I.resize_cover(_images(spark, sf_dir), 4, 1))
 
 
+@query(ORACLE_SQL["img3_resize_cover"])
+def img3_resize_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of images that come in strips of one row."""
+    images = _images(spark, sf_dir).withColumn("path", F.col("image_id").cast("string"))
+    found = I.assembled(I.resize_strips(I.in_strips(images, 1), 4, 1))
+    return _shown(found.withColumn("image_id", F.col("path").cast("long")))
+
+
 _AF, _AB = "(px[(i // 4) * 4 + 4] / 255.0::DOUBLE)", "(128 / 255.0::DOUBLE)"
 _A = f"({_AF} + {_AB} * (1 - {_AF}))"
 
