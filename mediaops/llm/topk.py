@@ -13,7 +13,12 @@ from mediaops.llm.common import release, stored
 from mediaops.llm.grouped import stream_groups
 
 #: Resolutions, coarse to fine: into so many segments a vector is cut.
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
+#: Segments of the boxes of blocks.
+BOX = 16
+#: A level that has removed less than this share of so many pairs is left out from then on: it costs more than it spares.
+USEFUL, SEEN = 0.1, 1 << 16
+BOX_LEVEL = LEVELS.index(BOX)
 #: Vectors are dealt into blocks of at least so many rows, and into at most so many blocks, so that
 #: the statistics of all blocks (about 400 bytes each) are small whatever the table's size.
 BLOCK_ROWS, MAX_BLOCKS = 2048, 16384
@@ -38,7 +43,7 @@ def segment_statistics(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarra
 
 def sign_code(x: np.ndarray) -> np.ndarray:
     """The signs of the segment sums as one number, coarse levels first: like vectors have near ones."""
-    signs = np.concatenate([segment_statistics(x.astype(float), p)[0] > 0 for p in LEVELS], axis=1)
+    signs = np.concatenate([segment_statistics(x.astype(float), p)[0] > 0 for p in LEVELS[: BOX_LEVEL + 1]], axis=1)
     return (signs << np.arange(signs.shape[1])[::-1]).sum(1)
 
 
@@ -62,7 +67,8 @@ class Searcher:
     bound on distance is an upper bound on the inner product: sums x sums + norms x norms. A
     query's ``floor`` (its k-th best score so far) rules out whole chunks of vectors first, then
     single ones, coarse statistics before fine; each level looks at the pairs that the level
-    before has left, and exact scores are computed for the survivors. Ties are kept.
+    before has left, and exact scores are computed for the survivors. A level that rules out hardly
+    any pair is left out later, which changes no result. Ties are kept.
     """
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
@@ -70,7 +76,7 @@ class Searcher:
         self.levels = [segment_statistics(queries.astype(float), p) for p in LEVELS]
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.astype(float).copy()
         self.found = (np.zeros(0, np.int64),) * 3  # place of the query, id, score
-        self.compared = [0] * (len(LEVELS) + 1)  # pairs looked at, by level and exactly
+        self.compared, self.removed = [0] * (len(LEVELS) + 1), [0] * len(LEVELS)  # pairs looked at, by level and exactly; those ruled out
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Offer vectors; like ones should follow one another."""
@@ -83,19 +89,28 @@ class Searcher:
         stats = [segment_statistics(xf, p) for p in LEVELS]
         for at in range(0, len(ids), CHUNK):
             part = slice(at, at + CHUNK)
-            fine = [s[part] for s in stats[-1]]
-            box = box_bounds(self.levels[-1], fine[0].min(0)[None], fine[0].max(0)[None], fine[1].max(0)[None])[:, 0]
-            r, c = np.flatnonzero(box >= self.floor), np.arange(at, min(at + CHUNK, len(ids)))
-            if not len(r):
+            fine = [s[part] for s in stats[BOX_LEVEL]]
+            box = box_bounds(self.levels[BOX_LEVEL], fine[0].min(0)[None], fine[0].max(0)[None], fine[1].max(0)[None])[:, 0]
+            rows, c = np.flatnonzero(box >= self.floor), np.arange(at, min(at + CHUNK, len(ids)))
+            if not len(rows):
                 continue
-            r, c = np.repeat(r, len(c)), np.tile(c, len(r))
+            pairs = None  # all of rows x c
             for level, ((qs, qd), (xs, xd)) in enumerate(zip(self.levels, stats, strict=True)):
-                if not len(r) or not np.isfinite(self.floor[r]).any():
+                if not np.isfinite(self.floor[rows]).any():
                     break
-                self.compared[level] += len(r)
-                bound = np.einsum("ij,ij->i", qs[r], xs[c]) + np.einsum("ij,ij->i", qd[r], xd[c])
-                stay = loosened(bound) >= self.floor[r]
-                r, c = r[stay], c[stay]
+                if self.compared[level] >= SEEN and self.removed[level] < USEFUL * self.compared[level]:
+                    continue
+                if pairs is None:
+                    stay = loosened(qs[rows] @ xs[c].T + qd[rows] @ xd[c].T) >= self.floor[rows][:, None]
+                    i, j = np.nonzero(stay)
+                    looked, pairs = stay.size, (rows[i], c[j])
+                else:
+                    r, p = pairs
+                    stay = loosened(np.einsum("ij,ij->i", qs[r], xs[p]) + np.einsum("ij,ij->i", qd[r], xd[p])) >= self.floor[r]
+                    looked, pairs = len(r), (r[stay], p[stay])
+                self.compared[level] += looked
+                self.removed[level] += looked - len(pairs[0])
+            r, c = pairs if pairs is not None else (np.repeat(rows, len(c)), np.tile(c, len(rows)))
             other = self.ids[r] != ids[c]
             r, c = r[other], c[other]
             self.compared[-1] += len(r)
@@ -146,7 +161,7 @@ def in_blocks(vectors: DataFrame, n: int) -> DataFrame:
 
 
 def block_boxes(blocks: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length the blocks that hold such vectors and, in each segment of the finest level,
+    """For each length the blocks that hold such vectors and, in each of BOX segments,
     the least and the greatest sum and the greatest deviation norm: at most MAX_BLOCKS rows and
     one more for each length."""
 
@@ -154,7 +169,7 @@ def block_boxes(blocks: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
         for batch in batches:
             block = batch.column(0).to_numpy()
             for d, own, x in by_length(batch.column(1)):
-                s, dev = segment_statistics(x.astype(float), LEVELS[-1])
+                s, dev = segment_statistics(x.astype(float), BOX)
                 first = np.flatnonzero(np.concatenate([[True], block[own][1:] != block[own][:-1]]))
                 low, high, most = (f.reduceat(a, first, axis=0) for f, a in ((np.minimum, s), (np.maximum, s), (np.maximum, dev)))
                 m = s.shape[1]
@@ -162,7 +177,7 @@ def block_boxes(blocks: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
 
     rows = blocks.select("block", "v").mapInArrow(run, "d long, block int, s long, low double, high double, most double")
     t = rows.groupBy("d", "block", "s").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most")).toPandas().sort_values(["d", "block", "s"])
-    return {int(d): (g["block"].to_numpy().reshape(-1, min(LEVELS[-1], d))[:, 0], *[g[c].to_numpy().reshape(-1, min(LEVELS[-1], d)) for c in ("low", "high", "most")]) for d, g in t.groupby("d")}
+    return {int(d): (g["block"].to_numpy().reshape(-1, min(BOX, d))[:, 0], *[g[c].to_numpy().reshape(-1, min(BOX, d)) for c in ("low", "high", "most")]) for d, g in t.groupby("d")}
 
 
 def searched(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -218,7 +233,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
                     names, low, high, most = boxes.value[d]
                     for at in range(0, len(own), CHUNK):
                         some = own[at : at + CHUNK]
-                        bound = box_bounds(segment_statistics(q[at : at + CHUNK].astype(float), LEVELS[-1]), low, high, most)
+                        bound = box_bounds(segment_statistics(q[at : at + CHUNK].astype(float), BOX), low, high, most)
                         best = bound.argmax(1)
                         floor = np.full(len(some), -np.inf) if first else batch.column(2).to_numpy()[some]
                         wanted = np.zeros(bound.shape, bool) if first else bound >= floor[:, None]

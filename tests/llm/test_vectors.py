@@ -163,3 +163,28 @@ def test_top_k_over_many_blocks(spark, tmp_path, monkeypatch):
     for q in range(0, 1200, 100):
         best = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:10]
         assert got[q] == {n + 1: (i, -s) for n, (s, i) in enumerate(best)}
+
+
+def test_levels_rule_out_pairs(spark):
+    """Most pairs fall before their exact score, levels without use are left out, and no result changes."""
+    r = np.random.default_rng(4)
+    v = np.floor(1024 * r.normal(size=(6000, 64)) * 0.125).astype(np.int64)
+    q = np.arange(0, 6000, 200)
+    kth = np.sort(v[q] @ v.T, 1)[:, -11].astype(float)
+    s = topk.Searcher(q, v[q], 10, kth)
+    s.add(np.arange(6000), v)
+    assert s.compared[-1] < 0.5 * len(q) * 6000 and s.compared[0] < 0.6 * len(q) * 6000 and s.removed[-1] > 0
+    got = {}
+    for a in s.rows().to_pylist():
+        got.setdefault(a["query_id"], []).append((a["score"], a["vec_id"]))
+    score = v[q] @ v.T
+    for k, i in enumerate(q.tolist()):
+        want = sorted(((-int(x), j) for j, x in enumerate(score[k]) if j != i))[:10]
+        assert sorted((-x, j) for x, j in got[i]) == want
+
+
+def test_search_of_empty_tables(spark):
+    none = spark.createDataFrame([], "vec_id long, v array<long>")
+    one = spark.createDataFrame([(1, [1, 2])], "vec_id long, v array<long>")
+    prepare(spark)
+    assert topk.exact_top_k(none, one, 3).collect() == [] and topk.exact_top_k(one, none, 3).collect() == []
