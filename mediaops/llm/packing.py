@@ -188,4 +188,5 @@ def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: st
 
 
 def op9_pack_documents(spark, sf_dir: str) -> DataFrame:
+    """pack_documents (nulls, ties and empty tables: see there) of all documents, in sequences of 1024."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -182,6 +182,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
 
 
 def op7_quality_scores(spark, sf_dir: str) -> DataFrame:
+    """quality_scores (nulls, ties and empty tables: see there) of all documents, learned from the labels
+    outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold("doc_id", 3) != 1)
     return quality_scores(docs, labels).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
