@@ -13,59 +13,60 @@ from mediaops.llm.common import stored
 from mediaops.llm.words import mix
 
 #: Shard s stands in region s % REGIONS, there in rack (s // REGIONS) % RACKS, and there at place
-#: s // (REGIONS * RACKS). Places make generations: the first, the second, the next two, four, ...
+#: s // (REGIONS * RACKS): the newest shard is always the last of its rack.
 REGIONS, RACKS = 4, 5
 #: Rows of a shard are numbered bucket by bucket, so no task holds a whole shard.
 SLOT_BUCKETS = 256
 
 
-def generations(n_shards: int) -> list[tuple[int, int]]:
-    """First place and number of places of each generation that n_shards reach into."""
-    out, at, size = [], 0, 1
-    while at * REGIONS * RACKS < n_shards:
-        out.append((at, size))
-        at, size = at + size, max(1, at + size)
-    return out
+def rack_draws(key: np.ndarray, rack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a key has drawn for a rack before any weight is known: a pace, a phase and a length."""
+    u = [((mix(mix(key) + np.uint64(rack * 8 + i)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53 for i in range(5)]
+    return -np.log(u[0] * u[1]), u[2], -np.log(u[3] * u[4])
 
 
-def descend(key: np.ndarray, weights: np.ndarray, most: float) -> np.ndarray:
-    """The shard of each hashed key; ``weights`` by shard, none above ``most``.
+def descend(key: np.ndarray, trees: list[np.ndarray]) -> list[np.ndarray]:
+    """For each tree (the weights of its shards) the shard of each hashed key.
 
-    Every generation is a tree of equal subtrees. A key comes to it again and again, at times
-    that are hashed: each time it descends by one draw a level, to a region, a rack and a place,
-    and stays if that shard exists and a last draw is under its weight / ``most``. The key goes
-    where it stays first. Times and paths depend on the key alone, so another weight moves rows
-    only into the shard that grew or out of the one that shrank, and one more shard takes rows
-    only into itself. Shards win in proportion to their weights; the work is a few descents for
-    each generation, and there are log2(shards) of these.
+    The draw of a node of weight w is an arrival time, exponential with rate w: of a rack by
+    consistent weighted sampling (Ioffe, 2010), of a region as the earliest of its racks. A key
+    descends into the region that arrives first, there into the rack that arrives first, so each
+    level is drawn in proportion to the weights of its nodes. With a rack's time comes a mark, even
+    over (0, w]: the shards of the rack lie along this span in the order of their places, each as
+    long as its weight, and the mark names the shard.
+
+    A rack that gains weight arrives earlier or at the same time, then with the same mark; new marks
+    lie in what was added. So a change of weights moves keys only into racks that gained, out of
+    racks that lost, and between the shards of the racks that changed; one more shard, the last of
+    its rack, takes keys only into itself. The work is one draw a rack for each key, whatever the
+    weights and however many shards there are.
     """
-    first, shard = np.full(len(key), np.inf), np.full(len(key), -1, np.int64)
-    for g, (base, places) in enumerate(generations(len(weights))):
-        slots = REGIONS * RACKS * places
-        if not (weights[base * REGIONS * RACKS : (base + places) * REGIONS * RACKS] > 0).any():
-            continue
-        live, time, visit = np.arange(len(key)), np.zeros(len(key)), 0
-        while len(live):
-            draw = lambda level: (mix(mix(key[live] + np.uint64(g * 8 + level)) + np.uint64(visit)) >> np.uint64(11)).astype(float) / 2.0**53  # noqa: E731, B023
-            time = time - np.log1p(-draw(0)) / slots
-            early = time < first[live]  # a key that comes too late does not come again
-            live, time = live[early], time[early]
-            region, rack, place = (np.floor(draw(level) * n).astype(np.int64) for level, n in ((1, REGIONS), (2, RACKS), (3, places)))
-            s = region + REGIONS * (rack + RACKS * (base + place))
-            stays = (s < len(weights)) & (draw(4) * most < weights[np.minimum(s, len(weights) - 1)])
-            first[live[stays]], shard[live[stays]] = time[stays], s[stays]
-            live, time, visit = live[~stays], time[~stays], visit + 1
-    return shard
-
-
-def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, float] | None = None, seed: str = "shard-1", max_weight: float | None = None) -> DataFrame:
+    racks = range(REGIONS * RACKS)
+    spans = [[np.cumsum(w[r :: len(racks)]) for r in racks] for w in trees]
+    first = [np.full((REGIONS, len(key)), np.inf) for _ in trees]
+    found = [np.full((REGIONS, len(key)), -1, np.int64) for _ in trees]
+    for r in racks:
+        pace, phase, length = rack_draws(key, r)
+        for span, times, shards in zip(spans, first, found, strict=True):
+            span, region = span[r], r % REGIONS
+            if not len(span) or not span[-1] > 0:
+                continue
+            mark = np.exp(pace * (np.floor(np.log(span[-1]) / pace + phase) - phase))
+            time = length / (mark * np.exp(pace))
+            place = np.searchsorted(span, np.minimum(mark, span[-1]))
+            early = time < times[region]
+            times[region][early], shards[region][early] = time[early], r + len(racks) * place[early]
+    return [shards[times.argmin(0), np.arange(len(key))] for times, shards in zip(first, found, strict=True)]
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, float] | None = None, seed: str = "shard-1") -> DataFrame:
     """Every document's shard and its slot there, and the shard it would take if there was one more.
 
     Returns the columns of ``docs`` without the text, and size (UTF-8 bytes of text plus 16),
     text_crc32 (unsigned), law ('key': doc_id and the tree alone decide), shard, slot (gapless
     from 0 in each shard) and grown_shard (the shard in the tree with one more leaf of weight 1;
     only the new shard gains rows). Input columns of these names are replaced. A weight is 1
-    unless given; trees are comparable if ``max_weight`` (default: the greatest weight) is the same.
+    unless given; a rack or region weighs what its shards weigh together.
 
     Slots number the rows of a shard by (bucket of the hashed id, doc_id): counts per (shard,
     bucket) are cumulated, then rows are numbered inside each bucket, so a task sorts one bucket
@@ -79,9 +80,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, floa
         raise ValueError("there must be a shard")
     weight = np.array([float((weights or {}).get(s, 1.0)) for s in range(n_shards + 1)])
     weight[n_shards] = 1.0
-    most = float(max_weight or weight.max())
-    if (weight < 0).any() or not (weight[:n_shards] > 0).any() or (weight > most).any():
-        raise ValueError("weights must stand between 0 and max_weight, and one above 0")
+    if not ((weight >= 0) & np.isfinite(weight)).all() or not (weight[:n_shards] > 0).any():
+        raise ValueError("weights must be finite and not below 0, and one above 0")
     docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     names = [c for c in docs.columns if c != "text"]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -95,7 +95,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, weights: dict[int, floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column("_key").to_numpy().view(np.uint64)
-            found = [pa.array(descend(key, w, most).astype(np.int32)) for w in (weight[:n_shards], weight)]
+            found = [pa.array(s.astype(np.int32)) for s in descend(key, [weight[:n_shards], weight])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "shard", "grown_shard"])
 
     placed = facts.mapInArrow(run, facts.withColumn("shard", F.lit(0)).withColumn("grown_shard", F.lit(0)).schema)

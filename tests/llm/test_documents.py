@@ -2,12 +2,16 @@
 ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import math
 import random
+import time
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mediaops.llm import language, minhash, mixing, packing, quality, sharding, substrings, toxicity, words
@@ -227,57 +231,110 @@ def test_sharding(spark, corpus):
     assert sharding.shard_documents(table(spark, [])).collect() == []
 
 
-def brute_shard(key, weights, most):
-    """The descent of one key, step by step."""
-    def draw(g, level, visit):
-        h = words.mix(np.array([key + g * 8 + level], np.uint64))
-        return float(words.mix(h + np.uint64(visit))[0] >> np.uint64(11)) / 2.0**53
+def brute_mix(h):
+    h ^= h >> 31
+    h = h * 0xBF58476D1CE4E5B9 % 2**64
+    h ^= h >> 29
+    h = h * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 32
 
-    best = (np.inf, -1)
-    for g, (base, places) in enumerate(sharding.generations(len(weights))):
-        time, visit = 0.0, 0
-        if not any(weights[base * 20 : (base + places) * 20]):
+
+def brute_shard(key, weights):
+    """The descent of one key, level by level, from the definition: a rack's points (mark, time) for all
+    steps up to its weight, the earliest of them with a mark within the weight."""
+    arrivals = {}
+    for rack in range(20):
+        own = {s: w for s, w in enumerate(weights) if s % 20 == rack and w > 0}
+        if not own:
             continue
-        while True:
-            time -= np.log1p(-draw(g, 0, visit)) / (20 * places)
-            if time >= best[0]:
-                break
-            s = int(draw(g, 1, visit) * 4) + 4 * (int(draw(g, 2, visit) * 5) + 5 * (base + int(draw(g, 3, visit) * places)))
-            if s < len(weights) and draw(g, 4, visit) * most < weights[s]:
-                best = (time, s)
+        u = [((brute_mix((brute_mix(key) + rack * 8 + i) % 2**64) >> 11) + 0.5) / 2**53 for i in range(5)]
+        pace, length, total = -math.log(u[0] * u[1]), -math.log(u[3] * u[4]), sum(own.values())
+        step = math.ceil(math.log(total) / pace + u[2]) + 3
+        while math.exp(pace * (step - u[2])) > total:
+            step -= 1
+        mark = math.exp(pace * (step - u[2]))
+        at = 0.0
+        for shard, w in own.items():
+            at += w
+            if mark <= at:
                 break
-            visit += 1
-    return best[1]
+        arrivals[rack] = (length / math.exp(pace * (step - u[2] + 1)), shard)
+    region = min(range(4), key=lambda g: min((arrivals[r] for r in arrivals if r % 4 == g), default=(math.inf,)))
+    return min(arrivals[r] for r in arrivals if r % 4 == region)[1]
 
 
 def test_descent_against_brute_force():
     r = np.random.default_rng(2)
-    key = r.integers(0, 2**62, 300, dtype=np.uint64)
-    for n in (1, 7, 20, 41, 130):
-        w = np.ones(n) if n != 41 else r.random(41) * 2
-        assert sharding.descend(key, w, 2.0).tolist() == [brute_shard(int(k), w, 2.0) for k in key]
+    key = r.integers(0, 2**64, 300, dtype=np.uint64)
+    trees = [np.ones(1), np.ones(7), np.ones(20), np.where(np.arange(41) % 7, r.random(41) * 2, 0), 10.0 ** r.integers(-3, 4, 130)]
+    for w, got in zip(trees, sharding.descend(key, trees), strict=True):
+        assert got.tolist() == [brute_shard(int(k), w.tolist()) for k in key]
+
+
+def test_query_keys_and_slots_against_brute_force(spark, tmp_path):
+    rows = [(i * 7 - 40, prose(i, i % 9) if i % 5 else None, "a") for i in range(400)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    hashed = lambda *values: reduce(lambda h, v: xxhash.xxh64(v.encode(), seed=h).intdigest(), values, 42)
+    want, places = {}, {}
+    for i, text, _ in rows:
+        key, raw = hashed("shard-1", str(i)), (text or "").encode()
+        slot = hashed("slot", str(i))
+        bucket = (slot - 2**64 if slot >= 2**63 else slot) % 256
+        want[i] = (len(raw) + 16, zlib.crc32(raw), "key", brute_shard(key, [1.0] * 40), brute_shard(key, [1.0] * 41))
+        places.setdefault(want[i][3], []).append((bucket, i))
+    slots = {i: k for s in places.values() for k, (_, i) in enumerate(sorted(s))}
+    got = sharding.op8_shard_documents(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in got} == want
+    assert {r.doc_id: r.slot for r in got} == slots and len(got) == 400
 
 
 def test_one_more_shard_takes_rows_only_into_itself():
     key = np.random.default_rng(3).integers(0, 2**62, 20000, dtype=np.uint64)
-    before = sharding.descend(key, np.ones(1), 1.0)
-    for n in range(2, 100):
-        after = sharding.descend(key, np.ones(n), 1.0)
-        assert ((after == before) | (after == n - 1)).all()
-        before = after
-    counts = np.bincount(before, minlength=99)
+    shards = sharding.descend(key, [np.ones(n) for n in range(1, 100)])
+    for n, (before, after) in enumerate(zip(shards, shards[1:], strict=False), 1):
+        assert ((after == before) | (after == n)).all()
+    counts = np.bincount(shards[-1], minlength=99)
     assert ((counts - 20000 / 99) ** 2 / (20000 / 99)).sum() < 160  # 98 degrees of freedom
 
 
+def test_a_change_stays_in_its_rack():
+    """Shards 6, 26 and 46 are rack 6: what another weight of 26 moves goes into, out of or around it."""
+    key = np.random.default_rng(4).integers(0, 2**62, 40000, dtype=np.uint64)
+    w = 1.0 + np.arange(60) % 3
+    for weight in (0.0, 0.5, 9.0):
+        other = np.where(np.arange(60) == 26, weight, w)
+        before, after = sharding.descend(key, [w, other])
+        moved = before != after
+        assert moved.any() and ((before[moved] % 20 == 6) | (after[moved] % 20 == 6)).all()
+        gone, come = (before % 20 == 6) & (after % 20 != 6), (before % 20 != 6) & (after % 20 == 6)
+        assert not gone.any() if weight > w[26] else not come.any()
+
+
+def test_every_level_is_drawn_by_weight_in_bounded_work():
+    """Weights up to a million apart: shares of regions, racks and shards, and no more time than equal ones."""
+    key = np.random.default_rng(5).integers(0, 2**62, 50000, dtype=np.uint64)
+    w = np.where(np.arange(80) % 3, 1.0, 1e-6) * (1 + np.arange(80) % 5)
+    begin = time.perf_counter()
+    sharding.descend(key, [np.ones(80)])
+    equal = time.perf_counter() - begin
+    begin = time.perf_counter()
+    (got,) = sharding.descend(key, [w])
+    assert time.perf_counter() - begin < 3 * equal + 1
+    for nodes in (4, 20, 80):
+        want = 50000 * np.bincount(np.arange(80) % nodes, w) / w.sum()
+        assert (np.abs(np.bincount(got % nodes, minlength=nodes) - want) < 5 * np.sqrt(want) + 3).all()
+
+
 def test_sharding_weights(spark):
     rows = table(spark, [(i, "x", "a") for i in range(8000)])
-    before = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8, max_weight=3.0).collect()}
-    after = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8, {3: 3.0, 5: 0.0}, max_weight=3.0).collect()}
+    before = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8).collect()}
+    after = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8, {3: 3.0, 5: 0.0}).collect()}
     n = Counter(after.values())
     assert n[5] == 0 and abs(n[3] - 8000 * 3 / 9) < 250
     assert all(after[i] == s or after[i] == 3 or s == 5 for i, s in before.items())
-    with pytest.raises(ValueError):
-        sharding.shard_documents(rows, 2, {0: 0.0, 1: 0.0})
+    for bad in ({0: 0.0, 1: 0.0}, {0: -1.0}, {0: float("inf")}):
+        with pytest.raises(ValueError):
+            sharding.shard_documents(rows, 2, bad)
 
 
 def test_quality(spark):
