@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -700,11 +701,34 @@ def str1_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("req_id", "path", "outcome", "status", "error", "output_format")
 
 
-@query(O.REQUESTS + " SELECT DISTINCT path || '?' || query AS cache_key FROM requests")
+def _in_spans(spark: SparkSession, sf_dir: str, folder: str) -> Iterator[DataFrame]:
+    """The stream of events in ``folder``, each time after one more of four spans of time has come."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ends = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
+    span = sum((F.unix_micros(F.col("ts").cast("timestamp")) > end).cast("int") for end in ends) if ends else F.lit(0)
+    for n in range(4):
+        ev.filter(F.coalesce(span, F.lit(0)) == n).write.mode("append").parquet(folder)
+        yield X.with_paths(spark.readStream.schema(ev.schema).parquet(folder))
+
+
+def _taken_up(found: DataFrame, out: str, at: str) -> None:
+    """Run a stream on what has come since its checkpoint ``at``; its rows are added to ``out``."""
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+
+@query(
+    O.REQUESTS.replace("WITH ", "WITH RECURSIVE ", 1) + ", keyed AS (SELECT path || '?' || query AS cache_key, ts FROM requests), "
+    "given AS (SELECT cache_key, min(ts) AS given_at FROM keyed GROUP BY cache_key UNION ALL SELECT k.cache_key, min(k.ts) FROM given g JOIN keyed k ON k.cache_key = g.cache_key AND k.ts >= g.given_at + INTERVAL 7 DAY GROUP BY k.cache_key) "
+    "SELECT cache_key, strftime(given_at, '%Y-%m-%d %H:%M:%S.%f') AS given_at FROM given"
+)
 def str2_stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = X.as_requests(X.with_paths(_event_stream(spark, sf_dir)))
-    keyed = requests.select("ts", F.concat_ws("?", "path", "query").alias("cache_key"))
-    return _drained(T.stream_first_requests(keyed, EngineConfig(retention="3650 days")), "first").select("cache_key")
+    """Events arrive in four spans of time; keys come once in seven days, whichever batch they come in."""
+    folder, out, at = (shared_path(spark, n) for n in ("events", "first", "first-checkpoint"))
+    for rows in _in_spans(spark, sf_dir, folder):
+        keyed = X.as_requests(rows).select("path", "ts", F.concat_ws("?", "path", "query").alias("cache_key"))
+        found = T.stream_first_requests(keyed, EngineConfig())
+        _taken_up(found, out, at)
+    return spark.read.schema(found.schema).parquet(out).select("cache_key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("given_at"))
 
 
 STREAM_GAPS_SQL = O.REQUESTS + ", " + O.CHANGES + """, latest AS (SELECT r.req_id, max(changed_at) AS changed_at FROM requests r LEFT JOIN changes c ON r.path = c.path AND c.changed_at <= r.ts GROUP BY r.req_id),
@@ -716,17 +740,12 @@ SELECT req_id, cache_key, CASE WHEN gap <= 51 * 3600 THEN gap END AS since_reque
 @query(STREAM_GAPS_SQL)
 def str3_stream_request_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive in four spans of time; the stream takes up each with the state of those before."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     folder, out, at = (shared_path(spark, n) for n in ("events", "gaps", "gaps-checkpoint"))
-    ends = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
-    span = sum((F.unix_micros(F.col("ts").cast("timestamp")) > end).cast("int") for end in ends) if ends else F.lit(0)
-    for n in range(4):
-        ev.filter(F.coalesce(span, F.lit(0)) == n).write.mode("append").parquet(folder)
-        rows = X.with_paths(spark.readStream.schema(ev.schema).parquet(folder))
+    for rows in _in_spans(spark, sf_dir, folder):
         change = F.col("event_type") == "purchase"
         rows = rows.select("path", "ts", F.when(~change, F.col("event_id")).alias("req_id"), F.when(~change, F.concat_ws("?", F.col("path"), X.query_text())).alias("cache_key"))
         found = T.stream_request_gaps(rows, "51 hours")
-        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+        _taken_up(found, out, at)
     return spark.read.schema(found.schema).parquet(out)
 
 

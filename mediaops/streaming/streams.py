@@ -40,10 +40,43 @@ def stream_route(requests: DataFrame, assets: DataFrame, variants: Callable[[],
 
 
 def stream_first_requests(planned: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Each cache_key once per retention time, by the event time ``ts``; the state of keys older than
-    that is dropped."""
-    timed = planned.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", cfg.retention).dropDuplicatesWithinWatermark(["cache_key"])
+    """Each cache_key once per retention time: at its first request, then at the first one that comes
+    ``retention`` or more after the one given last (cache_key, ts).
+
+    The answer does not depend on how the rows are cut into batches, as long as batches follow in
+    time; a row that comes in a later batch than later rows of its key is taken up as it comes.
+    State is grouped by path where there is one, else by key, and holds the time each key was given
+    last; keys that no row within the watermark can still repeat are dropped, and so is a path
+    without keys. Rows without a key or a time are left out.
+    """
+    with_workers(planned.sparkSession)
+    keep = int(pd.Timedelta(cfg.retention).total_seconds() * 10**6)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        last = dict(zip(*held.get, strict=True)) if held.exists else {}
+        rows, given = pd.concat(list(frames), ignore_index=True).sort_values("at"), []
+        for k, at in rows.groupby("cache_key")["at"]:
+            at = at.to_numpy()
+            n = at.searchsorted(last[k] + keep) if k in last else 0
+            while n < len(at):  # one step for each time the key is given, not for each row
+                last[k] = int(at[n])
+                given.append((k, last[k]))
+                n = at.searchsorted(last[k] + keep)
+        floor = held.getCurrentWatermarkMs() * 1000
+        last = {k: t for k, t in last.items() if t + keep > floor}
+        held.update((list(last), list(last.values())))
+        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, *((t + keep) // 1000 + 1 for t in last.values())))
+        if given:
+            yield pd.DataFrame(given, columns=["cache_key", "at"])
+
+    group = "path" if "path" in planned.columns else "cache_key"
+    timed = planned.select(F.col(group).alias("_group"), "cache_key", F.col("ts").cast("timestamp").alias("ts")).filter("cache_key is not null and ts is not null")
+    timed = timed.withColumn("at", F.unix_micros("ts")).withWatermark("ts", cfg.retention)
+    found = timed.groupBy("_group").applyInPandasWithState(step, "cache_key string, at long", "keys array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("cache_key", F.timestamp_micros("at").alias("ts"))
 
 
 def stream_request_gaps(events: DataFrame, retention: str = "7 days") -> DataFrame:

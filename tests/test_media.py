@@ -158,12 +158,20 @@ def batches(spark, folder, rows, schema, make):
     return out
 
 
-def test_stream_forgets_keys(spark, tmp_path):
-    """A key comes back once its retention is over, and not before."""
+def test_stream_gives_keys_once_a_retention(spark, tmp_path):
+    """A key comes back with its first request a retention or more after the one given, in the same batch or
+    a later one, and not before; rows without key or time, repeated rows and late rows give nothing."""
     hour = lambda n: NOON + timedelta(hours=n)
-    rows = [[("a", hour(0)), ("a", hour(1)), ("b", hour(0))], [("a", hour(20)), ("c", hour(60))], [("d", hour(61))], [("a", hour(62)), ("c", hour(63))]]
-    got = batches(spark, tmp_path, rows, "cache_key string, ts timestamp_ntz", lambda s: T.stream_first_requests(s, EngineConfig(retention="24 hours")).select("cache_key"))
-    assert [[k for (k,) in b] for b in got] == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"], ["a", "a", "b", "c", "d"]]
+    rows = [
+        [("a", hour(1)), ("a", hour(0)), ("a", hour(0)), ("b", hour(0)), (None, hour(0)), ("b", None)], [("a", hour(20)), ("c", hour(60)), ("a", hour(24)), ("a", hour(47)), ("a", hour(49))],
+        [], [("d", hour(61)), ("c", hour(59))], [("a", hour(72)), ("c", hour(84)), ("b", hour(83)), ("d", hour(84))], [("d", hour(85)), ("a", hour(73))],
+    ]
+    for n, schema in enumerate(("cache_key string, ts timestamp_ntz", "cache_key string, ts timestamp_ntz, path string")):
+        mine = [[(*r, "p")[: 2 + n] for r in batch] for batch in rows]
+        got = batches(spark, tmp_path / str(n), mine, schema, lambda s: T.stream_first_requests(s, EngineConfig(retention="24 hours")))
+        given = [("a", 0), ("b", 0)], [("a", 24), ("a", 49), ("c", 60)], [], [("d", 61)], [("b", 83), ("c", 84)], [("a", 73), ("d", 85)]
+        want = [sorted(r for part in given[: k + 1] for r in part) for k in range(len(given))]
+        assert [sorted((k, int((t - NOON).total_seconds() // 3600)) for k, t in b) for b in got] == want
 
 
 def test_stream_gaps_over_batches(spark, tmp_path):
