@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths of the tables that were written and not dropped yet.
-_written: dict[str, None] = {}
+#: Paths of the tables that the run around has written and not dropped yet; one of each thread's own.
+_kept: ContextVar[set[str] | None] = ContextVar("kept", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,22 +46,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    _written[path] = None
+    if (kept := _kept.get()) is not None:
+        kept.add(path)
     return out
 
 
-def written() -> set[str]:
-    """Paths of the stored tables that still stand."""
-    return set(_written)
+@contextmanager
+def kept_tables() -> Iterator[set[str]]:
+    """The paths of the tables that are ``stored`` inside, and still stand. Runs beside this one, in
+    other threads, have sets of their own; a run inside another adds what it leaves to that."""
+    outer, mine = _kept.get(), set()
+    token = _kept.set(mine)
+    try:
+        yield mine
+    finally:
+        _kept.reset(token)
+        if outer is not None:
+            outer |= mine
 
 
 def dropped(spark: SparkSession, paths: set[str]) -> None:
     """Remove stored tables by path, through Hadoop's file systems."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in list(paths):
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-        _written.pop(path, None)
+        if (kept := _kept.get()) is not None:
+            kept.discard(path)
 
 
 def release(*tables: DataFrame) -> None:

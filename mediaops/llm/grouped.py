@@ -75,7 +75,10 @@ def blocks_of(n: Column, size: Column, block: int, block_bytes: int) -> Column:
     return F.greatest(F.ceil(n / F.lit(block)), F.ceil(size / F.lit(block_bytes)), F.lit(1)).cast("int")
 
 
-def link_within_groups(members: DataFrame, payload: list[str], comparer: Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+Comparer = Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]]
+
+
+def link_within_groups(members: DataFrame, payload: list[str], comparer: Comparer, guide: tuple[DataFrame, Comparer] | None = None) -> DataFrame:
     """Edges (a, b) that connect what is alike inside each group, for all pairs of a group.
 
     ``members``: grp, id, pivot (the group's least id), blocks (into how many the group is dealt,
@@ -83,7 +86,9 @@ def link_within_groups(members: DataFrame, payload: list[str], comparer: Callabl
     pivot, then those that it has not joined with all of their block: groups of close copies take
     time linear in their size. Only groups of several blocks that are still in several parts go
     on: there every two blocks are compared, skipping pairs already joined, so a row is copied
-    once for each block of its group.
+    once for each block of its group. With a ``guide`` (rows of id and something small to tell by
+    what may be alike, and the comparer for it) only these small rows are copied so; a row goes
+    with its payload just to the pairs of blocks in which it may be like a row of another part.
 
     comparer(rows) gives a function from a boolean matrix of the pairs asked for to the matrix of
     those that are alike. Each call gives spanning edges only, never more than the rows it read.
@@ -123,14 +128,37 @@ def link_within_groups(members: DataFrame, payload: list[str], comparer: Callabl
         release(large, open_groups)
         return found
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("k")
-    pairs = large.join(open_groups, "grp").select("grp", "id", "i", "part", *payload, other).filter("k <> i")
-    pairs = pairs.select("grp", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "id", "part", *payload)
+    opened = large.join(open_groups, "grp")
+
+    def in_pairs(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("grp", "id", "i", "part", *more, other).filter("k <> i")
+        return rows.select("grp", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "id", "part", *more)
+
+    def asked(rows: pa.Table) -> np.ndarray:
+        part, side = rows["part"].to_numpy(), rows["i"].to_numpy()
+        return (part[:, None] != part[None, :]) & (side[:, None] < side[None, :])
+
+    met = None
+    if guide:
+        signs, likely = guide
+        small = opened.select("grp", "id", "i", "part", "blocks").distinct().join(signs, "id")
+
+        def meets(rows: pa.Table) -> pa.RecordBatch | None:
+            wanted = asked(rows)
+            found = likely(rows)(wanted) if wanted.any() else wanted
+            rows = rows.select(["grp", "lo", "hi", "id"]).filter(pa.array(found.any(0) | found.any(1)))
+            return rows.combine_chunks().to_batches()[0] if rows.num_rows else None
+
+        names = [c for c in signs.columns if c != "id"]
+        met = stored(stream_groups(in_pairs(small, *names), ["grp", "lo", "hi"], meets, "grp long, lo int, hi int, id long").distinct(), "rows-to-meet")
+        pairs = opened.join(met, ["grp", "id"]).select("grp", "lo", "hi", "i", "id", "part", *payload)
+    else:
+        pairs = in_pairs(opened, *payload)
 
     def across(rows: pa.Table) -> pa.RecordBatch | None:
-        part, side, ids = rows["part"].to_numpy(), rows["i"].to_numpy(), rows["id"].to_numpy()
-        wanted = (part[:, None] != part[None, :]) & (side[:, None] < side[None, :])
-        return edges(ids, comparer(rows)(wanted)) if wanted.any() else None
+        wanted = asked(rows)
+        return edges(rows["id"].to_numpy(), comparer(rows)(wanted)) if wanted.any() else None
 
     more = stored(stream_groups(pairs, ["grp", "lo", "hi"], across, "a long, b long"), "links")
-    release(large, open_groups)
+    release(large, open_groups, *([] if met is None else [met]))
     return found.union(more)

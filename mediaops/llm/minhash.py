@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Equal sets are met first, by a print of 128 bits, so a group of copies goes on as one document.
     Sketches are cut into bands; documents alike in a band and by joint likelihood (four standard
     errors under the threshold) form clusters, inside which full sets are compared block by block,
-    word by word. A pair at the threshold shares no band with a chance under 10^-4, is estimated
+    word by word; blocks exchange the texts of those documents whose sketches may be alike. A pair at the threshold shares no band with a chance under 10^-4, is estimated
     too low with a chance of about 3 x 10^-5, and is linked by nothing but its full sets.
 
     Nulls: a null, empty or blank text has no shingles and links with nothing; a null doc_id
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         sets = shingle_sets(rows["text"], k)
         return lambda wanted: exactly_similar(sets, np.triu(wanted | wanted.T, 1), percent, 100)
 
-    links = link_within_groups(texts.join(dealt, "grp"), ["text"], same)
+    links = link_within_groups(texts.join(dealt, "grp"), ["text"], same, (sketches, alike))
     twice = stored(real.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared-ids")
     if twice.limit(1).count():  # rows that share a doc_id are linked through it
         theirs = stored(real.join(twice, "doc_id").join(reps, ["fp1", "fp2"]).select("doc_id", "rep").distinct(), "shared-sets")

@@ -7,6 +7,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -14,8 +15,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from mediaops.llm import language, minhash, mixing, packing, quality, sharding, substrings, toxicity, words
-from mediaops.llm.common import components, prepare
+from mediaops.llm import grouped, language, minhash, mixing, packing, quality, sharding, substrings, toxicity, words
+from mediaops.llm.common import components, dropped, kept_tables, prepare, release, stored
 from mediaops.llm.grouped import link_within_groups
 from mediaops.llm.sampling import bounded_sample
 
@@ -533,6 +534,58 @@ def test_links_across_blocks(spark):
     assert {r.component for r in got.collect()} == {0} and got.count() == 30
 
 
+def test_a_guide_tells_which_rows_blocks_exchange(spark, monkeypatch):
+    """A chain in which neighbours are alike, and rows that are like none: only the chain's rows are sent on."""
+    rows = [(1, i, 8, 0, i) for i in range(30)] + [(1, 30 + i, 8, 0, 1000 * (i + 1)) for i in range(30)]
+    members = spark.createDataFrame(rows, "grp long, id long, blocks int, pivot long, x long")
+    near = lambda width, column: lambda t: lambda wanted: wanted & (np.abs(t[column].to_numpy()[:, None] - t[column].to_numpy()[None, :]) <= width)
+    sent, plain = [], grouped.stored
+    monkeypatch.setattr(grouped, "stored", lambda df, name: sent.append((name, plain(df, name))) or sent[-1][1])
+    monkeypatch.setattr(grouped, "release", lambda *tables: None)
+    got = link_within_groups(members, ["x"], near(1, "x"), (members.select("id", F.col("x").alias("y")), near(2, "y")))
+    assert {(r.id, r.component) for r in components(got).collect()} == {(i, 0) for i in range(30)}
+    met = [r for name, df in sent if name == "rows-to-meet" for r in df.collect()]
+    assert met and {r.id for r in met} <= set(range(30)) and len(met) == len(set(met))
+
+
+def test_near_duplicates_in_open_groups(spark, monkeypatch):
+    """A cluster of documents around the threshold, which stays in several parts over many blocks."""
+    base = prose(1, 150)
+    rows = [(i, edited(base, i, 0.02 + 0.001 * (i % 15)), "a") for i in range(60)] + [(0, base, "a"), (7, prose(9, 80), "a")]
+    sets = [(i, {tuple(w[j : j + 3]) for j in range(len(w) - 2)}) for i, w in ((i, t.split()) for i, t, _ in rows)]
+    parent = {i: i for i, _ in sets}
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for i, a in sets:
+        for j, b in sets:
+            if 100 * len(a & b) >= 85 * len(a | b):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert len({root(i) for i in parent}) > 3
+    seen, plain = [], grouped.stored
+    monkeypatch.setattr(grouped, "stored", lambda df, name: seen.append(name) or plain(df, name))
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 6)
+    got = minhash.near_duplicates(table(spark, rows), 3, 85).collect()
+    assert "rows-to-meet" in seen and len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, root(i)) for i in parent}
+
+
+def test_runs_keep_tables_of_their_own(spark):
+    """Tables stored beside a run, in another thread, are not among the run's."""
+    one = spark.range(1)
+    with kept_tables() as mine:
+        a = stored(one, "a")
+        with ThreadPoolExecutor(1) as other:
+            b = other.submit(stored, one, "b").result()
+        with kept_tables() as inner:
+            c, d = stored(one, "c"), stored(one, "d")
+            release(d)
+            assert inner == {c._stored_at}
+        assert mine == {a._stored_at, c._stored_at}
+        dropped(spark, mine)
+        assert mine == set() and b.count() == 1
+    stored(one, "e")
+    assert mine == set()
+
+
 def test_words_that_a_polynomial_hash_confuses(spark):
     """Thue-Morse words of 1,024 letters and their complements collide under any polynomial in 64 bits."""
     letters = [bin(i).count("1") % 2 for i in range(1024)]
