@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import dropped, fold, prepare, stored, written
+from mediaops.llm.common import dropped, fold, kept_tables, prepare, stored
 from mediaops.llm.minhash import near_duplicates
 from mediaops.llm.mixing import mixed_documents
 from mediaops.llm.packing import pack_documents
@@ -68,11 +68,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``; returns the packed pieces. What a stage has written
     for itself, and the rows that it read, go when its own rows are stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = written()
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            done = written() - before
-            docs = stored(docs, f"stage-{name}")
-            dropped(spark, done)
+    with kept_tables() as kept:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                done = set(kept)
+                docs = stored(docs, f"stage-{name}")
+                dropped(spark, done)
     return docs
