@@ -283,12 +283,16 @@ def find_repeats(docs: DataFrame, size: int = 13) -> Repeats:
     empty table gives empty tables.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tagged().alias("tag"), F.col("text").cast("string").alias("text"))
-    base = stored(anchored(rows, size), "repeat-base")
-    long = base.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
+    full = stored(anchored(rows, size), "anchored")
+    long = full.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     reps = stored(long.groupBy("sha").agg(F.min("doc_id").alias("rep")), "sequence-reps")
     told = stored(long.select("doc_id", "tag", "sha").join(reps, "sha").select("doc_id", "tag", (F.col("doc_id") > F.col("rep")).alias("again")).distinct(), "sequence-copies")
+    release(reps)
     anchors = recurring_anchors(long, told.filter("not again").select("doc_id", "tag"))
+    base = stored(full.drop("anchors"), "repeat-base")
+    release(full)
     candidates = stored(rows.join(anchors, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]), "repeat-candidates")
+    release(anchors)
     prints = window_prints(candidates, size).groupBy("p1", "p2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor")).filter("doc_id < last")
     prints = stored(prints.select("doc_id", "anchor", "p1", "p2"), "confirmed")
     n = prints.count()
@@ -297,11 +301,12 @@ def find_repeats(docs: DataFrame, size: int = 13) -> Repeats:
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_PATTERNS))
     confirmed = prints.groupBy("doc_id").agg(F.sort_array(F.collect_list("p1")).alias("p1"), F.sort_array(F.collect_list("p2")).alias("p2"))
     texts = candidates.drop("anchors").join(confirmed, "doc_id").select("doc_id", "tag", "text", "p1", "p2")
-    patterns = passages(texts, shards, size, True, hot)
+    patterns = stored(passages(texts, shards, size, True, hot), "patterns")
+    release(prints)
     segments = stored(passages(candidates.select("doc_id", "tag", "text", "anchors"), shards, size, False, hot), "segments")
     found = located(patterns, segments, size)
     spans = stored(found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "repeat-spans")
-    release(segments, prints, anchors, reps)
+    release(segments, patterns)
     return Repeats(base, told.filter("again").select("doc_id", "tag"), spans, candidates)
 
 
@@ -362,7 +367,7 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     cut = found.candidates.select("doc_id", "tag", "text").join(found.spans, ["doc_id", "tag"]).mapInArrow(run, "doc_id long, tag long, cut long, cut_sha string")
     nothing = hashlib.sha256(b"").hexdigest()
     changed = stored(cut.unionByName(found.copies.select("doc_id", "tag", F.lit(None).cast("long").alias("cut"), F.lit(nothing).alias("cut_sha"))), "cut-rows")
-    out = found.base.drop("anchors").join(changed, ["doc_id", "tag"], "left")
+    out = found.base.join(changed, ["doc_id", "tag"], "left")
     removed = F.when(F.col("cut_sha").isNull(), F.lit(0)).otherwise(F.coalesce("cut", "n_words")).cast("long")
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut_sha", F.lower(F.hex("sha"))).alias("kept_sha256"))
 

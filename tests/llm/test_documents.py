@@ -646,3 +646,27 @@ def test_hot_anchors_are_split(spark, monkeypatch, tmp_path):
     texts, kept = repeats_truth(rows, 13)
     got = {r.doc_id: r.n_removed for r in substrings.op10_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: len(texts[i]) - len(kept[i]) for i in texts}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """A stored table is all that a finished step leaves on disk, whatever the session says before and after."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName().split("_")[1] for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, told = shuffles(), spark.conf.get(name, None)
+    out = stored(spark.range(20_000).groupBy((F.col("id") % 7000).alias("k")).count(), "counted")
+    for _ in range(50):  # files go in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(name, None) == told
+    assert out.count() == 7000
+
+
+def test_repeats_keep_only_what_is_read_later(spark, corpus):
+    """Inner tables of the passages go; anchors, prints, patterns and segments are not read any more."""
+    with kept_tables() as left:
+        found = substrings.find_repeats(table(spark, corpus))
+        names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in left}
+    assert names == {"repeat-base", "sequence-copies", "repeat-candidates", "segment-counts", "repeat-spans"}
+    assert "anchors" not in found.base.columns
