@@ -160,21 +160,24 @@ def container_file(image_id: int) -> tuple[str, bytes]:
 
 
 def write_files(df: DataFrame, root: str, make: Callable[..., tuple[str, bytes]]) -> None:
-    """One file under ``root`` for each row: make(*columns) gives its name and bytes. Tasks write through
-    Arrow's file systems; a task that runs again writes the same files."""
+    """One file under ``root`` for each row: make(*columns) gives its name and bytes. Rows are dealt over all
+    tasks, which write through Arrow's file systems; a task that runs again writes the same files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa_fs.FileSystem.from_uri(root)
+        made: set[str] = set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name, data = make(*row)
                 at = f"{base}/{name}"
-                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                if (folder := at.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with fs.open_output_stream(at) as out:
                     out.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
-    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def remove_files(names: DataFrame, root: str) -> None:

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaops.functions.formats import file_extension, file_stem
 from mediaops.session import with_workers
 from mediaops.sources.headers import Header, Ranges, probe
-from mediaops.sources.listing import opened, with_content
+from mediaops.sources.listing import opened, read_index_files, with_content
 
 #: Tasks that may share the requests of one path.
 SPREAD = 8
@@ -110,9 +111,23 @@ def probe_assets(assets: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def read_cache_index(spark: SparkSession, root: str) -> DataFrame:
-    """Every *.index file: stem, path (its content, the source) and written_at (the file's time)."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.index").text(root)
-    return df.select(file_stem(F.col("_metadata.file_path")).alias("stem"), F.trim("value").alias("path"), F.col("_metadata.file_modification_time").alias("written_at"))
+    """Every *.index file: stem, path (its content, the source) and written_at (the file's time).
+
+    Tasks list and read a folder that Arrow can open; files and folders whose name begins with a dot
+    or, without an equals sign, with an underscore are hidden, as from Spark's readers. Globs, single
+    files and stores that Arrow doesn't know are left to Spark's reader, which lists on the driver
+    and opens 32 small files a task."""
+    try:
+        fs, base = opened(root)
+        known = fs.get_file_info(base or "/").type == pa_fs.FileType.Directory
+    except (pa.ArrowException, OSError, ImportError):
+        known = False
+    return read_index_files(spark, root) if known else _read_by_spark(spark, root)
+
+
+def _read_by_spark(spark: SparkSession, root: str) -> DataFrame:
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.index").text(root, wholetext=True)
+    return df.select(file_stem(relative_path(F.col("_metadata.file_path"), root)).alias("stem"), F.btrim("value", F.lit(" \r\n")).alias("path"), F.col("_metadata.file_modification_time").alias("written_at"))
 
 
 def select_originals(routed: DataFrame, assets: DataFrame, root: str | None = None) -> DataFrame:

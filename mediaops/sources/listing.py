@@ -109,8 +109,10 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
 
 def read_index_files(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """Every *.index file below ``root``, listed and read by tasks: stem, path (its content, the source)
-    and written_at (the file's time), as ``files.read_cache_index`` has them."""
-    found = list_files(spark, root, depth).filter(F.col("path").endswith(".index") & ~F.element_at(F.split("path", "/"), -1).rlike("^[._]"))
+    and written_at (the file's time), as ``files.read_cache_index`` has them. What is listed is dealt
+    anew before it is read, so that a folder with most of the files is read by all tasks."""
+    found = list_files(spark, root, depth).filter(F.col("path").endswith(".index") & ~F.col("path").rlike("(^|/)([.]|_[^/=]*(/|$))"))
+    found = found.repartition(4 * spark.sparkContext.defaultParallelism, "path")
     return with_content(found, root).filter("content is not null").select(file_stem(F.col("path")).alias("stem"), F.btrim(F.col("content").cast("string"), F.lit(" \r\n")).alias("path"), F.col("modified_at").alias("written_at"))
 
 

@@ -101,3 +101,28 @@ def test_stale_by_change(spark, tmp_path):
     touch(root / "a.png", b"x", 1_700_000_000)
     (root / "b.png").unlink()
     assert run() == [("a2001", "changed"), ("a2021", "changed"), ("b2001", "deleted"), ("b2021", "deleted"), ("b2999", "deleted")]
+
+
+def test_index_files_equal_the_reader(spark, tmp_path):
+    """Tasks find what Spark's reader finds: odd contents, hidden names and folders; no scan on the driver.
+    A file is one row, however many lines it has; an empty one, which Spark passes over, has an empty path."""
+    tree(tmp_path)
+    for n, data in enumerate([b" a b \n", b"c\r\n", b"\td", b"e\n\n", b"", b"\n", "ü+%41 .png".encode(), b"f\ng\n"]):
+        touch(tmp_path / "odd" / f"o{n}.index", data, 1_700_001_000 + n)
+    for name in ("_no.index", ".no.index", "_a=b.index", "_no/x.index", ".no/x.index", "_a=b/x.index", "deep/_no/x.index", "x.index/y.index", "x_y.index", "no.INDEX"):
+        touch(tmp_path / "hidden" / name, b"h", 1_700_002_000)
+    rows = lambda df: sorted((r.stem, r.path, r.written_at) for r in df.collect())
+    got = S.read_cache_index(spark, str(tmp_path))
+    assert [r for r in rows(got) if r[0] != "o4"] == [r for r in rows(S._read_by_spark(spark, str(tmp_path))) if r[0] != "o4"]
+    told = {stem: path for stem, path, _ in rows(got)}
+    assert [told[f"o{n}"] for n in range(8)] == ["a b", "c", "\td", "e", "", "", "ü+%41 .png", "f\ng"] and "k0 ü+%" in told
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and not any(f.endswith(".index") for f in got.inputFiles())
+    assert [r.path for r in S.read_cache_index(spark, f"{tmp_path}/top.index").collect()] == ["data/top.png"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_cache_index(spark, f"{tmp_path}/none").collect()
+
+
+def test_a_full_folder_is_read_by_many_tasks(spark, tmp_path):
+    for i in range(200):
+        touch(tmp_path / "one" / f"k{i}.index", b"x", 1_700_000_000)
+    assert L.read_index_files(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() >= 4
