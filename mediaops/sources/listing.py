@@ -6,7 +6,10 @@ Tasks open the folder through Arrow's file systems, so roots are paths or URIs t
 from __future__ import annotations
 
 import contextlib
+import itertools
+import os
 import re
+import stat
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,22 +36,40 @@ def opened(root: str) -> tuple[pa_fs.FileSystem, str]:
 
 
 def entries(fs: pa_fs.FileSystem, base: str, folder: str, deep: bool) -> Iterator[tuple]:
-    """(path below base, is folder, time, length) of what a folder holds; one that is gone holds nothing."""
-    at = f"{base}/{folder}" if folder else base
-    for e in fs.get_file_info(pa_fs.FileSelector(at, allow_not_found=True, recursive=deep)):
+    """(path below base, is folder, time, length) of what a folder holds; one that is gone holds nothing.
+
+    Local folders are read entry by entry. Arrow lists a folder of other stores as a whole: there the
+    entries of one folder, not of all below it, are held at a time."""
+    local = isinstance(fs, pa_fs.LocalFileSystem)
+    folders = [folder]
+    while folders:
+        at = folders.pop()
+        for entry in _scanned(base, at) if local else _selected(fs, base, at):
+            if deep and entry[1]:
+                folders.append(entry[0])
+            yield entry
+
+
+def _selected(fs: pa_fs.FileSystem, base: str, folder: str) -> Iterator[tuple]:
+    for e in fs.get_file_info(pa_fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True)):
         is_dir = e.type == pa_fs.FileType.Directory
         yield e.path[len(base) + 1 :], is_dir, e.mtime_ns // 1000 if e.mtime_ns is not None else None, None if is_dir else e.size
 
 
+def _scanned(base: str, folder: str) -> Iterator[tuple]:
+    with contextlib.suppress(FileNotFoundError), os.scandir(f"{base}/{folder}" if folder else base or "/") as found:
+        for e in found:
+            try:
+                s = e.stat()
+            except OSError:  # gone, or a link to nothing
+                continue
+            yield f"{folder}/{e.name}" if folder else e.name, stat.S_ISDIR(s.st_mode), s.st_mtime_ns // 1000, s.st_size if stat.S_ISREG(s.st_mode) else None
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == ROWS:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema)
+    rows = iter(rows)
+    while held := list(itertools.islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def list_files(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:

@@ -122,6 +122,24 @@ def test_index_files_equal_the_reader(spark, tmp_path):
         S.read_cache_index(spark, f"{tmp_path}/none").collect()
 
 
+def test_listing_holds_a_batch_only(tmp_path, monkeypatch):
+    """A folder of many files is read on as batches are asked for, and listed as Arrow lists it."""
+    for i in range(30):
+        touch(tmp_path / "d" / "e" / f"k{i}", b"x" * i, 1_700_000_000 + i)
+    (tmp_path / "d" / "lost").symlink_to(tmp_path / "none")
+    (tmp_path / "d" / "to").symlink_to(tmp_path / "d" / "e" / "k7")
+    fs, base = L.opened(str(tmp_path))
+    whole = fs.get_file_info(L.pa_fs.FileSelector(f"{base}/d", recursive=True))
+    want = {(e.path[len(base) + 1 :], e.type == L.pa_fs.FileType.Directory, e.mtime_ns // 1000, e.size) for e in whole}
+    assert set(L.entries(fs, base, "d", True)) == want and {e for walked in ("d", "d/e") for e in L._selected(fs, base, walked)} == want
+    asked, scan = [], L._scanned
+    monkeypatch.setattr(L, "_scanned", lambda *a: (asked.append(e) or e for e in scan(*a)))
+    monkeypatch.setattr(L, "ROWS", 4)
+    batches = L._batches(L.entries(fs, base, "d", True), L.ENTRY)
+    assert next(batches).num_rows == 4 and len(asked) == 4
+    assert sum(b.num_rows for b in batches) == len(want) - 4
+
+
 def test_a_full_folder_is_read_by_many_tasks(spark, tmp_path):
     for i in range(200):
         touch(tmp_path / "one" / f"k{i}.index", b"x", 1_700_000_000)
