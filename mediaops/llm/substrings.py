@@ -9,48 +9,55 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import release, stored
 from mediaops.llm.grouped import stream_groups
-from mediaops.llm.words import Words, grams, mix, pieces
+from mediaops.llm.words import SPACE, Words, grams, mix, pieces
 
 #: Anchors are phrases of so many words: the least hash among the phrases of a window.
 PHRASE = 5
 #: Patterns of one automaton, segments streamed through one copy of it, and anchors with more patterns
 #: than an automaton takes that are told to the tasks (8 bytes each).
 SHARD_PATTERNS, SALT_SEGMENTS, MAX_HOT = 25_000, 30_000, 1_000_000
+#: Most ways on from a state of an automaton, and words that are streamed through it in one call.
+MAX_WAYS, STREAM_WORDS = 256, 1 << 18
+#: Text bytes of which the windows are made at once: so few that their arrays stay in a core's cache.
+PIECE = 1 << 18
+#: Every separator becomes a space.
+_ONE_SPACE = bytes(0x20 if separates else i for i, separates in enumerate(SPACE.tolist()))
 
 
-@dataclass
 class Windows:
     """All windows of a run of documents: ``at`` their first words (places in the run), ``doc`` the
-    documents, ``anchor`` the hash of the window's least phrase, ``second`` that of the least one
-    apart from it, and the two lanes of the window's 128-bit ``print``."""
-
-    words: Words
-    at: np.ndarray
-    doc: np.ndarray
-    anchor: np.ndarray
-    second: np.ndarray
-    print: tuple[np.ndarray, np.ndarray]
-
-
-def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> Windows:
-    """Two equal windows have equal anchors and prints wherever they stand."""
-    w = Words(data, offsets)
-    h = w.prints()
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
-    if len(doc) < size:
-        none = np.zeros(0, np.int64)
-        return Windows(w, none, none, none, none, (none, none))
-    at = np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :])
-    span = min(PHRASE, size)
-    least = _sliding_least(grams(h[0], span), size - span + 1)[at]
-    second = _sliding_least(mix(grams(h[1], span)), size - span + 1)[at]
-    one, two = (grams(x, size)[at].view(np.int64) for x in h)
-    return Windows(w, at, doc[at], least.view(np.int64), second.view(np.int64), (one, two))
+    documents, ``anchor`` the hash of the window's least phrase. Two equal windows have equal anchors,
+    seconds and prints wherever they stand. The last two need both ``lanes``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int, lanes: int = 2):
+        self.size, self.words = size, Words(data, offsets)
+        self.hashes = self.words.prints(lanes=lanes)
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.words.first))
+        self.at = np.flatnonzero(doc[: max(len(doc) - size + 1, 0)] == doc[size - 1 :])
+        self.doc = doc[self.at]
+        self.anchor = self._least(self.hashes[0])[self.at]
+
+    def _least(self, words: np.ndarray, again: bool = False) -> np.ndarray:
+        span = min(PHRASE, self.size)
+        phrases = grams(words, span)
+        if len(words) < self.size:
+            return np.zeros(0, np.int64)
+        return _sliding_least(mix(phrases) if again else phrases, self.size - span + 1).view(np.int64)
+
+    def second(self, which: np.ndarray) -> np.ndarray:
+        """Hash of the least phrase apart from the anchor, of the windows told."""
+        return self._least(self.hashes[1], True)[self.at[which]]
+
+    def prints(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two lanes of the 128-bit prints of the windows told."""
+        one, two = (grams(x, self.size)[self.at[which]].view(np.int64) for x in self.hashes)
+        return one, two
 
 
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -68,26 +75,49 @@ def _lists(rows: int, row: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(values))
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before; the first one does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def anchored(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, tag, n_words, sha (of the words joined by one space) and the distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in pieces(batch):
-                v = windows(data, offsets, size)
-                order = np.lexsort((v.anchor, v.doc))
-                doc, anchor = v.doc[order], v.anchor[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(v.words.first)), pa.array(word_digests(data, offsets), pa.binary()), _lists(part.num_rows, doc[new], anchor[new])], ["doc_id", "tag", "n_words", "sha", "anchors"])
+            for part, data, offsets in pieces(batch, chunk=PIECE):
+                v = Windows(data, offsets, size, 1)
+                turn = _changes(v.doc, v.anchor)  # neighbours mostly share an anchor
+                doc, anchor = v.doc[turn], v.anchor[turn]
+                order = np.lexsort((anchor, doc))
+                doc, anchor = doc[order], anchor[order]
+                new = _changes(doc, anchor)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(v.words.first)), pa.array(word_digests(v.words), pa.binary()), _lists(part.num_rows, doc[new], anchor[new])], ["doc_id", "tag", "n_words", "sha", "anchors"])
 
     return docs.mapInArrow(run, "doc_id long, tag long, n_words long, sha binary, anchors array<long>")
 
 
-def word_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+def spaced(w: Words, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+    """Words a to b (exclusive, places in the run) of each of the documents ``doc``, joined by one
+    space. Where a document's words stand one byte apart, they are cut out as they are."""
+    raw = w.data.tobytes().translate(_ONE_SPACE)
+    wide = np.append(w.start[1:] != w.end[:-1] + 1, False)[: len(w.start)]
+    if len(wide):
+        wide[w.first[1:-1] - 1] = False  # between documents
+    wides = np.append(0, np.cumsum(wide))
+    plain = wides[w.first[1:]] == wides[w.first[:-1]]
+    full = b > a
+    start, end = np.append(w.start, 0)[np.where(full, a, -1)], np.append(w.end, 0)[np.where(full, b - 1, -1)]
+    return [raw[i:j] if p else b" ".join(raw[i:j].split()) for i, j, p in zip(start.tolist(), end.tolist(), plain[doc].tolist(), strict=True)]
+
+
+def word_digests(w: Words) -> list[bytes]:
     """SHA-256 of each text's words joined by one space."""
-    raw = data.tobytes()
-    return [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return [hashlib.sha256(text).digest() for text in spaced(w, np.arange(len(w.first) - 1), w.first[:-1], w.first[1:])]
 
 
 def tagged(text: str = "text") -> Column:
@@ -108,14 +138,11 @@ def recurring_anchors(base: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _listed(rows: pa.Array, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Which (doc, value) stand in the list column ``rows``."""
-    out = np.zeros(len(doc), bool)
-    bounds = np.searchsorted(doc, np.arange(len(rows) + 1))
-    for i in range(len(rows)):
-        a, b = bounds[i], bounds[i + 1]
-        if b > a and rows[i].is_valid:
-            out[a:b] = np.isin(value[a:b], rows[i].values.to_numpy())
-    return out
+    """Which (doc, value) stand in the list column ``rows``: values are hashes, and the document is
+    made part of them."""
+    key = lambda d, v: pa.array(v.view(np.uint64) ^ mix(d.astype(np.uint64)))
+    owner = np.repeat(np.arange(len(rows)), pc.list_value_length(rows).fill_null(0).to_numpy())
+    return pc.is_in(key(doc, value), value_set=key(owner, rows.flatten().to_numpy())).to_numpy(zero_copy_only=False)
 
 
 def window_prints(candidates: DataFrame, size: int) -> DataFrame:
@@ -123,123 +150,148 @@ def window_prints(candidates: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in pieces(batch):
-                v = windows(data, offsets, size)
-                keep = _listed(part.column(3), v.doc, v.anchor)
+            for part, data, offsets in pieces(batch, chunk=PIECE):
+                v = Windows(data, offsets, size)
+                keep = np.flatnonzero(_listed(part.column(3), v.doc, v.anchor))
                 rows = pa.array(v.doc[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(v.print[0][keep]), pa.array(v.print[1][keep]), pa.array(v.anchor[keep]), part.column(0).take(rows)], ["p1", "p2", "anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, v.prints(keep)), pa.array(v.anchor[keep]), part.column(0).take(rows)], ["p1", "p2", "anchor", "doc_id"])
 
     return candidates.select("doc_id", "tag", "text", "anchors").mapInArrow(run, "p1 long, p2 long, anchor long, doc_id long")
 
 
-def passages(candidates: DataFrame, shards: int, size: int, first: bool, hot: np.ndarray) -> DataFrame:
-    """Rows (shard, kind, doc_id, tag, start, text) with text as words joined by one space.
+def passages(candidates: DataFrame, shards: int, size: int, hot: np.ndarray) -> DataFrame:
+    """Rows (shard, kind, doc_id, tag, start, text) with text as words joined by one space, of
+    candidates (doc_id, tag, text, anchors, p1, p2).
 
-    Both are stretches of consecutive windows with one anchor, and for the anchors in ``hot`` with
-    one second phrase too. ``first``: of the windows confirmed under their first document, whose
-    windows are the patterns (kind 0). Otherwise of all candidate windows, to be searched (kind 1)."""
+    All are stretches of consecutive windows with one anchor, and for the anchors in ``hot`` with
+    one second phrase too: of the windows with prints in p1 and p2, confirmed under this document as
+    their first one, which are the patterns (kind 0), and of all windows with listed anchors, to be
+    searched (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in pieces(batch):
-                v = windows(data, offsets, size)
-                if first:
-                    keep = np.flatnonzero(_listed(part.column(3), v.doc, v.print[0]) & _listed(part.column(4), v.doc, v.print[1]))
-                else:
-                    keep = np.flatnonzero(_listed(part.column(3), v.doc, v.anchor))
-                doc, at, anchor = v.doc[keep], v.at[keep], v.anchor[keep]
+            for part, data, offsets in pieces(batch, chunk=PIECE):
+                v = Windows(data, offsets, size)
+                near = np.flatnonzero(_listed(part.column(3), v.doc, v.anchor))
+                one, two = v.prints(near)
+                first = _listed(part.column(4), v.doc[near], one) & _listed(part.column(5), v.doc[near], two)
+                dealt = v.anchor[near]
                 if len(hot):
-                    split = np.isin(anchor, hot)
-                    anchor = np.where(split, mix(anchor.view(np.uint64) ^ v.second[keep].view(np.uint64)).view(np.int64), anchor)
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(doc))[: len(head)] - 1
-                raw = data.tobytes()
-                start, end = v.words.start[at[head]], v.words.end[at[tail] + size - 1]
-                text = [b" ".join(raw[a:b].split()).decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                rows = pa.array(doc[head])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((anchor[head].view(np.uint64) % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(head), 0 if first else 1, np.int32)), part.column(0).take(rows), part.column(1).take(rows), pa.array(at[head] - v.words.first[doc[head]]), pa.array(text, pa.string())],
-                    ["shard", "kind", "doc_id", "tag", "start", "text"],
-                )
-
-    return candidates.mapInArrow(run, "shard int, kind int, doc_id long, tag long, start long, text string")
+                    dealt = np.where(np.isin(dealt, hot), mix(dealt.view(np.uint64) ^ v.second(near).view(np.uint64)).view(np.int64), dealt)
+                for kind, keep, by in ((0, near[first], dealt[first]), (1, near, dealt)):
+                    doc, at = v.doc[keep], v.at[keep]
+                    head = np.flatnonzero(_changes(doc, by, at - np.arange(len(at))))
+                    tail = np.append(head[1:], len(doc))[: len(head)] - 1
+                    text = spaced(v.words, doc[head], at[head], at[tail] + size)
+                    rows = pa.array(doc[head])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((by[head].view(np.uint64) % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(head), kind, np.int32)), part.column(0).take(rows), part.column(1).take(rows), pa.array(at[head] - v.words.first[doc[head]]), pa.array(text, pa.string())],
+                        ["shard", "kind", "doc_id", "tag", "start", "text"],
+                    )
+
+    return candidates.select("doc_id", "tag", "text", "anchors", "p1", "p2").mapInArrow(run, "shard int, kind int, doc_id long, tag long, start long, text string")
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts joined by one space, and where those of each text start (one entry more)."""
+    lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    return lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
 
 
 class PhraseAutomaton:
-    """An Aho-Corasick automaton over words: each word known to the patterns is three characters,
-    one from each of three alphabets, so a match is a match of whole words and no state has more
-    than 64 ways on."""
+    """An Aho-Corasick automaton over words: the words known to the patterns are numbered, and the
+    digits of a number are characters, each from an alphabet of its place, so a match is a match of
+    whole words and no state has more than MAX_WAYS ways on."""
 
     def __init__(self, size: int):
         import ahocorasick
 
-        self.machine = ahocorasick.Automaton()
-        self.letters: dict[str, str] = {}
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.size = size
-
-    def _letters(self, word: str) -> str:
-        known = self.letters.get(word)
-        if known is None:
-            n = len(self.letters)
-            known = self.letters[word] = chr(64 + n % 64) + chr(128 + n // 64 % 64) + chr(192 + n // 4096)
-        return known
+        self.stretches: list[str] = []
+        self.firsts: list[int] = []
 
     def add(self, stretch: str, first: int) -> None:
         """Every window of the stretch is a pattern; ``first`` is its first document."""
-        letters = "".join(map(self._letters, stretch.split(" ")))
-        for i in range(0, len(letters) - 3 * self.size + 1, 3):
-            self.machine.add_word(letters[i : i + 3 * self.size], first)
+        self.stretches.append(stretch)
+        self.firsts.append(first)
+
+    def _letters(self, numbers: np.ndarray) -> str:
+        """``digits`` characters a word; a word without a number (-1) is none of any pattern."""
+        out = np.empty((len(numbers), self.digits), "<u4")
+        for place in range(self.digits):
+            out[:, place] = 64 + place * self.base + numbers // self.base**place % self.base
+        out[numbers < 0] = 33
+        return out.tobytes().decode("utf-32-le")
 
     def compile(self) -> None:
+        words, start = _split(pa.array(self.stretches, pa.large_string()))
+        coded = words.dictionary_encode()
+        self.known, self.digits = coded.dictionary, 1
+        while MAX_WAYS**self.digits < len(self.known):
+            self.digits += 1
+        self.base = min(int(len(self.known) ** (1 / self.digits)) + 1, MAX_WAYS)
+        letters, long = self._letters(coded.indices.to_numpy().astype(np.int64)), self.size * self.digits
+        add, to = self.machine.add_word, (start[1:] - self.size + 1).tolist()
+        for i, (a, b) in enumerate(zip(start[:-1].tolist(), to, strict=True)):
+            for at in range(a * self.digits, b * self.digits, self.digits):
+                add(letters[at : at + long], i)
         self.machine.make_automaton()
+        self.first = np.array(self.firsts, np.int64)
+
+    def find(self, texts: pa.Array, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, from, to): word spans of the texts covered by patterns whose first document is
+        smaller than the text's."""
+        words, start = _split(texts)
+        numbers = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        out = []
+        i = 0
+        while i < len(texts):  # so many whole texts that they have STREAM_WORDS words, or one
+            j = max(i + 1, int(np.searchsorted(start, start[i] + STREAM_WORDS, side="right")) - 1)
+            hits = np.fromiter(self.machine.iter(self._letters(numbers[start[i] : start[j]])), [("last", np.int64), ("stretch", np.int64)])
+            b = start[i] + hits["last"] // self.digits + 1
+            text = np.searchsorted(start, b - 1, side="right") - 1
+            a, b = b - self.size - start[text], b - start[text]
+            good = (a >= 0) & (self.first[hits["stretch"]] < doc_ids[text])  # below 0: it began in the text before
+            text, a, b = text[good], a[good], b[good]
+            head = np.ones(len(a), bool)
+            head[1:] = (text[1:] != text[:-1]) | (a[1:] > b[:-1])
+            out.append((text[head], a[head], b[np.append(head[1:], True)[: len(b)]]))
+            i = j
+        text, a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), (), ())))
+        return text, a, b
 
     def spans(self, text: str, doc_id: int) -> list[tuple[int, int]]:
-        """Word spans (from, to) of the text covered by patterns whose first document is smaller."""
-        get = self.letters.get
-        out: list[tuple[int, int]] = []
-        for last, first in self.machine.iter("".join([get(w, "!!!") for w in text.split(" ")])):
-            if first < doc_id:
-                b = last // 3 + 1
-                a = b - self.size
-                if out and a <= out[-1][1]:
-                    out[-1] = (out[-1][0], b)
-                else:
-                    out.append((a, b))
-        return out
-
-
-def located(patterns: DataFrame, segments: DataFrame, size: int) -> DataFrame:
-    """(doc_id, tag, a, b): word spans of the segments that patterns of smaller documents cover. Each
-    shard's automaton is compiled where its segments are streamed; a shard with many segments is
-    dealt over salts, each with its own copy of the automaton."""
-    counts = stored(segments.groupBy("shard").agg(F.count("*").alias("n")), "segment-counts")
+        """The spans found in one text."""
+        _, a, b = self.find(pa.array([text]), np.array([doc_id]))
+        return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def located(dealt: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tag, a, b): word spans of the stretches of kind 1 that patterns (kind 0) of smaller
+    documents cover. Each shard's automaton is compiled where its stretches are streamed; a shard
+    with many of them is dealt over salts, each with its own copy of the automaton."""
+    counts = stored(dealt.filter("kind = 1").groupBy("shard").agg(F.count("*").alias("n")), "segment-counts")
     salts = counts.select("shard", F.ceil(F.col("n") / SALT_SEGMENTS).cast("int").alias("salts"))
-    left = patterns.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    right = segments.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
-    names = ["shard", "salt", "kind", "doc_id", "tag", "start", "text"]
+    all_salts, own = F.sequence(F.lit(0), F.col("salts") - 1), F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
 
     def search(rows: pa.Table) -> pa.RecordBatch | None:
-        kind = rows["kind"].to_numpy()
-        is_pattern = kind == 0
+        is_pattern = rows["kind"].to_numpy() == 0
         if is_pattern.all() or not is_pattern.any():
             return None
         machine = PhraseAutomaton(size)
-        ids, texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
-        for i in np.flatnonzero(is_pattern).tolist():
-            machine.add(texts[i], ids[i])
+        patterns, rows = rows.filter(pa.array(is_pattern)), rows.filter(pa.array(~is_pattern))
+        for stretch, first in zip(patterns["text"].to_pylist(), patterns["doc_id"].to_pylist(), strict=True):
+            machine.add(stretch, first)
         machine.compile()
-        start = rows["start"].to_numpy()
-        found = [(i, int(start[i]) + a, int(start[i]) + b) for i in np.flatnonzero(~is_pattern).tolist() for a, b in machine.spans(texts[i], ids[i])]
-        if not found:
+        i, a, b = machine.find(rows["text"].cast(pa.large_string()).combine_chunks(), rows["doc_id"].to_numpy())
+        if not len(i):
             return None
-        i, a, b = zip(*found, strict=True)
-        own = rows.take(pa.array(i)).combine_chunks()
-        return pa.RecordBatch.from_arrays([own["doc_id"].combine_chunks(), own["tag"].combine_chunks(), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "tag", "a", "b"])
+        start, i = rows["start"].to_numpy()[i], pa.array(i)
+        return pa.RecordBatch.from_arrays([rows["doc_id"].take(i).combine_chunks(), rows["tag"].take(i).combine_chunks(), pa.array(start + a), pa.array(start + b)], ["doc_id", "tag", "a", "b"])
 
-    both = left.select(*names).unionByName(right.select(*names))
-    return stream_groups(both, ["shard", "salt"], search, "doc_id long, tag long, a long, b long")
+    both = dealt.join(salts, "shard").withColumn("salt", F.explode(F.when(F.col("kind") == 0, all_salts).otherwise(own)))
+    return stream_groups(both.select("shard", "salt", "kind", "doc_id", "tag", "start", "text"), ["shard", "salt"], search, "doc_id long, tag long, a long, b long")
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -300,13 +352,10 @@ def find_repeats(docs: DataFrame, size: int = 13) -> Repeats:
     hot = np.sort(np.array([r.anchor for r in often.orderBy(F.desc("n")).limit(MAX_HOT).select("anchor").collect()], np.int64))
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_PATTERNS))
     confirmed = prints.groupBy("doc_id").agg(F.sort_array(F.collect_list("p1")).alias("p1"), F.sort_array(F.collect_list("p2")).alias("p2"))
-    texts = candidates.drop("anchors").join(confirmed, "doc_id").select("doc_id", "tag", "text", "p1", "p2")
-    patterns = stored(passages(texts, shards, size, True, hot), "patterns")
+    dealt = stored(passages(candidates.join(confirmed, "doc_id", "left"), shards, size, hot), "passages")
     release(prints)
-    segments = stored(passages(candidates.select("doc_id", "tag", "text", "anchors"), shards, size, False, hot), "segments")
-    found = located(patterns, segments, size)
-    spans = stored(found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "repeat-spans")
-    release(segments, patterns)
+    spans = stored(located(dealt, size).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "repeat-spans")
+    release(dealt)
     return Repeats(base, told.filter("again").select("doc_id", "tag"), spans, candidates)
 
 

@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -670,3 +671,43 @@ def test_repeats_keep_only_what_is_read_later(spark, corpus):
         names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in left}
     assert names == {"repeat-base", "sequence-copies", "repeat-candidates", "segment-counts", "repeat-spans"}
     assert "anchors" not in found.base.columns
+
+
+def test_automaton_takes_all_texts_at_once(monkeypatch):
+    """Many texts in one call, of blocks of few words, against comparing every window: no match runs over
+    the end of a text. Words are two characters here, so a pattern takes two states a word at most."""
+    monkeypatch.setattr(substrings, "STREAM_WORDS", 40)
+    rng, size = random.Random(5), 4
+    vocabulary = [f"w{i}" for i in range(700)]
+    stretches = [rng.choices(vocabulary, k=rng.randint(size, 9)) for _ in range(300)]
+    texts = [sum((rng.choices(vocabulary, k=rng.randint(0, 3)) + rng.choice(stretches)[rng.randint(0, 2) :] for _ in range(rng.randint(1, 3))), []) for _ in range(200)] + [["x"] * 90, stretches[0][:2], stretches[0][2:]]
+    m, first = substrings.PhraseAutomaton(size), {}
+    for i, s in enumerate(stretches):
+        m.add(" ".join(s), i)
+        first |= {tuple(s[j : j + size]): i for j in range(len(s) - size + 1)}
+    m.compile()
+    ids = np.array([rng.randint(0, 400) for _ in texts])
+    want = []
+    for t, (text, i) in enumerate(zip(texts, ids, strict=True)):
+        hits = [(j, j + size) for j in range(len(text) - size + 1) if first.get(tuple(text[j : j + size]), 10**6) < i]
+        want += [(t, a, b) for a, b in substrings.merged(hits)]
+    got = m.find(pa.array([" ".join(t) for t in texts]), ids)
+    assert len(want) > 100 and list(zip(*(x.tolist() for x in got), strict=True)) == want
+    assert m.machine.get_stats()["nodes_count"] <= 2 * size * len(first) + 1
+
+
+def test_passages_are_cut_in_one_run(spark, corpus, monkeypatch):
+    """Patterns and the stretches to be searched come of one run over the candidates' texts."""
+    names, store = [], substrings.stored
+    monkeypatch.setattr(substrings, "stored", lambda df, name: (names.append(name), store(df, name))[1])
+    substrings.find_repeats(table(spark, corpus))
+    assert names.count("passages") == 1 and not {"patterns", "segments"} & set(names)
+
+
+def test_words_one_space_apart():
+    """Texts in whatever white space give the digests of their words joined by one space; anchors need one lane of hashes only."""
+    texts = ["a b c", " a", "a ", "a  b", "a\tb\nc", "", "\n", "é x", "d", "e\x0b\x0cf g"]
+    data, offsets = words.utf8(pa.array(texts))
+    one, two = substrings.Windows(data, offsets, 2, 1), substrings.Windows(data, offsets, 2)
+    assert substrings.word_digests(one.words) == [hashlib.sha256(b" ".join(t.encode().split())).digest() for t in texts]
+    assert len(one.hashes) == 1 and one.anchor.tolist() == two.anchor.tolist() and len(one.anchor) == 8
